@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(x, F.lit(high))))
 

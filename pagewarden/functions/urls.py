@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewarden import constants as C
-from pagewarden.functions.numbers import lit_array
+from pagewarden.functions.numbers import let, lit_array
 
 _SCHEME = r"(?:[A-Za-z][A-Za-z0-9+.\-]*:)"
 
@@ -25,7 +25,7 @@ def _clean(url: Column) -> Column:
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, rf"^({_SCHEME})", 1).substr(F.lit(1), F.length(F.regexp_extract(url, rf"^({_SCHEME})", 1)) - 1))
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
 
 
 def netloc(url: Column) -> Column:
@@ -46,16 +46,18 @@ def host(url: Column) -> Column:
 
 def normalize_crawl_url(url: Column) -> Column:
     """Drop the fragment, lower the host, '/' for an empty path, no trailing '/'."""
-    u = _clean(url)
-    p = path(u)
-    p = F.when(p.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(p, "/+$", ""))
-    s, n, q = scheme(u), netloc(u), query(u)
-    return F.concat(
-        F.when(s != "", F.concat(s, F.lit(":"))).otherwise(F.lit("")),
-        F.when(n != "", F.concat(F.lit("//"), F.lower(n))).otherwise(F.lit("")),
-        p,
-        F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")),
-    )
+
+    def rebuild(u: Column) -> Column:
+        prefix = lambda x, p: F.when(x != "", F.concat(F.lit(p), x)).otherwise("")
+        trimmed = F.regexp_replace(path(u), "/+$", "")
+        return F.concat(
+            F.regexp_replace(scheme(u), "(.)$", "$1:"),
+            prefix(F.lower(netloc(u)), "//"),
+            F.when(path(u).isin("", "/"), F.lit("/")).otherwise(trimmed),
+            prefix(query(u), "?"),
+        )
+
+    return let(_clean(url), rebuild)
 
 
 def normalize_url(url: Column) -> Column:
@@ -89,43 +91,38 @@ def _remove_dots(p: Column) -> Column:
 
 def resolve(base_scheme: Column, base_netloc: Column, base_path: Column, base_query: Column, href: Column) -> Column:
     """Resolve ``href`` against a base url that is already taken apart."""
-    h = _clean(href)
-    given = scheme(h)
-    relative_scheme = (given == "") | (given == base_scheme)
-    tail = F.when(given != "", F.regexp_replace(h, rf"^{_SCHEME}", "")).otherwise(h)
-    n, p, q = netloc(tail), path(tail), query(tail)
-    fragment = F.regexp_extract(tail, r"(#.*)$", 1)
-    question = F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))
-    base_question = F.when(base_query != "", F.concat(F.lit("?"), base_query)).otherwise(F.lit(""))
-    merged = F.when(p.startswith("/"), p).otherwise(
-        F.regexp_replace(
-            F.concat(
-                F.when(base_path == "", F.lit("/")).otherwise(
-                    F.regexp_replace(base_path, "[^/]*$", "")
-                ),
-                p,
-            ),
-            "/{2,}",
-            "/",
-        )
-    )
-    dotted = merged.rlike(r"(?:^|/)\.{1,2}(?:/|$)")
-    merged = F.when(dotted, _remove_dots(merged)).otherwise(merged)
     origin = F.concat(base_scheme, F.lit("://"), base_netloc)
-    return (
-        F.when(~relative_scheme, h)
-        .when(n != "", F.concat(base_scheme, F.lit(":"), tail))
-        .when(
-            p == "",
-            F.concat(origin, base_path, F.when(q != "", question).otherwise(base_question), fragment),
+    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+    question = lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))
+
+    def dots(p: Column) -> Column:
+        return F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _remove_dots(p)).otherwise(p)
+
+    def relative(tail: Column) -> Column:
+        p, q = path(tail), query(tail)
+        fragment = F.regexp_extract(tail, r"(#.*)$", 1)
+        below = F.regexp_replace(F.concat(folder, p), "/{2,}", "/")
+        return (
+            F.when(netloc(tail) != "", F.concat(base_scheme, F.lit(":"), tail))
+            .when(
+                p == "",
+                F.concat(origin, base_path, question(F.coalesce(F.nullif(q, F.lit("")), base_query)), fragment),
+            )
+            .otherwise(
+                F.concat(origin, let(F.when(p.startswith("/"), p).otherwise(below), dots), question(q), fragment)
+            )
         )
-        .otherwise(F.concat(origin, merged, question, fragment))
-    )
+
+    def choose(h: Column) -> Column:
+        given = scheme(h)
+        tail = F.when(given != "", F.regexp_replace(h, rf"^{_SCHEME}", "")).otherwise(h)
+        return F.when(~given.isin("") & (given != base_scheme), h).otherwise(let(tail, relative))
+
+    return let(_clean(href), choose)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    b = _clean(base)
-    return resolve(scheme(b), netloc(b), path(b), query(b), href)
+    return let(_clean(base), lambda b: resolve(scheme(b), netloc(b), path(b), query(b), href))
 
 
 def same_domain(base_host: Column, candidate_url: Column) -> Column:
@@ -144,20 +141,20 @@ def is_skipped(url: Column) -> Column:
 
 
 def is_valid_url(url: Column) -> Column:
-    u = normalize_url(url)
+    """http(s) url whose host is localhost, an address or a dotted name."""
     authority = r"^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:@]*)"
-    h = F.lower(F.regexp_extract(u, authority, 1))
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    ipv4 = h.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
-    v6 = F.regexp_extract(h, r"^\[(.*)\]$", 1)
-    ipv6 = v6.rlike(r"^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$") | (
-        v6.rlike(r"^(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)(?:[0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}$")
-        & v6.contains("::")
-        & (F.size(F.filter(F.split(v6, ":"), lambda s: s != "")) <= 7)
-    )
     label = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
-    named = F.regexp_replace(h, r"\.+$", "").rlike(rf"^(?:{label}\.)+(?!\d+$){label}$")
-    return (h == "localhost") | ipv4 | ipv6 | named
+    full = r"\[(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\]"
+    short = (
+        r"\[(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:\])(?=.*::)(?!(?:.*[0-9a-f]+(?::|\])){8})"
+        r"(?:[0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}\]"
+    )
+    host_ok = (
+        rf"^(?:localhost|{octet}(?:\.{octet}){{3}}|{full}|{short}"
+        rf"|(?:{label}\.)+(?!\d+\.*$){label}\.*)$"
+    )
+    return F.lower(F.regexp_extract(normalize_url(url), authority, 1)).rlike(host_ok)
 
 
 def page_type(url: Column, rules: list[tuple[str, list[str]]] = C.PAGE_TYPES) -> Column:
@@ -221,19 +218,24 @@ def sitemap_changefreq(url: Column) -> Column:
 
 
 def registrable_label(url: Column) -> Column:
+    """The label people know a site by: second from the right, third below a compound suffix."""
     labels = F.filter(
         F.split(F.element_at(F.split(host(url), ":"), 1), r"\."),
         lambda s: (s != "") & (s != "www"),
     )
-    n = F.size(labels)
-    last, second, third = (F.try_element_at(labels, F.lit(-i)) for i in (1, 2, 3))
-    compound = (n >= 3) & (F.length(last) == 2) & second.isin(C.COMPOUND_SECOND_LEVELS)
-    return (
-        F.when(n == 0, F.lit(C.DEFAULT_COMPANY))
-        .when(compound, third)
-        .when(n >= 2, second)
-        .otherwise(last)
-    )
+
+    def pick(a: Column) -> Column:
+        last, second, third = (F.try_element_at(a, F.lit(-i)) for i in (1, 2, 3))
+        compound = (F.length(last) == 2) & second.isin(C.COMPOUND_SECOND_LEVELS)
+        return F.coalesce(F.when(compound, third), second, last, F.lit(C.DEFAULT_COMPANY))
+
+    return let(labels, pick)
+
+
+def title_case(text: Column) -> Column:
+    """Capital after every non-letter, the rest in lower case."""
+    pieces = F.split(F.lower(text), r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(pieces, F.initcap), "")
 
 
 def title_parts(title: Column) -> Column:
@@ -243,22 +245,20 @@ def title_parts(title: Column) -> Column:
 
 def company_name(url: Column, title: Column) -> Column:
     """The title part that carries the domain label, else a short part, else the label."""
-    label = registrable_label(url)
-    key = F.regexp_replace(F.lower(label), "[^a-z0-9]+", "")
-    parts = title_parts(title)
-    named = F.filter(
-        parts,
-        lambda s: (key != "") & F.contains(F.regexp_replace(F.lower(s), "[^a-z0-9]+", ""), key),
-    )
-    short = F.filter(parts, lambda s: F.size(F.split(F.trim(s), r"(?U)\s+")) <= 6)
-    words = F.initcap(F.replace(label, F.lit("-"), F.lit(" ")))
-    return F.coalesce(
-        F.try_element_at(named, F.lit(1)),
-        F.try_element_at(short, F.lit(-1)),
-        F.try_element_at(parts, F.lit(1)),
-        F.nullif(words, F.lit("")),
-        F.lit(C.DEFAULT_COMPANY),
-    )
+    squeezed = lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9]+", "")
+    short = lambda s: F.size(F.split(s, r"(?U)\s+")) <= 6
+
+    def choose(label: Column, parts: Column) -> Column:
+        named = F.filter(parts, lambda s: (squeezed(label) != "") & F.contains(squeezed(s), squeezed(label)))
+        return F.coalesce(
+            F.try_element_at(named, F.lit(1)),
+            F.try_element_at(F.filter(parts, short), F.lit(-1)),
+            F.try_element_at(parts, F.lit(1)),
+            F.nullif(title_case(F.replace(label, F.lit("-"), F.lit(" "))), F.lit("")),
+            F.lit(C.DEFAULT_COMPANY),
+        )
+
+    return let(registrable_label(url), lambda label: let(title_parts(title), lambda parts: choose(label, parts)))
 
 
 def path_allowed(url: Column, rules: Column) -> Column:
