@@ -1,0 +1,5 @@
+"""Queries over the given tables with their oracles."""
+
+
+def load_all() -> None:
+    from checks import page_queries, site_queries  # noqa: F401

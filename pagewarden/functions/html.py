@@ -16,8 +16,9 @@ from pagewarden import constants as C
 from pagewarden.functions.numbers import let
 from pagewarden.functions.urls import strip_space
 
-# inside of a tag, up to but without '>': quoted values may hold '>'
-INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# inside of a tag, up to but without '>': quoted values may hold '>', stray quotes end nothing
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+TAG = rf"<[/a-zA-Z!?]{INSIDE}>"
 
 # fixed values: entities common enough for a direct replacement; '&amp;' has to come last
 _COMMON = [
@@ -101,7 +102,7 @@ def unescape(text: Column) -> Column:
 
 def text_of(fragment: Column, joined_by: str = " ") -> Column:
     """Text of a fragment: each text node trimmed, nodes joined, entities decoded."""
-    parts = F.regexp_replace(fragment, r"\s*(?:<[^>]*>\s*)+", joined_by)
+    parts = F.regexp_replace(fragment, rf"\s*(?:{TAG}\s*+)++", joined_by)
     return strip_space(unescape(parts))
 
 
@@ -125,14 +126,14 @@ def visible_text(html: Column) -> Column:
     )
     shown = F.regexp_replace(html, rf"(?is)<({names})(?=[\s>])[^>]*>.*?</\1\s*>", " ")
     shown = F.regexp_replace(shown, hidden, " ")
-    return unescape(F.regexp_replace(shown, r"<[^>]*>", " "))
+    return unescape(F.regexp_replace(shown, TAG, " "))
 
 
 def body_text(html: Column) -> Column:
     """All body text except scripts and styles; the fallback when nothing is visible."""
     shown = F.regexp_replace(html, r"(?is)^.*?<body[^>]*>", "")
     shown = F.regexp_replace(shown, r"(?is)<(script|style|template)(?=[\s>])[^>]*>.*?</\1\s*>", " ")
-    return unescape(F.regexp_replace(shown, r"<[^>]*>", " "))
+    return unescape(F.regexp_replace(shown, TAG, " "))
 
 
 def count_words(text: Column) -> Column:

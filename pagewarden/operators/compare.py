@@ -10,12 +10,13 @@ from pagewarden.functions import numbers as N
 from pagewarden.functions import text as T
 from pagewarden.functions.urls import strip_space
 from pagewarden.operators.ranking import top_k
+from pagewarden.operators.rows import unnest
 
 
 def heading_texts(features: DataFrame) -> DataFrame:
     """h1-h3 texts of every page, one row each."""
     texts = F.concat("headings.h1", "headings.h2", "headings.h3")
-    return features.select("site", F.explode(texts).alias("heading"))
+    return unnest(features, texts, "heading", ["site"])
 
 
 def term_flags(texts: DataFrame, key: str, text: str, role: str = "role") -> DataFrame:
@@ -24,7 +25,7 @@ def term_flags(texts: DataFrame, key: str, text: str, role: str = "role") -> Dat
     Both sides are one stream of terms, so a single aggregate replaces the join, and
     repeated terms are combined before the shuffle.
     """
-    exploded = texts.select(key, role, F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term"))
+    exploded = unnest(texts, F.array_distinct(T.terms(F.col(text))), "term", [key, role])
     return exploded.groupBy(key, "term").agg(
         F.max(F.col(role) == "own").alias("own"), F.max(F.col(role) == "competitor").alias("competitor")
     )
@@ -86,7 +87,7 @@ def fallback_opportunities(profiles: DataFrame, key: str) -> DataFrame:
         5,
     )
     score = F.greatest(F.lit(10) - F.col("i"), F.lit(6))
-    return profiles.select(key, F.posexplode(phrases).alias("i", "keyword")).select(
+    return unnest(profiles, phrases, "keyword", [key], "i").select(
         key, (F.col("i") + 1).alias("pos"), "keyword", score.alias("market_opportunity_score"),
         opportunity_priority(F.lit(""), score).alias("priority"),
     )

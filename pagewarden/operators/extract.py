@@ -17,6 +17,7 @@ from pagewarden.functions import html as H
 from pagewarden.functions import urls as U
 from pagewarden.functions.numbers import lit_array
 from pagewarden.functions.scores import page_authority
+from pagewarden.operators.rows import unnest
 
 _TAGS = ["meta", "link", "img"]
 _ANCHOR = rf"(?is)<a(?=\s){H.INSIDE}>(?:.*?)(?:</a\s*>|(?=<a[\s>])|\z)"
@@ -325,10 +326,8 @@ def page_features(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 def edges(features: DataFrame) -> DataFrame:
     """One row per link occurrence: site, page_id, src_url, pos, dst_url, nofollow, anchor, is_internal."""
-    return features.select(
-        "site", "page_id", F.col("url").alias("src_url"), F.explode("links").alias("l")
-    ).select(
-        "site", "page_id", "src_url",
+    return unnest(features, "links", "l", ["site", "page_id", "url"]).select(
+        "site", "page_id", F.col("url").alias("src_url"),
         F.col("l.pos").alias("pos"),
         F.col("l.url").alias("dst_url"),
         F.col("l.nofollow").alias("nofollow"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagewarden import constants as C
 from pagewarden.functions import numbers as N
+from pagewarden.operators.rows import unnest
 
 
 def _finding(
@@ -369,23 +370,22 @@ def page_audit(features: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 def findings(audited: DataFrame) -> DataFrame:
     """Long form: one row per page and finding."""
-    return audited.select(*_KEYS, F.explode("findings").alias("f")).select(*_KEYS, "f.*").withColumn(
+    return unnest(audited, "findings", "f", _KEYS).select(*_KEYS, "f.*").withColumn(
         "priority_rank", N.priority_rank(F.col("priority"))
     )
 
 
 def module_issues(audited: DataFrame) -> DataFrame:
     """Score, failing metrics and recommendations of every page module."""
-    rows = [
-        F.struct(
-            F.lit(m).alias("module"),
-            F.col(f"{m}_score").alias("score"),
-            F.filter("findings", lambda f, m=m: (f["module"] == m) & (f["score"] < 80)).alias("failed"),
+    def entry(module: str) -> Column:
+        failed = F.filter("findings", lambda f: (f["module"] == module) & (f["score"] < 80))
+        return F.struct(
+            F.lit(module).alias("module"), F.col(f"{module}_score").alias("score"), failed.alias("failed")
         )
-        for m in C.PAGE_WEIGHTS
-    ]
+
+    rows = [entry(m) for m in C.PAGE_WEIGHTS]
     return (
-        audited.select(*_KEYS, F.explode(F.array(*rows)).alias("m"))
+        unnest(audited, F.array(*rows), "m", _KEYS)
         .select(
             *_KEYS,
             "m.module",
@@ -453,4 +453,4 @@ class RuleSet:
         return F.array_compact(F.array(*self.rules))
 
     def apply(self, features: DataFrame, keys: list[str] = ("site", "page_id", "url")) -> DataFrame:
-        return features.select(*keys, F.explode(self.as_array()).alias("r")).select(*keys, "r.*")
+        return unnest(features, self.as_array(), "r", list(keys)).select(*keys, "r.*")

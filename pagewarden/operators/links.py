@@ -13,11 +13,12 @@ from pagewarden.functions import numbers as N
 from pagewarden.functions import scores as S
 from pagewarden.operators.ranking import top_k
 from pagewarden.session import cut_lineage
+from pagewarden.operators.rows import unnest
 
 
 def internal_targets(features: DataFrame) -> DataFrame:
     """Distinct internal link targets per site, from the link arrays of the pages."""
-    return features.select("site", F.explode("internal_links").alias("url")).distinct()
+    return unnest(features, "internal_links", "target", ["site"]).select("site", F.col("target").alias("url")).distinct()
 
 
 def orphans(known: DataFrame, targets: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def internal_linking(features: DataFrame) -> DataFrame:
 def outbound_profile(features: DataFrame) -> DataFrame:
     """Outbound links, distinct domains and their diversity."""
     domains = (
-        features.select("site", F.explode("external_domains").alias("domain")).distinct()
+        unnest(features, "external_domains", "domain", ["site"]).distinct()
         .groupBy("site").agg(F.count(F.lit(1)).alias("outbound_domain_count"))
     )
     n = F.coalesce("outbound_domain_count", F.lit(0))

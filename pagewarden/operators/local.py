@@ -9,6 +9,7 @@ from pagewarden import constants as C
 from pagewarden.functions import numbers as N
 from pagewarden.functions import urls as U
 from pagewarden.operators import extract as X
+from pagewarden.operators.rows import unnest
 
 
 def stars(rating: Column) -> Column:
@@ -194,7 +195,7 @@ def recommendations(
         title.alias("title"), impact.alias("expected_impact"), F.lit(effort).alias("effort"),
     ]
     high = F.lit("High")
-    profile_rows = profile_audits.select(key, F.explode("issues").alias("i")).select(
+    profile_rows = unnest(profile_audits, "issues", "i", [key]).select(
         key, *row(1, F.coalesce("i.priority", F.lit("Medium")), "GBP Optimization", F.col("i.issue"),
                   F.when(F.col("i.priority") == "High", "High").otherwise("Medium"), "Low"),
     )

@@ -10,6 +10,7 @@ from pagewarden.functions import text as T
 from pagewarden.functions import urls as U
 from pagewarden.functions.numbers import let, lit_array
 from pagewarden.operators.ranking import top_k
+from pagewarden.operators.rows import unnest
 
 _EDGE = r" \-|:"
 
@@ -43,7 +44,7 @@ def frequent_terms(texts: DataFrame, key: str, text: str, order: str, limit: int
 
     Terms are counted by one combining aggregate; ties go to the earlier text and position.
     """
-    exploded = texts.select(key, order, F.posexplode(T.terms(F.col(text), C.PROFILE_STOPWORDS)).alias("pos", "term"))
+    exploded = unnest(texts, T.terms(F.col(text), C.PROFILE_STOPWORDS), "term", [key, order], "pos")
     counted = exploded.groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos")).alias("_first")
     )

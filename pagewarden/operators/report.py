@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewarden import constants as C
 from pagewarden.functions import numbers as N
 from pagewarden.operators.ranking import first_by, top_k
+from pagewarden.operators.rows import unnest
 
 
 def ordered_findings(findings: DataFrame) -> DataFrame:
@@ -87,20 +88,12 @@ def roadmap(findings: DataFrame, opportunities: DataFrame) -> DataFrame:
     phase = lambda i, span, priority, actions: F.struct(
         F.lit(i).alias("phase"), F.lit(span).alias("timeline"), F.lit(priority).alias("priority"), actions.alias("actions")
     )
-    return (
-        lists.join(growth, "site", "left")
-        .select(
-            "site",
-            F.explode(
-                F.array(
-                    phase(1, "0-30 days", "High", pick("High", 1)),
-                    phase(2, "31-60 days", "Medium", pick("Medium", 3)),
-                    phase(3, "61-90 days", "Medium", third),
-                )
-            ).alias("p"),
-        )
-        .select("site", "p.*")
+    phases = F.array(
+        phase(1, "0-30 days", "High", pick("High", 1)),
+        phase(2, "31-60 days", "Medium", pick("Medium", 3)),
+        phase(3, "61-90 days", "Medium", third),
     )
+    return unnest(lists.join(growth, "site", "left"), phases, "p", ["site"]).select("site", "p.*")
 
 
 def data_limitations(crawl: DataFrame) -> DataFrame:
@@ -123,7 +116,7 @@ def data_limitations(crawl: DataFrame) -> DataFrame:
         F.struct(F.lit(i).alias("pos"), F.lit(n).alias("data_source"), s.alias("current_status"))
         for i, (n, s) in enumerate(notes, 1)
     ]
-    return crawl.select("site", F.explode(F.array(*rows)).alias("n")).select("site", "n.*")
+    return unnest(crawl, F.array(*rows), "n", ["site"]).select("site", "n.*")
 
 
 def evidence_notes(crawl: DataFrame) -> DataFrame:
@@ -136,7 +129,7 @@ def evidence_notes(crawl: DataFrame) -> DataFrame:
         F.format_string("robots.txt names %s sitemaps.", c("declared_sitemaps")),
         F.format_string("%s of %s discovered urls were analysed.", c("analyzed_pages"), c("discovered_internal_pages")),
     ]
-    return crawl.select("site", F.posexplode(F.array(*notes)).alias("pos", "note"))
+    return unnest(crawl, F.array(*notes), "note", ["site"], "pos")
 
 
 def first_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:

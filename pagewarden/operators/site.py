@@ -11,6 +11,7 @@ from pagewarden.functions import scores as S
 from pagewarden.functions.urls import strip_space
 from pagewarden.operators import page_health as PH
 from pagewarden.operators.ranking import first_by, top_k
+from pagewarden.operators.rows import unnest
 
 
 def _tests() -> dict[str, Column]:
@@ -53,7 +54,7 @@ def _coverage_rows(counts: DataFrame, metrics: list[tuple[str, str, str, int]],
         for pos, (key, name, category, minimum) in enumerate(metrics, 1)
     ]
     measured = (
-        counts.select("site", total.alias("total"), F.explode(F.array(*entries)).alias("m"))
+        unnest(counts.withColumn("total", total), F.array(*entries), "m", ["site", "total"])
         .select("site", "total", "m.*")
         .withColumn("percentage", N.percent(F.col("matched"), F.col("total")))
     )
@@ -209,7 +210,7 @@ def issue_matrix(issues: DataFrame, samples: int = C.SAMPLE_LIMIT) -> DataFrame:
 
 def distinct_values(features: DataFrame, column: str, name: str) -> DataFrame:
     """Distinct members of an array column per site, duplicates dropped before the shuffle."""
-    return features.select("site", F.explode(F.array_distinct(column)).alias(name)).distinct()
+    return unnest(features, F.array_distinct(column), name, ["site"]).distinct()
 
 
 def external_domain_report(features: DataFrame, shown: int = 30) -> DataFrame:
@@ -226,7 +227,7 @@ def external_domain_report(features: DataFrame, shown: int = 30) -> DataFrame:
 def site_headings(features: DataFrame) -> DataFrame:
     """Distinct titles and h1-h3 texts of a site, first spelling kept."""
     texts = F.concat(F.array("title"), "headings.h1", "headings.h2", "headings.h3")
-    spelled = features.select("site", "page_id", F.posexplode(texts).alias("pos", "text")).select(
+    spelled = unnest(features, texts, "text", ["site", "page_id"], "pos").select(
         "site", "page_id", "pos", strip_space(F.regexp_replace("text", r"(?U)\s+", " ")).alias("heading")
     )
     return first_by(
@@ -237,9 +238,7 @@ def site_headings(features: DataFrame) -> DataFrame:
 
 def crawl_coverage(features: DataFrame) -> DataFrame:
     """Pages analysed, internal urls discovered and the share analysed, in percent."""
-    seen = features.select(
-        "site", F.explode(F.array_append(F.col("internal_links"), F.col("url"))).alias("found")
-    ).distinct()
+    seen = unnest(features, F.array_append(F.col("internal_links"), F.col("url")), "found", ["site"]).distinct()
     discovered = seen.groupBy("site").agg(F.count(F.lit(1)).alias("discovered_internal_pages"))
     analysed = features.groupBy("site").agg(F.count_distinct("url").alias("analyzed_pages"))
     return analysed.join(discovered, "site").withColumn(
@@ -301,4 +300,4 @@ def summary_table(summary: DataFrame) -> DataFrame:
         )
         for i, (name, value, ok, warn) in enumerate(rows, 1)
     ]
-    return summary.select("site", F.explode(F.array(*entries)).alias("r")).select("site", "r.*")
+    return unnest(summary, F.array(*entries), "r", ["site"]).select("site", "r.*")

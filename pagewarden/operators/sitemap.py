@@ -16,6 +16,7 @@ from pagewarden.functions.urls import strip_space
 from pagewarden.operators.links import graph_link_score, in_degree, orphans
 from pagewarden.operators.ranking import first_by, top_k
 from pagewarden.session import cut_lineage
+from pagewarden.operators.rows import unnest
 
 _XML = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>, _corrupt_record STRING"
 
@@ -229,7 +230,7 @@ def warnings(sites: DataFrame) -> DataFrame:
             ]
         )
     )
-    return sites.select("site", F.explode(entries).alias("w")).select("site", "w.*")
+    return unnest(sites, entries, "w", ["site"]).select("site", "w.*")
 
 
 def site_report(

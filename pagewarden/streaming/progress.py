@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagewarden import constants as C
 from pagewarden.operators import extract, findings, site
 from pagewarden.operators.ranking import first_by, top_k
+from pagewarden.operators.rows import unnest
 
 EVENTS = "job_id BIGINT, ts TIMESTAMP, event_id BIGINT, type STRING, payload STRING"
 # fixed values: event types that begin and end a job
@@ -105,9 +106,7 @@ def recent_state(events: DataFrame, limit: int = C.RECENT_EVENTS) -> DataFrame:
 def page_counters(pages: DataFrame) -> DataFrame:
     """Pages analysed and urls discovered per site as pages arrive (an estimate of distinct urls)."""
     features = extract.page_features(pages)
-    found = features.select(
-        "site", "page_id", F.posexplode(F.array_prepend(F.col("internal_links"), F.col("url"))).alias("i", "link")
-    )
+    found = unnest(features, F.array_prepend(F.col("internal_links"), F.col("url")), "link", ["site"], "i")
     return found.groupBy("site").agg(
         F.count_if(F.col("i") == 0).alias("analyzed_pages"),
         F.approx_count_distinct("link", 0.02).alias("discovered_internal_pages"),
