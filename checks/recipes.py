@@ -209,14 +209,14 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    return e.select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("type"), F.col("props").alias("payload"))
+    return e.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("type"), F.col("props").alias("payload"))
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """Audit runs: one per order, the customer is the project."""
     o = table(spark, folder, "orders")
     return o.select(
-        F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("updated_at"),
+        F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("updated_at"),
         F.floor(F.col("o_totalprice") / 5000).cast("int").alias("seo_score"), F.col("o_orderpriority").alias("business_type"),
     )
 

@@ -505,7 +505,7 @@ def _(spark, folder):
     "top_competitors",
     """WITH r AS (SELECT l_orderkey AS query, l_linenumber AS pos, CASE WHEN l_returnflag = 'A' THEN 'https://search.example/r' WHEN l_returnflag = 'R' THEN '/local' ELSE 'https://c' || l_suppkey || '.example/' END AS href FROM lineitem),
     f AS (SELECT query, href, min(pos) AS pos FROM r WHERE href LIKE '%http%' AND href NOT LIKE '%search.example%' GROUP BY query, href)
-    SELECT query, href, CAST(row_number() OVER (PARTITION BY query ORDER BY pos) AS INT) AS rank FROM f QUALIFY rank <= 3""",
+    SELECT query, href, CAST(row_number() OVER (PARTITION BY query ORDER BY pos, href) AS INT) AS rank FROM f QUALIFY rank <= 3""",
 )
 def _(spark, folder):
     flag = F.col("l_returnflag")

@@ -128,4 +128,4 @@ def top_competitors(results: DataFrame, key: str, search_host: str, limit: int =
         results.filter(F.col("href").contains("http") & ~F.col("href").contains(search_host))
         .groupBy(key, "href").agg(F.min("pos").alias("pos"))
     )
-    return top_k(first, [key], [F.col("pos")], limit)
+    return top_k(first, [key], [F.col("pos"), F.col("href")], limit)

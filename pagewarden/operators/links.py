@@ -157,8 +157,9 @@ def reachability(
     found = frontier
     for depth in range(1, max_depth + 1):
         step = (
-            frontier.join(links, (frontier["site"] == links["site"]) & (frontier["url"] == links["src_url"]))
-            .select(links["site"], F.col("dst_url").alias("url"))
+            frontier.select("site", F.col("url").alias("src_url"))
+            .join(links, ["site", "src_url"])
+            .select("site", F.col("dst_url").alias("url"))
             .distinct()
             .join(found.select("site", "url"), ["site", "url"], "left_anti")
         )

@@ -26,8 +26,9 @@ def robots_rules(body: Column) -> Column:
 
     The file is cut at its agent lines, so no running state is needed.
     """
-    groups = F.slice(F.split(body, r"(?im)^[ \t]*user-agent:", -1), F.lit(2), F.lit(2**31 - 1))
-    for_all = F.filter(groups, lambda g: F.trim(F.regexp_extract(g, r"^[^\r\n]*", 0)) == "*")
+    groups = F.split(body, r"(?im)^[ \t]*user-agent:", -1)
+    agent = lambda g: F.trim(F.regexp_extract(g, r"^[^\r\n]*", 0))
+    for_all = F.filter(groups, lambda g, i: (i > 0) & (agent(g) == "*"))
     rules = F.flatten(
         F.transform(for_all, lambda g: F.regexp_extract_all(g, F.lit(r"(?im)^[ \t]*disallow:([^\r\n]*)"), F.lit(1)))
     )
