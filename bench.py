@@ -39,6 +39,7 @@ def main() -> None:
         if os.path.isdir(warm):
             run(spark, name, warm)
         seconds[name] = run(spark, name, folder)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(

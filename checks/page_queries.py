@@ -763,7 +763,7 @@ inv2 AS (
       meta_description_length::INT AS meta_desc_length, CASE WHEN st = '' THEN 'Good' ELSE st END AS status, st <> '' AS has_issue FROM inv2""",
 )
 def _(spark, folder):
-    return inventory.inventory(R.features(spark, folder)).select(
+    return inventory.inventory(R.stored_features(spark, folder)).select(
         "s_no", "site", "page_id", "title", "title_length", "meta_desc_length", "status", "has_issue"
     )
 
@@ -776,7 +776,7 @@ def _(spark, folder):
       count(*) FILTER (WHERE dup_t) AS duplicate_titles, count(*) FILTER (WHERE dup_m) AS duplicate_metas FROM inv2 GROUP BY site""",
 )
 def _(spark, folder):
-    return inventory.inventory_totals(inventory.inventory(R.features(spark, folder)))
+    return inventory.inventory_totals(inventory.inventory(R.stored_features(spark, folder)))
 
 
 @query(

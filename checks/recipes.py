@@ -20,6 +20,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores. The given files hold one row group each, so a scan of one is a
+    single task; a corpus of many files needs no such step."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _site(doc: Column) -> Column:
     """Number of the site: documents k*k to k*k + 2k form site k."""
     return F.floor(F.sqrt(doc.cast("double")))
@@ -33,7 +39,7 @@ def _path(doc: Column) -> Column:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their labels, site, url, title and description (first two sentences)."""
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    docs = spread(table(spark, folder, "documents"), "doc_id").join(table(spark, folder, "labels"), "doc_id", "left")
     k = _site(F.col("doc_id"))
     sentence = lambda p: F.trim(F.regexp_extract("text", p, 1))
     return docs.select(
@@ -126,7 +132,7 @@ def stored_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_features(spark: SparkSession, folder: str) -> DataFrame:
     """Features of the given web pages."""
-    return extract.page_features(table(spark, folder, "pages"))
+    return extract.page_features(spread(table(spark, folder, "pages"), "page_id"))
 
 
 def graph(spark: SparkSession, folder: str) -> DataFrame:

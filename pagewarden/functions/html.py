@@ -110,10 +110,15 @@ def without_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
 
 
-def element_bodies(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(
-        html, F.lit(rf"(?is)<{name}(?=[\s>]){INSIDE}>(.*?)</{name}\s*>"), F.lit(1)
-    )
+def headings(html: Column) -> Column:
+    """Texts of h1-h6 by level; the page is scanned once for all six."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<h([1-6])(?=[\s>]){INSIDE}>.*?</h\1\s*>"), F.lit(0))
+
+    def level(elements: Column, n: int) -> Column:
+        hits = F.filter(elements, lambda e: F.substring(e, 3, 1) == str(n))
+        return F.transform(hits, lambda e: text_of(e)).alias(f"h{n}")
+
+    return let(found, lambda elements: F.struct(*[level(elements, n) for n in range(1, 7)]))
 
 
 def visible_text(html: Column) -> Column:
@@ -137,10 +142,14 @@ def body_text(html: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(C.WORD_PATTERN))
+    """Matches of the word pattern. A run of word characters, hyphens and apostrophes is
+    one word as soon as it has a word character, so no end has to be looked for."""
+    return F.regexp_count(text, F.lit(r"[a-zA-Z0-9_\p{L}\p{N}][a-zA-Z0-9_'\-\p{L}\p{N}]*+"))
 
 
 def word_count(html: Column) -> Column:
-    seen = count_words(visible_text(html))
-    has_body = html.rlike(r"(?i)<body[\s>]")
-    return F.when((seen == 0) & has_body, count_words(body_text(html))).otherwise(seen)
+    def or_body(n: Column) -> Column:
+        empty = (n == 0) & html.rlike(r"(?i)<body[\s>]")
+        return F.when(empty, count_words(body_text(html))).otherwise(n)
+
+    return let(count_words(visible_text(html)), or_body)

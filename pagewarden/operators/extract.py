@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagewarden import constants as C
 from pagewarden.functions import html as H
 from pagewarden.functions import urls as U
-from pagewarden.functions.numbers import lit_array
+from pagewarden.functions.numbers import let, lit_array
 from pagewarden.functions.scores import page_authority
 from pagewarden.operators.rows import unnest
 
@@ -24,15 +24,6 @@ _ANCHOR = rf"(?is)<a(?=\s){H.INSIDE}>(?:.*?)(?:</a\s*>|(?=<a[\s>])|\z)"
 _JSON_LD = rf"(?is)<script(?=\s){H.INSIDE}>(.*?)</script\s*>"
 
 
-def _headings(html: Column) -> Column:
-    return F.struct(
-        *[
-            F.transform(H.element_bodies(html, f"h{n}"), lambda b: H.text_of(b)).alias(f"h{n}")
-            for n in range(1, 7)
-        ]
-    )
-
-
 def _favicon(links: Column) -> Column:
     """Best icon link: apple-touch, plain icon, other, shortcut; first of the best."""
 
@@ -54,15 +45,31 @@ def _favicon(links: Column) -> Column:
 def structured_types(html: Column, depth: int = 6) -> Column:
     """Distinct ``@type`` values of all JSON-LD blocks, plus ``Microdata``.
 
-    Blocks are parsed as VARIANT; ``@graph`` lists and nested lists are opened level
-    by level, ``depth`` times. Malformed blocks are skipped.
+    Blocks are parsed as VARIANT; ``@graph`` lists and nested lists are opened level by
+    level, up to ``depth`` times. Malformed blocks are skipped, and pages without a block
+    are not parsed at all.
     """
-    blocks = F.filter(
-        F.regexp_extract_all(html, F.lit(_JSON_LD), F.lit(0)),
-        lambda b: F.lower(H.attribute(F.regexp_extract(b, r"(?s)^<[^>]*>", 0), "type")).contains("ld+json"),
-    )
+    is_json_ld = lambda b: F.lower(
+        H.attribute(F.regexp_extract(b, r"(?s)^<[^>]*>", 0), "type")
+    ).contains("ld+json")
+    blocks = F.filter(F.regexp_extract_all(html, F.lit(_JSON_LD), F.lit(0)), is_json_ld)
     parsed = F.transform(blocks, lambda b: F.try_parse_json(F.regexp_extract(b, _JSON_LD, 1)))
-    return type_names(F.filter(parsed, lambda v: v.isNotNull()), H.tags(html, ["[a-z][a-z0-9]*"]), depth)
+    types = F.when(
+        html.rlike(r"(?i)ld\+json"), let(F.filter(parsed, lambda v: v.isNotNull()), lambda v: _types_below(v, depth))
+    )
+    scoped = F.exists(H.tags(html, ["[a-z][a-z0-9]*"]), lambda t: t.rlike(r"(?i)\sitemscope[\s=/>]"))
+    microdata = F.when(html.rlike("(?i)itemscope") & scoped, F.array(F.lit("Microdata")))
+    empty = lit_array([])
+    return distinct_ignoring_case(F.concat(F.coalesce(types, empty), F.coalesce(microdata, empty)))
+
+
+def _types_below(items: Column, depth: int) -> Column:
+    """Types of a level and of the levels below it; every level is opened once."""
+    here = _types_in(items)
+    if depth == 0:
+        return here
+    below = let(_open_level(items), lambda v: _types_below(v, depth - 1))
+    return F.when(F.size(items) > 0, F.concat(here, below)).otherwise(lit_array([]))
 
 
 def _open_level(items: Column) -> Column:
@@ -105,22 +112,14 @@ def _types_in(items: Column) -> Column:
 
 def distinct_ignoring_case(values: Column) -> Column:
     """First spelling of every value, blanks dropped."""
-    cleaned = F.filter(F.transform(values, U.strip_space), lambda s: s != "")
-    keys = F.array_distinct(F.transform(cleaned, F.lower))
-    return F.transform(
-        keys, lambda k: F.try_element_at(F.filter(cleaned, lambda s: F.lower(s) == k), F.lit(1))
-    )
 
+    def first_spellings(cleaned: Column) -> Column:
+        keys = F.array_distinct(F.transform(cleaned, F.lower))
+        return F.transform(
+            keys, lambda k: F.try_element_at(F.filter(cleaned, lambda s: F.lower(s) == k), F.lit(1))
+        )
 
-def type_names(items: Column, all_tags: Column | None, depth: int = 6) -> Column:
-    found = [_types_in(items)]
-    for _ in range(depth):
-        items = _open_level(items)
-        found.append(_types_in(items))
-    if all_tags is not None:
-        marked = F.exists(all_tags, lambda t: t.rlike(r"(?i)\sitemscope[\s=/>]"))
-        found.append(F.when(marked, F.array(F.lit("Microdata"))).otherwise(lit_array([])))
-    return distinct_ignoring_case(F.concat(*found))
+    return let(F.filter(F.transform(values, U.strip_space), lambda s: s != ""), first_spellings)
 
 
 def _links(html: Column) -> Column:
@@ -230,7 +229,7 @@ def _feature_columns() -> list[Column]:
             resolved(H.attribute(F.try_element_at(canonical, F.lit(1)), "href")), F.lit("")
         ).alias("canonical_url"),
         resolved(_favicon(relations)).alias("favicon_url"),
-        _headings(doc).alias("headings"),
+        H.headings(doc).alias("headings"),
         H.word_count(doc).alias("word_count"),
         F.size("_images").alias("total_images"),
         F.transform(
