@@ -152,10 +152,8 @@ def sitemap_urls(resources: DataFrame, starts: DataFrame | None = None) -> DataF
         )
         frontier = cut_lineage(step)
         seen = seen.unionByName(frontier)
-    return (
-        files.join(seen, ["site", "sitemap_url"], "left_semi")
-        .select("site", U.normalize_crawl_url(F.explode("pages")).alias("url")).distinct()
-    )
+    listed = unnest(files.join(seen, ["site", "sitemap_url"], "left_semi"), "pages", "page", ["site"])
+    return listed.select("site", U.normalize_crawl_url(F.col("page")).alias("url")).distinct()
 
 
 def all_urls(sitemap: DataFrame, crawled: DataFrame) -> DataFrame:
