@@ -156,3 +156,15 @@ def test_arriving_pages_are_audited_once(spark):
     q.awaitTermination()
     r = spark.table("counters").first()
     assert (r.analyzed_pages, r.discovered_internal_pages) == (6, 7)
+
+
+def test_whole_audit_writes_every_table(spark):
+    from pagewarden.plans import site_audit
+
+    folder = tempfile.mkdtemp(prefix="pagewarden-")
+    pages = spark.createDataFrame([(i, f"https://s.com/p{i}", f"<title>t</title><h1>x</h1><a href='/p{i + 1}'>n</a>") for i in range(4)], "page_id bigint, url string, html string")
+    status = spark.createDataFrame([("https://s.com/p1", 200)], tables.LINK_STATUS)
+    out = site_audit.run(pages, status, folder)
+    assert out["findings"].count() == 36 and out["site_scores"].first().pages == 4
+    assert out["internal_linking"].first().orphan_pages_sample == ["https://s.com/p0"]
+    assert out["broken_links"].first().broken_count == 3
