@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -15,7 +13,7 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", warehouse: str | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster the submitter sets these."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -24,6 +22,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -34,17 +34,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, because there every task sees the same disk.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, it
+    is a folder below the session's warehouse, which every executor reaches as well.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="pagewarden-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_runs/{context.applicationId}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
