@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe_tree, packing, token_count
+from pagewarden.llm import bpe_tree, exact_dedup, language, licence, order_minhash, packing, token_count, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +28,62 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def held_out() -> Column:
+    """Documents that the language model never learns from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs.filter(~held_out()))
+    found = language.predict(docs, model, with_spans=False)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(_documents(spark, sf_dir))
+
+
 @_query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.scan_licences(_documents(spark, sf_dir)).drop("spans")
+
+
+@_query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+
+
+ORACLES["op6_exact_dedup"] = r"""
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]+', ' ', 'g') AS norm FROM documents)
+WINDOW same AS (PARTITION BY norm)
+"""
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLES["op7_warc"] = """
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest,
+             max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+      FROM pages)
+"""
+
+
 @_query
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
