@@ -249,3 +249,18 @@ def predict(
     spans = ", spans array<struct<lang:string,first_word:bigint,words:bigint,letters:bigint>>" if with_spans else ""
     schema = f"doc_id {id_type(docs, id_col)}, lang_pred string, score double{spans}"
     return id_text(docs, id_col, text_col).mapInArrow(_predictor(model, with_spans, words_at_once), schema)
+
+
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.5, words_at_once: int = 1_000_000) -> DataFrame:
+    """The rows, with all their columns, of which a learned language holds at least the
+    share ``min_score`` of the letters. Null texts and texts without letters go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = _predictor(model, False, words_at_once)
+        for batch in batches:
+            texts = pa.array([t or "" for t in columns_of(batch, text_col)[0]], pa.string())
+            (found,) = label(iter([pa.RecordBatch.from_arrays([texts, texts], names=["doc_id", "text"])]))
+            keep = [p != UNDETERMINED and s >= min_score for p, s in zip(*columns_of(found, "lang_pred", "score"), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -122,7 +122,7 @@ def _packer(path: str, end_id: int, capacity: int, piece_tokens: int, group_wind
                 if held >= group_windows * capacity:
                     place(group, windows([p[2] for p in group], capacity))
                     group, held = [], 0
-                if len(out) >= 10_000:
+                if len(out) >= 4096:
                     yield rows()
         if group:
             place(group, windows([p[2] for p in group], capacity))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe_tree, exact_dedup, language, licence, lsh_forest, order_minhash, packing, token_count, warc
+from pagewarden.llm import bpe_tree, exact_dedup, language, licence, lsh_forest, order_minhash, packing, style_tree, token_count, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,11 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, ''))
 """
 
 
+@_query
+def op8_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @_query
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
