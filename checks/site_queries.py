@@ -54,11 +54,10 @@ def _(spark, folder):
 
 
 BROKEN = """
-st AS MATERIALIZED (SELECT origin || path AS url, CASE WHEN q = 0 THEN 404 WHEN x = 1 THEN 0 ELSE 200 END AS status_code FROM d),
+st AS MATERIALIZED (SELECT origin || path AS url, CASE WHEN q = 0 THEN 404 WHEN x = 1 THEN 0 ELSE 200 END AS status_code FROM d WHERE doc_id % 7 <> 3),
 tg AS (SELECT site, url, page_id, pos, src_url FROM links WHERE internal QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id, pos) = 1),
-tk AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, pos, url) AS rank FROM tg QUALIFY rank <= 20),
-checked AS (SELECT tk.site, tk.rank, tk.src_url, tk.url AS dst_url, CAST(coalesce(st.status_code, 0) AS INT) AS status_code FROM tk LEFT JOIN st ON st.url = tk.url),
-broken AS (SELECT site, count(*) AS checked_count, count(*) FILTER (WHERE status_code = 0 OR status_code >= 400) AS broken_count FROM checked GROUP BY site)"""
+checked AS (SELECT tg.site, tg.page_id, tg.pos, tg.src_url, tg.url AS dst_url, CAST(st.status_code AS INT) AS status_code FROM tg LEFT JOIN st ON st.url = tg.url),
+broken AS (SELECT site, count(status_code) AS checked_count, count(*) FILTER (WHERE status_code = 0 OR status_code >= 400) AS broken_count, count(*) - count(status_code) AS unknown_count FROM checked GROUP BY site)"""
 
 _SCORES = f""",{BROKEN},
 w AS (SELECT site, max(total) AS pages, {', '.join(f"max(score) FILTER (WHERE metric_key = '{m[0]}') AS {m[0]}" for m in C.SITE_METRICS)} FROM coverage GROUP BY site),
@@ -145,13 +144,15 @@ def _(spark, folder):
 
 @query(
     "issue_matrix",
-    f"""WITH {CHECKLIST}, r AS (SELECT *, row_number() OVER (PARTITION BY site, issue ORDER BY page_id) AS n FROM issues)
-    SELECT site, issue, severity, count(*) AS pages, array_to_string(list(url ORDER BY n) FILTER (WHERE n <= 5), ' ') AS sample_pages, CAST({O.rank('severity', 3)} AS INT) AS severity_rank
-    FROM r GROUP BY site, issue, severity""",
+    f"""WITH {CHECKLIST} SELECT site, issue, severity, count(*) AS pages, CAST({O.rank('severity', 3)} AS INT) AS severity_rank FROM issues GROUP BY site, issue, severity""",
 )
 def _(spark, folder):
-    issues = page_health.page_issues(R.stored_features(spark, folder))
-    return site.issue_matrix(issues).withColumn("sample_pages", F.array_join("sample_pages", " "))
+    return site.issue_matrix(page_health.page_issues(R.features(spark, folder)))
+
+
+@query("issue_pages", f"WITH {CHECKLIST} SELECT site, issue, severity, page_id, url FROM issues")
+def _(spark, folder):
+    return site.issue_pages(page_health.page_issues(R.features(spark, folder)))
 
 
 @query(
@@ -167,10 +168,15 @@ def _(spark, folder):
     "external_domains_by_site",
     f"""WITH {O.LINKS}, e AS (SELECT DISTINCT site, regexp_extract(url, '//([^/?]*)', 1) AS domain FROM links WHERE NOT internal),
     r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY domain) AS rank, count(*) OVER (PARTITION BY site) AS n FROM e)
-    SELECT site, CAST(rank AS INT) AS rank, domain, greatest(n - 5, 0) AS remaining FROM r WHERE rank <= 5""",
+    SELECT site, CAST(rank AS INT) AS rank, domain, greatest(n - 30, 0) AS remaining FROM r WHERE rank <= 30""",
 )
 def _(spark, folder):
-    return site.external_domain_report(cut_lineage(R.features(spark, folder).select("site", "external_domains")), 5)
+    return site.external_domain_report(cut_lineage(R.features(spark, folder).select("site", "external_domains")))
+
+
+@query("all_external_domains", f"WITH {O.LINKS} SELECT DISTINCT site, regexp_extract(url, '//([^/?]*)', 1) AS domain FROM links WHERE NOT internal")
+def _(spark, folder):
+    return site.distinct_values(R.features(spark, folder), "external_domains", "domain")
 
 
 @query(
@@ -215,13 +221,13 @@ def _(spark, folder):
 @query(
     "slowest_pages",
     """SELECT event_id, user_id AS site, CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 AS response_ms,
-      row_number() OVER (PARTITION BY user_id ORDER BY CAST(json_extract_string(props, '$.k') AS BIGINT) DESC, event_id) AS rank FROM events QUALIFY rank <= 20""",
+      row_number() OVER (PARTITION BY user_id ORDER BY CAST(json_extract_string(props, '$.k') AS BIGINT) DESC, event_id) AS rank FROM events""",
 )
 def _(spark, folder):
     rows = R.table(spark, folder, "events").select(
         "event_id", F.col("user_id").alias("site"), (F.get_json_object("props", "$.k").cast("bigint") * 10).alias("response_ms")
     )
-    return top_k(rows, ["site"], [F.desc("response_ms"), F.col("event_id")], 20).withColumn("rank", F.col("rank").cast("bigint"))
+    return site.slowest_pages(rows, "event_id").withColumnRenamed("place", "rank")
 
 
 @query(
@@ -298,15 +304,15 @@ def _(spark, folder):
     return links.graph_link_score(g.select("site", F.col("src_url").alias("url")), g)
 
 
-@query("checked_links", f"WITH {O.LINKS},{BROKEN} SELECT site, CAST(rank AS INT) AS rank, src_url, dst_url, status_code, status_code = 0 OR status_code >= 400 AS is_broken FROM checked")
+@query("checked_links", f"WITH {O.LINKS},{BROKEN} SELECT site, page_id, pos, src_url, dst_url, status_code, CASE WHEN status_code IS NULL THEN 'unknown' WHEN status_code = 0 OR status_code >= 400 THEN 'broken' ELSE 'ok' END AS state FROM checked")
 def _(spark, folder):
     return links.checked_links(R.graph(spark, folder), R.link_status(spark, folder))
 
 
 @query(
     "broken_summary",
-    f"""WITH {O.LINKS},{BROKEN}, b AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY rank) AS n FROM checked WHERE status_code = 0 OR status_code >= 400)
-    SELECT br.site, checked_count, broken_count, {O.pct('broken_count', 'checked_count')} AS broken_ratio,
+    f"""WITH {O.LINKS},{BROKEN}, b AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, pos, dst_url) AS n FROM checked WHERE status_code = 0 OR status_code >= 400)
+    SELECT br.site, checked_count, broken_count, unknown_count, {O.pct('broken_count', 'checked_count')} AS broken_ratio,
       coalesce((SELECT array_to_string(list(dst_url ORDER BY n), ' ') FROM b WHERE b.site = br.site AND n <= 5), '') AS broken_links FROM broken br""",
 )
 def _(spark, folder):
@@ -317,7 +323,7 @@ def _(spark, folder):
 @query(
     "reachable_pages",
     f"""WITH RECURSIVE {O.LINKS}, e AS MATERIALIZED (SELECT DISTINCT site, src_url, url FROM links WHERE internal),
-    r AS (SELECT DISTINCT site, origin || '/' AS url, 0 AS depth FROM d UNION SELECT e.site, e.url, r.depth + 1 FROM r JOIN e ON e.site = r.site AND e.src_url = r.url WHERE r.depth < 5)
+    r AS (SELECT DISTINCT site, origin || '/' AS url, 0 AS depth FROM d UNION SELECT e.site, e.url, r.depth + 1 FROM r JOIN e ON e.site = r.site AND e.src_url = r.url WHERE r.depth < 64)
     SELECT site, url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY site, url""",
 )
 def _(spark, folder):
@@ -331,9 +337,9 @@ SITEMAP = (
 sm AS MATERIALIZED (SELECT site, origin || path AS url, CASE WHEN q = 1 THEN 2 ELSE 1 END AS n FROM d WHERE q >= 0),
 cr AS (SELECT DISTINCT site, url FROM links WHERE internal),
 al AS MATERIALIZED (SELECT site, url FROM sm UNION SELECT site, url FROM cr),
-st AS (SELECT origin || path AS url, CASE WHEN q = 0 THEN 404 WHEN x = 1 THEN 0 ELSE 200 END AS status_code FROM d),
-br AS (SELECT a.site, count(*) FILTER (WHERE coalesce(status_code, 0) = 0 OR status_code >= 400) AS broken FROM
-  (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS n FROM al QUALIFY n <= 30) a LEFT JOIN st ON st.url = a.url GROUP BY a.site),
+st AS (SELECT origin || path AS url, CASE WHEN q = 0 THEN 404 WHEN x = 1 THEN 0 ELSE 200 END AS status_code FROM d WHERE doc_id % 7 <> 3),
+br AS (SELECT a.site, count(*) FILTER (WHERE status_code = 0 OR status_code >= 400) AS broken FROM
+  al a LEFT JOIN st ON st.url = a.url GROUP BY a.site),
 orp AS (SELECT a.site, count(*) AS orphans FROM al a LEFT JOIN targets t ON t.site = a.site AND t.url = a.url WHERE t.url IS NULL GROUP BY a.site),
 tot AS (SELECT a.site, count(*) AS total_urls, count(sm.url) AS listed, CAST(coalesce(sum(sm.n - 1), 0) AS BIGINT) AS duplicates FROM al a LEFT JOIN sm ON sm.site = a.site AND sm.url = a.url GROUP BY a.site),
 sx AS (SELECT tot.site, total_urls, CASE WHEN listed > 0 THEN listed ELSE total_urls END AS included, coalesce(broken, 0) AS broken, coalesce(orphans, 0) AS orphans, duplicates

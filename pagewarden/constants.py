@@ -65,10 +65,7 @@ OPTIONAL_SITE_METRICS = [
 BROKEN_RATIO_MAX = 2.0
 
 # --- fixed values: limits ---------------------------------------------------
-MAX_DEPTH = 5
 MAX_PAGES = 500
-LINK_CHECK_LIMIT = 20
-STATUS_CHECK_LIMIT = 30
 SAMPLE_LIMIT = 5
 EVIDENCE_LIMIT = 3
 RECENT_EVENTS = 50

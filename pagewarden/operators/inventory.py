@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewarden import constants as C
 from pagewarden.functions.urls import strip_space
 from pagewarden.operators.ranking import flag_repeated, numbered
+from pagewarden.session import stored
 
 _FLAGS = {
     "missing_titles": "Missing Title", "short_titles": "Title Too Short", "long_titles": "Title Too Long",
@@ -23,6 +24,7 @@ def inventory(features: DataFrame) -> DataFrame:
         strip_space(F.coalesce("title", F.lit(""))).alias("title"),
         strip_space(F.coalesce("description", F.lit(""))).alias("meta_description"),
     )
+    pages = stored(pages, "inventory")  # read once for the rows and once for each duplicate count
     no_title = F.col("title").isin("", "N/A")
     no_meta = F.col("meta_description").isin("", "Not Found")
     pages = flag_repeated(pages, ["site", "title"], "duplicate_titles", no_title)
@@ -41,7 +43,7 @@ def inventory(features: DataFrame) -> DataFrame:
         "duplicate_titles", "duplicate_metas",
     )
     issues = F.array_compact(F.array(*[F.when(F.col(f), F.lit(text)) for f, text in _FLAGS.items()]))
-    return numbered(flagged, "site", "page_id").select(
+    return numbered(flagged, "site", ["page_id"]).select(
         "s_no", "site", "page_id", "url",
         F.when(F.col("missing_titles"), "Not Found").otherwise(F.col("title")).alias("title"),
         "title_length",

@@ -12,7 +12,7 @@ from pagewarden import constants as C
 from pagewarden.functions import numbers as N
 from pagewarden.functions import scores as S
 from pagewarden.operators.ranking import top_k
-from pagewarden.session import cut_lineage
+from pagewarden.session import stored
 from pagewarden.operators.rows import unnest
 
 
@@ -47,7 +47,7 @@ def internal_linking(features: DataFrame) -> DataFrame:
     totals = features.groupBy("site").agg(
         F.count(F.lit(1)).alias("_pages"), F.sum("internal_links_count").alias("total_internal_links")
     )
-    lost = orphans(features, internal_targets(features))
+    lost = stored(orphans(features, internal_targets(features)), "orphans")
     counted = lost.groupBy("site").agg(F.count(F.lit(1)).alias("orphan_page_count"))
     joined = totals.join(counted, "site", "left").join(_sample(lost, "url", "orphan_pages_sample"), "site", "left")
     measured = joined.select(
@@ -109,32 +109,35 @@ def graph_link_score(all_urls: DataFrame, graph: DataFrame) -> DataFrame:
     )
 
 
-def checked_links(graph: DataFrame, link_status: DataFrame, limit: int = C.LINK_CHECK_LIMIT) -> DataFrame:
-    """First distinct internal targets of each site, in page order, with their status.
+def checked_links(graph: DataFrame, link_status: DataFrame) -> DataFrame:
+    """Every distinct internal target of each site with its first place and its status.
 
-    A target that was never fetched counts as status 0.
+    ``state`` is ``ok``, ``broken`` or, for a target whose status is not known, ``unknown``;
+    only known ones are judged.
     """
     first = (
         graph.filter("is_internal").groupBy("site", "dst_url")
         .agg(F.min(F.struct("page_id", "pos", "src_url")).alias("f"))
         .select("site", "dst_url", "f.*")
     )
-    picked = top_k(first, ["site"], [F.col("page_id"), F.col("pos"), F.col("dst_url")], limit)
-    status = F.coalesce("status_code", F.lit(0))
-    return picked.join(
-        link_status.select(F.col("url").alias("dst_url"), "status_code"), "dst_url", "left"
-    ).select(
-        "site", "rank", "src_url", "dst_url", status.alias("status_code"), S.is_broken(status).alias("is_broken")
+    known = link_status.filter(F.col("status_code").isNotNull()).select(F.col("url").alias("dst_url"), "status_code")
+    state = F.when(F.col("status_code").isNull(), "unknown").when(S.is_broken(F.col("status_code")), "broken").otherwise("ok")
+    return first.join(known, "dst_url", "left").select(
+        "site", "page_id", "pos", "src_url", "dst_url", "status_code", state.alias("state")
     )
 
 
 def broken_summary(checked: DataFrame, samples: int = C.SAMPLE_LIMIT) -> DataFrame:
-    """Checked and broken links, their ratio and the first broken ones of each site."""
+    """Judged, broken and unknown links, the broken share of the judged ones, and the first
+    broken ones of each site; ``checked`` itself is the full list."""
+    state = F.col("state")
     totals = checked.groupBy("site").agg(
-        F.count(F.lit(1)).alias("checked_count"), F.count_if("is_broken").alias("broken_count")
+        F.count_if(state != "unknown").alias("checked_count"), F.count_if(state == "broken").alias("broken_count"),
+        F.count_if(state == "unknown").alias("unknown_count"),
     )
+    order = [F.col("page_id"), F.col("pos"), F.col("dst_url")]
     sample = (
-        top_k(checked.filter("is_broken"), ["site"], [F.col("rank")], samples, "_n")
+        top_k(checked.filter(state == "broken"), ["site"], order, samples)
         .groupBy("site")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "src_url", "dst_url", "status_code"))).alias("broken_links"))
     )
@@ -144,18 +147,21 @@ def broken_summary(checked: DataFrame, samples: int = C.SAMPLE_LIMIT) -> DataFra
 
 
 def reachability(
-    starts: DataFrame, graph: DataFrame, max_depth: int = C.MAX_DEPTH, max_pages: int | None = None
+    starts: DataFrame, graph: DataFrame, max_depth: int | None = None, max_pages: int | None = None
 ) -> DataFrame:
     """Lowest depth of every url that can be reached from the start urls of its site.
 
-    One join per level, at most ``max_depth``. The links and every level are written to
-    the checkpoint folder, so lineage does not grow and a lost executor costs one level.
-    ``max_pages`` is the crawl limit per site, by depth and url.
+    One join per level, until a level finds nothing new or ``max_depth`` is reached where
+    it is given. The links and every level are stored as Parquet in the shared folder, so
+    lineage does not grow and a lost executor costs one level. ``max_pages`` is a crawl
+    limit per site, by depth and url, for callers that want one.
     """
-    links = cut_lineage(graph.filter("is_internal").select("site", "src_url", "dst_url").distinct())
-    frontier = cut_lineage(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
+    links = stored(graph.filter("is_internal").select("site", "src_url", "dst_url").distinct(), "links")
+    frontier = stored(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)), "level")
     found = frontier
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        depth += 1
         step = (
             frontier.select("site", F.col("url").alias("src_url"))
             .join(links, ["site", "src_url"])
@@ -163,9 +169,7 @@ def reachability(
             .distinct()
             .join(found.select("site", "url"), ["site", "url"], "left_anti")
         )
-        frontier = cut_lineage(step.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
+        frontier = stored(step.withColumn("depth", F.lit(depth)), "level")
         found = found.unionByName(frontier)
     if max_pages:
         found = top_k(found, ["site"], [F.col("depth"), F.col("url")], max_pages).drop("rank")

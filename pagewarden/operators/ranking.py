@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewarden.session import stored
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each key. Tasks drop their surplus before the shuffle."""
@@ -19,24 +21,25 @@ def first_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
 
 
-def numbered(
-    df: DataFrame, key: str, order_id: str, name: str = "s_no", rows_per_block: int = 100_000
-) -> DataFrame:
-    """1-based number of every row within its key, by a unique integer column.
+def numbered(df: DataFrame, key: str, order: list[str | Column], name: str = "s_no") -> DataFrame:
+    """1-based number of every row within its key, in a unique order.
 
-    One sort per key would put a whole hot key in one task. Rows are numbered within
-    blocks of the id range, and the small table of block counts gives the offsets.
+    One sort per key would put a whole hot key in one task. Rows are range-partitioned by
+    key and order, which follows the rows and not the values of an id, numbered within
+    their partition, and moved on by the counts of the partitions before. The partitioned
+    rows are stored, so that all of it speaks of the same partitions.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order_id) / rows_per_block))
-    counts = blocked.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(key, "_block").orderBy(order_id)
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stored(df.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
     return (
-        blocked.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [key, "_block"])
+        ranged.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, [key, "_part"])
         .withColumn(name, (F.col("_before") + F.col("_rn")).cast("bigint"))
-        .drop("_block", "_rn", "_before")
+        .drop("_part", "_rn", "_before")
     )
 
 

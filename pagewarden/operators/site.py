@@ -10,7 +10,7 @@ from pagewarden.functions import numbers as N
 from pagewarden.functions import scores as S
 from pagewarden.functions.urls import strip_space
 from pagewarden.operators import page_health as PH
-from pagewarden.operators.ranking import first_by, top_k
+from pagewarden.operators.ranking import first_by, numbered, top_k
 from pagewarden.operators.rows import unnest
 
 
@@ -194,18 +194,20 @@ def severity_totals(issues: DataFrame) -> DataFrame:
     )
 
 
-def issue_matrix(issues: DataFrame, samples: int = C.SAMPLE_LIMIT) -> DataFrame:
-    """Issues by frequency with a few sample pages; ``issues`` itself is the full list."""
+def issue_matrix(issues: DataFrame) -> DataFrame:
+    """Pages per issue and severity; ``issue_pages`` lists them."""
     counts = issues.groupBy("site", "issue", "severity").agg(F.count(F.lit(1)).alias("pages"))
-    sample = (
-        top_k(issues, ["site", "issue"], [F.col("page_id")], samples)
-        .groupBy("site", "issue")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("_s"))
-        .select("site", "issue", F.transform("_s", lambda x: x["url"]).alias("sample_pages"))
-    )
-    return counts.join(sample, ["site", "issue"]).withColumn(
-        "severity_rank", N.priority_rank(F.col("severity"), 3)
-    )
+    return counts.withColumn("severity_rank", N.priority_rank(F.col("severity"), 3))
+
+
+def issue_pages(issues: DataFrame) -> DataFrame:
+    """Every page of every issue."""
+    return issues.select("site", "issue", "severity", "page_id", "url")
+
+
+def slowest_pages(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """Every page with its place by falling response time within its site."""
+    return numbered(pages, "site", [F.desc("response_ms"), F.col(page_id)], "place")
 
 
 def distinct_values(features: DataFrame, column: str, name: str) -> DataFrame:

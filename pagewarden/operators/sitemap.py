@@ -15,7 +15,7 @@ from pagewarden.functions import urls as U
 from pagewarden.functions.urls import strip_space
 from pagewarden.operators.links import graph_link_score, in_degree, orphans
 from pagewarden.operators.ranking import first_by, top_k
-from pagewarden.session import cut_lineage
+from pagewarden.session import stored
 from pagewarden.operators.rows import unnest
 
 _XML = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>, _corrupt_record STRING"
@@ -140,9 +140,9 @@ def parse(resources: DataFrame) -> DataFrame:
 
 def sitemap_urls(resources: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Distinct page urls of each site's sitemap, index files followed level by level."""
-    files = cut_lineage(parse(resources))
+    files = stored(parse(resources), "sitemaps")
     starts = discover(resources) if starts is None else starts
-    frontier = cut_lineage(starts.select("site", "sitemap_url").distinct())
+    frontier = stored(starts.select("site", "sitemap_url").distinct(), "frontier")
     seen = frontier
     while not frontier.isEmpty():
         step = (
@@ -150,7 +150,7 @@ def sitemap_urls(resources: DataFrame, starts: DataFrame | None = None) -> DataF
             .select("site", F.explode("children").alias("sitemap_url")).distinct()
             .join(seen, ["site", "sitemap_url"], "left_anti")
         )
-        frontier = cut_lineage(step)
+        frontier = stored(step, "frontier")
         seen = seen.unionByName(frontier)
     listed = unnest(files.join(seen, ["site", "sitemap_url"], "left_semi"), "pages", "page", ["site"])
     return listed.select("site", U.normalize_crawl_url(F.col("page")).alias("url")).distinct()
@@ -161,12 +161,10 @@ def all_urls(sitemap: DataFrame, crawled: DataFrame) -> DataFrame:
     return sitemap.select("site", "url").unionByName(crawled.select("site", "url")).distinct()
 
 
-def broken_urls(urls: DataFrame, link_status: DataFrame, limit: int = C.STATUS_CHECK_LIMIT) -> DataFrame:
-    """Broken ones among the first urls of each site."""
-    first = top_k(urls.select("site", "url").distinct(), ["site"], [F.col("url")], limit)
-    return first.join(link_status.select("url", "status_code"), "url", "left").withColumn(
-        "status_code", F.coalesce("status_code", F.lit(0))
-    ).filter(S.is_broken(F.col("status_code")))
+def broken_urls(urls: DataFrame, link_status: DataFrame) -> DataFrame:
+    """The urls whose known status is a failure; urls without a status are not judged."""
+    known = link_status.select("url", "status_code").filter(S.is_broken(F.col("status_code")))
+    return urls.select("site", "url").distinct().join(known, "url")
 
 
 def metrics(sitemap: DataFrame, crawled: DataFrame, graph: DataFrame, link_status: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ def audit_tables(features: DataFrame, link_status: DataFrame) -> dict[str, DataF
         "inventory": inventory.inventory(features),
         "issues": issues,
         "issue_matrix": site.issue_matrix(issues),
+        "issue_pages": site.issue_pages(issues),
         "coverage": site.coverage(features),
         "site_scores": site.site_scores(features, broken),
         "site_summary": summary,
@@ -42,7 +43,8 @@ def audit_tables(features: DataFrame, link_status: DataFrame) -> dict[str, DataF
         "domain_authority": site.domain_authority(features),
         "broken_links": broken,
         "word_counts": site.word_count_table(features),
-        "external_domains": site.external_domain_report(features),
+        "external_domains": site.distinct_values(features, "external_domains", "domain"),
+        "external_domain_report": site.external_domain_report(features),
     }
 
 

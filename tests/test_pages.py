@@ -85,9 +85,8 @@ def test_inventory_flags_repeated_titles(spark, features):
 
 
 def test_numbering_across_blocks(spark):
-    df = spark.range(1000).select((F.col("id") % 3 == 0).cast("string").alias("k"), F.col("id") * 7 + 5)
-    df = df.toDF("k", "i")
-    got = numbered(df, "k", "i", rows_per_block=64)
+    df = spark.range(1000).select((F.col("id") % 3 == 0).cast("string").alias("k"), F.xxhash64("id").alias("i"))
+    got = numbered(df, "k", ["i"])
     for key in ("true", "false"):
         mine = [r.s_no for r in got.filter(F.col("k") == key).orderBy("i").collect()]
         assert mine == list(range(1, len(mine) + 1))
@@ -111,7 +110,10 @@ def test_graph_operators(spark):
     assert {r.url for r in links.reachability(start, g, max_pages=2).collect()} == {"a", "b"}
     status = spark.createDataFrame([("b", 200), ("c", 404)], "url string, status_code int")
     b = links.broken_summary(links.checked_links(g, status)).filter("site = 's'").first()
-    assert (b.checked_count, b.broken_count, b.broken_ratio) == (3, 2, 66.7)
+    assert (b.checked_count, b.broken_count, b.unknown_count, b.broken_ratio) == (2, 1, 1, 50.0)
+    many = g.sparkSession.range(40).selectExpr("'s' site", "id page_id", "'a' src_url", "concat('t', id) dst_url", "0 pos", "true is_internal")
+    late = many.selectExpr("dst_url url", "if(page_id < 20, 200, 404) status_code")
+    assert links.broken_summary(links.checked_links(many, late)).first().broken_ratio == 50.0
 
 
 def test_user_rules_and_evidence(features):
