@@ -142,7 +142,7 @@ f0 AS (
          n_chars > 300 AS has_canonical, q = 1 AS has_viewport_meta, x <> 1 AS is_indexable,
          CASE lang WHEN 'de' THEN 2 WHEN 'es' THEN 0 ELSE 1 END AS h1_count,
          CAST({words('d.s1')} * (CASE lang WHEN 'de' THEN 2 WHEN 'es' THEN 0 ELSE 1 END) + {words('d.s2')} + {words('d.text')}
-           + f.anchor_words + 1 AS INT) AS word_count,
+           + f.anchor_words + 4 AS INT) AS word_count,
          CAST(d.doc_id % 6 AS INT) AS total_images, CAST(least(d.doc_id % 3, d.doc_id % 6) AS INT) AS missing_alt_count,
          lang IN ('en', 'de') AS has_open_graph, lang = 'fr' AS has_twitter_card,
          CASE WHEN lang IN ('en', 'de') THEN s1 ELSE '' END AS og_title,

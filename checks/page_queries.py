@@ -461,7 +461,7 @@ _feature_query("social_tags", ["has_open_graph", "has_twitter_card"], "has_open_
 _feature_query(
     "structured_data_types",
     lambda: [F.array_join(F.array_sort("structured_data_types"), " ").alias("types"), "has_structured_data"],
-    """CASE WHEN lang = 'en' AND q = 1 THEN 'LocalBusiness' WHEN lang IN ('de', 'fr') THEN 'Article Person' WHEN lang = 'es' THEN 'Microdata' ELSE '' END AS types,
+    """CASE WHEN lang = 'en' AND q = 1 THEN 'LocalBusiness' WHEN lang IN ('de', 'fr') THEN 'Person article' WHEN lang = 'es' THEN 'Microdata' ELSE '' END AS types,
     has_structured_data""",
 )
 _feature_query(

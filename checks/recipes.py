@@ -99,7 +99,8 @@ def authored_pages(spark: SparkSession, folder: str) -> DataFrame:
         put(german | french, '<script type="application/ld+json">{"@graph": [{"@type": "Article"}, {"@type": ["Person", "article"]}]}</script>'),
         F.lit("<style>p{margin:0}</style></head>"),
         F.when(spanish, "<body itemscope>").otherwise("<body>"),
-        F.lit('<nav><a href="/">Home page</a></nav><!-- <h1>not shown</h1> -->'),
+        F.lit('<script>document.write("<a href=\'/fake\'>f</a><h1>no</h1><img src=x>"); var c = \'<!-- start\';</script>'),
+        F.lit('<nav><nav>inner menu</nav><a href="/">Home page</a></nav><!-- <h1>not shown</h1> <script> -->'),
         put(~spanish, "<h1>", one, "</h1>"),
         put(german, "<h1 class=x>", one, "</h1>"),
         F.lit("<h2>"), two, F.lit("</h2><p>"), _escape(c("text")), F.lit("</p>"), images,
@@ -111,8 +112,8 @@ def authored_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('<a href="mailto:a@b.example">Mail</a>'),
         put(english, '<a href="//site', c("k"), '.example.org/shared/">Shared</a>'),
         put(c("q") == 1, '<a href="http://blog.site', c("k"), '.example.org">Blog</a>'),
-        F.lit('</p><div style="color: red; display: none">hidden words</div><script>var a = "not counted";</script>'),
-        F.lit("<footer>small print</footer></body></html>"),
+        F.lit('</p><div style="color: red; display: none">hidden <div>inner</div> words</div><script>var a = "not counted";</script>'),
+        F.lit("<footer>small <form>print</footer><h4 class=z>Last <i>words</i><p>seen</body></html>"),
     )
     return d.select(
         c("doc_id").alias("page_id"), F.concat(c("origin"), c("path")).alias("url"), html.alias("html"),

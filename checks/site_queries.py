@@ -157,7 +157,7 @@ def _(spark, folder):
 
 @query(
     "schema_types_by_site",
-    f"""WITH {O.DOCS}, t AS (SELECT site, unnest(CASE WHEN lang = 'en' AND q = 1 THEN ['LocalBusiness'] WHEN lang IN ('de', 'fr') THEN ['Article', 'Person'] WHEN lang = 'es' THEN ['Microdata'] ELSE [] END) AS schema_type FROM d)
+    f"""WITH {O.DOCS}, t AS (SELECT site, unnest(CASE WHEN lang = 'en' AND q = 1 THEN ['LocalBusiness'] WHEN lang IN ('de', 'fr') THEN ['Person', 'article'] WHEN lang = 'es' THEN ['Microdata'] ELSE [] END) AS schema_type FROM d)
     SELECT DISTINCT site, schema_type FROM t""",
 )
 def _(spark, folder):

@@ -132,6 +132,7 @@ TITLE_SEPARATOR = r"\s*[|:\-\x{2013}\x{2014}]\s*"
 EXCLUDED_TAGS = [
     "script", "style", "noscript", "svg", "header", "footer", "nav", "head", "form",
 ]
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 # --- fixed values: local business -------------------------------------------
 LOCAL_SCHEMA_TYPES = ["LocalBusiness", "Organization", "Store", "Restaurant"]

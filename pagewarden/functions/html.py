@@ -1,7 +1,7 @@
 """HTML Columns: tags, attributes, text and entities by regular expression.
 
-The patterns use possessive quantifiers and one pass per tag family, so a page is
-scanned a fixed number of times whatever it holds.
+Patterns use possessive quantifiers, and every match of an open-ended one runs to its end
+or the page's, so broken markup does not make a scan start over.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pagewarden import constants as C
 from pagewarden.functions.numbers import let
 from pagewarden.functions.urls import strip_space
 
-# inside of a tag, up to but without '>': quoted values may hold '>', stray quotes end nothing
-INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+# inside of a tag, up to but without '>': quoted values may hold '<' and '>', stray quotes end nothing
+INSIDE = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TAG = rf"<[/a-zA-Z!?]{INSIDE}>"
 
 # fixed values: entities common enough for a direct replacement; '&amp;' has to come last
@@ -106,13 +106,27 @@ def text_of(fragment: Column, joined_by: str = " ") -> Column:
     return strip_space(unescape(parts))
 
 
+_RAW = r"(<(script|style)(?=[\s/>])" + INSIDE + r">)(.*?)(</\2(?=[\s/>])|\z)"
+
+
 def without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
+    """Comments out, script and style text as it is: what comes first, a comment or such an
+    element, hides the start of the other. Every match runs to its end or the page's, so
+    the scan is linear."""
+    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|{_RAW}", " $1$3$4")
+
+
+def without_raw_text(html: Column) -> Column:
+    """Script and style elements emptied: their text is no markup. Needs ``without_comments``."""
+    return F.regexp_replace(html, rf"(?is){_RAW}", "$1$4")
 
 
 def headings(html: Column) -> Column:
-    """Texts of h1-h6 by level; the page is scanned once for all six."""
-    found = F.regexp_extract_all(html, F.lit(rf"(?is)<h([1-6])(?=[\s>]){INSIDE}>.*?</h\1\s*>"), F.lit(0))
+    """Texts of h1-h6 by level, one scan for all six. A heading without an end runs to the
+    next heading or the end of the page."""
+    found = F.regexp_extract_all(
+        html, F.lit(rf"(?is)<h([1-6])(?=[\s>]){INSIDE}>.*?(?:</h\1\s*>|(?=<h[1-6][\s>])|\z)"), F.lit(0)
+    )
 
     def level(elements: Column, n: int) -> Column:
         hits = F.filter(elements, lambda e: F.substring(e, 3, 1) == str(n))
@@ -121,23 +135,55 @@ def headings(html: Column) -> Column:
     return let(found, lambda elements: F.struct(*[level(elements, n) for n in range(1, 7)]))
 
 
-def visible_text(html: Column) -> Column:
-    """Body text without excluded elements and inline-hidden ones."""
-    names = "|".join(C.EXCLUDED_TAGS)
-    hidden = (
-        r"(?is)<([a-z][a-z0-9]*)\b[^>]*\sstyle\s*=\s*"
-        r"""(?:"[^"]*(?:display: none|visibility: hidden)[^"]*"|'[^']*(?:display: none|visibility: hidden)[^']*')"""
-        r"[^>]*>.*?</\1\s*>"
-    )
-    shown = F.regexp_replace(html, rf"(?is)<({names})(?=[\s>])[^>]*>.*?</\1\s*>", " ")
-    shown = F.regexp_replace(shown, hidden, " ")
-    return unescape(F.regexp_replace(shown, TAG, " "))
+def _is_hidden(tag: Column) -> Column:
+    return F.lower(attribute(tag, "style")).rlike("display: none|visibility: hidden")
+
+
+def visible_words(html: Column) -> Column:
+    """Words outside excluded and inline-hidden elements.
+
+    One fold over tags and texts: ``name`` is the element that hides, ``same`` how many of
+    that name are open, ``inner`` how many elements are open inside. An end tag that fits
+    none of those ends an element around it, and the hiding with it.
+    """
+    tokens = F.regexp_extract_all(html, F.lit(rf"(?s){TAG}|[^<]++|<"), F.lit(0))
+    zero = F.struct(F.lit("").alias("name"), F.lit(0).alias("same"), F.lit(0).alias("inner"), F.lit(0).alias("n"))
+
+    def state(name: Column, same: Column, inner: Column, n: Column) -> Column:
+        return F.struct(name.alias("name"), same.alias("same"), inner.alias("inner"), n.alias("n"))
+
+    def step(acc: Column, token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
+        is_tag, closes = token.rlike(r"^<."), token.startswith("</")
+        empty = name.isin("", *C.VOID_TAGS) | token.endswith("/>")
+        hides = ~closes & ~empty & (name.isin(C.EXCLUDED_TAGS) | _is_hidden(token))
+        none = F.lit(0)
+
+        def within(here: Column) -> Column:
+            more = F.when(here == acc["name"], 1).otherwise(0)
+            return (
+                F.when(empty, acc)
+                .when(~closes, state(acc["name"], acc["same"] + more, acc["inner"] + 1, acc["n"]))
+                .when((more == 1) & (acc["same"] > 1), state(acc["name"], acc["same"] - 1, acc["inner"] - 1, acc["n"]))
+                .when((more == 1) | (acc["inner"] <= 0), state(F.lit(""), none, none, acc["n"]))
+                .otherwise(state(acc["name"], acc["same"], acc["inner"] - 1, acc["n"]))
+            )
+
+        shown = acc["name"] == ""
+        return (
+            F.when(~is_tag & shown, state(acc["name"], acc["same"], acc["inner"], acc["n"] + count_words(unescape(token))))
+            .when(~is_tag, acc)
+            .when(shown, F.when(hides, state(name, F.lit(1), none, acc["n"])).otherwise(acc))
+            .otherwise(within(name))
+        )
+
+    return F.aggregate(tokens, zero, step, lambda acc: acc["n"])
 
 
 def body_text(html: Column) -> Column:
     """All body text except scripts and styles; the fallback when nothing is visible."""
     shown = F.regexp_replace(html, r"(?is)^.*?<body[^>]*>", "")
-    shown = F.regexp_replace(shown, r"(?is)<(script|style|template)(?=[\s>])[^>]*>.*?</\1\s*>", " ")
+    shown = F.regexp_replace(shown, r"(?is)<(script|style|template)(?=[\s>])[^>]*>.*?(?:</\1\s*>|\z)", " ")
     return unescape(F.regexp_replace(shown, TAG, " "))
 
 
@@ -152,4 +198,4 @@ def word_count(html: Column) -> Column:
         empty = (n == 0) & html.rlike(r"(?i)<body[\s>]")
         return F.when(empty, count_words(body_text(html))).otherwise(n)
 
-    return let(count_words(visible_text(html)), or_body)
+    return let(visible_words(html), or_body)

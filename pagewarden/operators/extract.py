@@ -7,10 +7,13 @@ the row; ``edges`` explodes them when the link graph is needed.
 
 from __future__ import annotations
 
+import json
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from pagewarden import constants as C
 from pagewarden.functions import html as H
@@ -21,7 +24,7 @@ from pagewarden.operators.rows import unnest
 
 _TAGS = ["meta", "link", "img"]
 _ANCHOR = rf"(?is)<a(?=\s){H.INSIDE}>(?:.*?)(?:</a\s*>|(?=<a[\s>])|\z)"
-_JSON_LD = rf"(?is)<script(?=\s){H.INSIDE}>(.*?)</script\s*>"
+_JSON_LD = rf"(?is)<script(?=\s){H.INSIDE}>(.*?)(?:</script\s*>|\z)"
 
 
 def _favicon(links: Column) -> Column:
@@ -42,72 +45,55 @@ def _favicon(links: Column) -> Column:
     return F.array_min(F.array_compact(F.transform(links, entry)))["href"]
 
 
-def structured_types(html: Column, depth: int = 6) -> Column:
-    """Distinct ``@type`` values of all JSON-LD blocks, plus ``Microdata``.
-
-    Blocks are parsed as VARIANT; ``@graph`` lists and nested lists are opened level by
-    level, up to ``depth`` times. Malformed blocks are skipped, and pages without a block
-    are not parsed at all.
-    """
+def _types_below(parsed: object) -> list[str]:
+    """``@type`` names of a JSON-LD value: nodes, ``@graph`` lists and lists in lists, the
+    last member of a list first."""
+    found: list[str] = []
+    todo = [parsed]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, list):
+            todo += value
+        elif isinstance(value, dict):
+            named = value.get("@type")
+            found += [t for t in (named if isinstance(named, list) else [named]) if isinstance(t, str)]
+            if isinstance(value.get("@graph"), list):
+                todo += value["@graph"]
+    return found
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _block_types(blocks: pd.Series) -> pd.Series:
+    """Types of a page's JSON-LD blocks. Nesting has no bound, which no Column can follow;
+    the batches hold the blocks alone, and malformed ones are skipped."""
+
+    def one(texts: list[str] | None) -> list[str]:
+        found: list[str] = []
+        for text in texts if texts is not None else ():
+            try:
+                found += _types_below(json.loads(text))
+            except (ValueError, RecursionError):
+                continue
+        return found
+
+    return blocks.map(one)
+
+
+def json_ld_blocks(html: Column) -> Column:
+    """Texts of the JSON-LD scripts; null for a page that has none."""
     is_json_ld = lambda b: F.lower(
         H.attribute(F.regexp_extract(b, r"(?s)^<[^>]*>", 0), "type")
     ).contains("ld+json")
-    blocks = F.filter(F.regexp_extract_all(html, F.lit(_JSON_LD), F.lit(0)), is_json_ld)
-    parsed = F.transform(blocks, lambda b: F.try_parse_json(F.regexp_extract(b, _JSON_LD, 1)))
-    types = F.when(
-        html.rlike(r"(?i)ld\+json"), let(F.filter(parsed, lambda v: v.isNotNull()), lambda v: _types_below(v, depth))
-    )
+    scripts = F.filter(F.regexp_extract_all(html, F.lit(_JSON_LD), F.lit(0)), is_json_ld)
+    return F.when(html.rlike(r"(?i)ld\+json"), F.transform(scripts, lambda b: F.regexp_extract(b, _JSON_LD, 1)))
+
+
+def structured_types(blocks: Column, html: Column) -> Column:
+    """Distinct ``@type`` values of all JSON-LD blocks, plus ``Microdata``."""
     scoped = F.exists(H.tags(html, ["[a-z][a-z0-9]*"]), lambda t: t.rlike(r"(?i)\sitemscope[\s=/>]"))
     microdata = F.when(html.rlike("(?i)itemscope") & scoped, F.array(F.lit("Microdata")))
     empty = lit_array([])
-    return distinct_ignoring_case(F.concat(F.coalesce(types, empty), F.coalesce(microdata, empty)))
-
-
-def _types_below(items: Column, depth: int) -> Column:
-    """Types of a level and of the levels below it; every level is opened once."""
-    here = _types_in(items)
-    if depth == 0:
-        return here
-    below = let(_open_level(items), lambda v: _types_below(v, depth - 1))
-    return F.when(F.size(items) > 0, F.concat(here, below)).otherwise(lit_array([]))
-
-
-def _open_level(items: Column) -> Column:
-    """Members of lists and of ``@graph`` lists, one level down."""
-    empty = F.array().cast("array<variant>")
-    return F.flatten(
-        F.transform(
-            items,
-            lambda v: F.coalesce(
-                F.try_variant_get(v, "$", "array<variant>"),
-                F.try_variant_get(v, "$['@graph']", "array<variant>"),
-                empty,
-            ),
-        )
-    )
-
-
-def _types_in(items: Column) -> Column:
-    one = F.transform(items, lambda v: F.try_variant_get(v, "$['@type']", "variant"))
-    return F.flatten(
-        F.transform(
-            F.filter(one, lambda t: t.isNotNull()),
-            lambda t: F.when(
-                F.schema_of_variant(t) == "STRING", F.array(F.try_variant_get(t, "$", "string"))
-            ).otherwise(
-                F.transform(
-                    F.filter(
-                        F.coalesce(
-                            F.try_variant_get(t, "$", "array<variant>"),
-                            F.array().cast("array<variant>"),
-                        ),
-                        lambda x: F.schema_of_variant(x) == "STRING",
-                    ),
-                    lambda x: F.try_variant_get(x, "$", "string"),
-                )
-            ),
-        )
-    )
+    return distinct_ignoring_case(F.concat(F.coalesce(_block_types(blocks), empty), F.coalesce(microdata, empty)))
 
 
 def distinct_ignoring_case(values: Column) -> Column:
@@ -221,7 +207,7 @@ def _feature_columns() -> list[Column]:
         F.col("_images"), lambda t: U.strip_space(F.coalesce(H.attribute(t, "alt"), F.lit(""))) == ""
     )
     return [
-        H.text_of(F.regexp_extract(doc, r"(?is)<title[^>]*>(.*?)</title", 1), "").alias("title"),
+        H.text_of(F.regexp_extract(doc, r"(?is)<title[^>]*>(.*?)(?:</title|\z)", 1), "").alias("title"),
         H.meta_content(metas, "name", "description").alias("description"),
         (H.meta_content(metas, "name", "viewport") != "").alias("has_viewport_meta"),
         F.lower(H.meta_content(metas, "name", "robots")).alias("robots_directives"),
@@ -242,7 +228,7 @@ def _feature_columns() -> list[Column]:
         H.meta_content(metas, "property", "og:description").alias("og_description"),
         H.meta_content(metas, "property", "og:image").alias("og_image"),
         H.meta_content(metas, "name", "twitter:card").alias("twitter_card"),
-        structured_types(doc).alias("structured_data_types"),
+        structured_types(F.col("_blocks"), doc).alias("structured_data_types"),
         U.page_type(F.col("url")).alias("page_type"),
         U.url_structure(F.col("url")).alias("url_structure"),
     ]
@@ -305,13 +291,14 @@ def page_features(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
     base = pages.select(
         "page_id",
         U.normalize_crawl_url(F.col("url")).alias("url"),
-        H.decode_uncommon(H.without_comments(F.col("html"))).alias("_doc"),
+        H.without_comments(F.col("html")).alias("_full"),
         (F.col("status_code") if "status_code" in have else F.lit(200)).cast("int").alias("status_code"),
         (F.col("depth") if "depth" in have else F.lit(0)).cast("int").alias("depth"),
         (F.col("response_ms") if "response_ms" in have else F.lit(None)).cast("bigint").alias("response_ms"),
         *keep,
     )
-    located = base.select("*", *_url_columns())
+    plain = base.select("*", H.decode_uncommon(H.without_raw_text(F.col("_full"))).alias("_doc"))
+    located = plain.select("*", *_url_columns(), json_ld_blocks(F.col("_full")).alias("_blocks"))
     split = located.select("*", *_tag_columns())
     features = split.select(*keep, *_FIRST_KEYS, "links", *_feature_columns())
     return features.select(*keep, *_FIRST_KEYS, *_derived_columns()).withColumn(

@@ -43,16 +43,56 @@ def test_rich_page(rows):
     assert r.internal_links == ["https://ex.com/a/x/y", "https://ex.com/a/b/page?q=1", "https://ex.com/a/b/page", "https://ex.com/a/b/sub/p", "https://sub.ex.com/"]
     assert r.internal_link_anchors == ["One two", "q", "self", "sp", "sub"]
     assert r.external_domains == ["other.com"] and (r.dofollow_links, r.nofollow_links) == (6, 1)
-    assert sorted(r.structured_data_types) == ["Article", "Deep", "Microdata", "Person"]
+    assert r.structured_data_types == ["Deep", "Person", "article", "Microdata"]
     assert r.has_open_graph and not r.has_twitter_card and not r.has_viewport_meta
 
 
 def test_thin_and_broken_pages(rows):
     assert rows[2].word_count == 3  # nothing is visible, so the whole body counts
-    assert rows[3].title == "t" and rows[3].headings.h2 == ["two"]
+    assert rows[3].title == "t" and rows[3].headings.h1 == ["Up"] and rows[3].headings.h2[0].startswith("two")
     assert rows[3].internal_links == ["http://ex.com/p", "http://ex.com/q"] and rows[3].missing_alt_count == 0
 
 
+def _one(spark, html):
+    return extract.page_features(spark.createDataFrame([(1, "https://s.com/", html)], "page_id bigint, url string, html string")).first()
+
+
+def test_script_text_is_no_markup(spark):
+    r = _one(spark, """<body><script>document.write("<a href='/fake'>x</a><h1>no</h1><img src=q>"); var c = '<!-- start';</script><h1>Yes</h1><a href="/real">go</a><style>/* <h2>no</h2> */</style></body>""")
+    assert r.headings.h1 == ["Yes"] and r.headings.h2 == [] and r.total_images == 0 and r.internal_links == ["https://s.com/real"]
+    r = _one(spark, "<h1>A</h1><!-- <script> --><h2>B</h2><script>var never = '<h1>ends</h1>'")
+    assert (r.headings.h1, r.headings.h2) == (["A"], ["B"])
+
+
+def test_nested_exclusion_and_open_elements(spark):
+    count = lambda html: _one(spark, html).word_count
+    assert count("<body><div style='display: none'>a <div>b</div> c</div>seen</body>") == 1
+    assert count("<body><nav>a<nav>b</nav>c</nav>seen</body>") == 1
+    assert count("<body><div><form>a <p>b</p></div>seen <b>two</b></body>") == 2
+    assert count("<body><form>a<br>b</form>seen<footer>x") == 1
+    r = _one(spark, "<H1 class=x>Up<p>text</p>")
+    assert r.headings.h1 == ["Up text"]
+
+
+def test_nested_structured_data_keeps_order_and_spelling(spark):
+    deep = "[" * 9 + '{"@graph": [' * 9 + '{"@type": "Deep"}' + "]}" * 9 + "]" * 9
+    r = _one(spark, f'''<script type="application/ld+json">[{{"@type": "Article"}}, {{"@type": ["Person", "article"]}}, {deep}]</script>''')
+    assert r.structured_data_types == ["Deep", "Person", "article"]
+
+
+def test_broken_markup_takes_linear_time(spark):
+    import time
+
+    for part in ("<h1>", "<form>", "<a ", "<title>", '<p a="'):
+        took = []
+        for n in (8_000, 8_000, 16_000):
+            start = time.perf_counter()
+            df = extract.page_features(spark.createDataFrame([(1, "https://s.com/", part * n)], "page_id bigint, url string, html string"))
+            df.select("headings", "word_count", "title").collect()
+            took.append(time.perf_counter() - start)
+        assert took[2] < 2 * took[1] + 1.5, (part, took)
+
+
 def test_page_audit(features):
     audited = findings.page_audit(features)
     r = {x.page_id: x for x in audited.collect()}
