@@ -2,4 +2,4 @@
 
 
 def load_all() -> None:
-    from checks import local_queries, page_queries, site_queries  # noqa: F401
+    from checks import io_queries, local_queries, page_queries, site_queries  # noqa: F401

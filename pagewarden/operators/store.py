@@ -9,7 +9,7 @@ from pagewarden import constants as C
 from pagewarden.functions import numbers as N
 from pagewarden.functions.urls import project_key
 from pagewarden.operators.findings import _text
-from pagewarden.operators.ranking import first_by, top_k
+from pagewarden.operators.ranking import first_by, numbered, top_k
 
 TABLES = ["projects", "audit_results", "ai_insights", "seo_data", "crawl_data"]
 
@@ -121,6 +121,12 @@ def project_list(projects: DataFrame, audits: DataFrame, crawls: DataFrame) -> D
     )
 
 
+def newest_first(projects: DataFrame, id_col: str = "project_id") -> DataFrame:
+    """Projects with their place in the list, newest first."""
+    one = projects.withColumn("_all", F.lit(0))
+    return numbered(one, "_all", [F.desc_nulls_last("created_at"), F.col(id_col)], "place").drop("_all")
+
+
 def rebuild(tables: dict[str, DataFrame], defaults: dict[str, Column] | None = None) -> DataFrame:
     """Full audits from the five tables; missing children leave defaults."""
     out = tables["projects"]

@@ -9,7 +9,8 @@ from pagewarden import constants as C
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
-    """The linked tables, partitioned by bucket; only the buckets that occur are replaced."""
+    """The linked tables as a first load, partitioned by bucket. For changes to stored audits,
+    deletes above all, use ``audit_store.AuditStore``."""
     for name, table in tables.items():
         writer = table.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         if "site_bucket" in table.columns:

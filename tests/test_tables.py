@@ -61,6 +61,27 @@ def test_split_upsert_and_delete(spark):
     assert all(t.count() == 1 for t in left.values())
 
 
+def test_store_writes_reads_and_deletes(spark):
+    from pagewarden.sources.audit_store import AuditStore
+
+    kept = AuditStore(spark, tempfile.mkdtemp(prefix="pagewarden-") + "/store")
+    assert kept.tables() == {}
+    day = lambda d: dt.datetime(2026, 1, d)
+    schema = "url string, seo_score int, updated_at timestamp, findings string, pages string"
+    audits = lambda rows: spark.createDataFrame([(f"https://{u}.com", s, day(d), f"f{s}", f"p{s}") for u, s, d in rows], schema)
+    kept.upsert(audits([("a", 1, 1), ("b", 2, 1), ("c", 3, 1)]))
+    kept.upsert(audits([("b", 20, 2), ("d", 4, 2)]))
+    state = lambda: {r.url: (r.seo_score, r.created_at.day, r.updated_at.day) for r in kept.tables()["projects"].collect()}
+    assert state() == {"https://a.com": (1, 1, 1), "https://b.com": (20, 1, 2), "https://c.com": (3, 1, 1), "https://d.com": (4, 2, 2)}
+    assert sorted(r.findings for r in kept.tables()["audit_results"].collect()) == ["f1", "f20", "f3", "f4"]
+    projects = kept.tables()["projects"]
+    kept.delete(projects.filter("url in ('https://a.com', 'https://b.com')"))
+    assert set(state()) == {"https://c.com", "https://d.com"}
+    assert all(t.count() == 2 for t in kept.tables().values()) and len(kept.tables()) == 5
+    kept.delete(kept.tables()["projects"])
+    assert all(t.count() == 0 for t in kept.tables().values())
+
+
 def test_flat_pages_from_both_shapes(spark):
     head = ", ".join([f"h{n}: array<string>" for n in range(1, 7)] + [f"h{n}_count: int" for n in range(1, 7)])
     schema = (
