@@ -1,7 +1,8 @@
 """Language of texts and of the spans inside mixed texts.
 
-Scores are learned: character 2- and 3-grams of words, counted per language over all
-training rows (each task counts words first, so few rows are shuffled). A word's
+Scores are learned: character 2- and 3-grams of words, counted per language over a
+bounded sample of the training rows (each task counts words first, so few rows are
+shuffled). A word's
 letters are looked up in script ranges, and only languages that use the script remain
 candidates. Viterbi over the words' scores, with a penalty for each switch, labels the
 spans; the language with most letters is the text's.
@@ -10,6 +11,7 @@ spans; the language with most letters is the text's.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -59,6 +61,7 @@ class Model:
     switch: float = 4.0
     floor: float = -8.0
     cache_words: int = 500_000
+    key: str = ""
     _at: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None
 
@@ -115,6 +118,17 @@ class Model:
         return [out[b : b + s] for b, s in zip(starts, sizes, strict=True)]
 
 
+_WARM: dict[str, Model] = {}
+
+
+def _warm(model: Model) -> Model:
+    """The copy of the model that this Python worker has used before, with its word scores."""
+    if model.key not in _WARM:
+        _WARM.clear()
+        _WARM[model.key] = model
+    return _WARM[model.key]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, what, n) of each task: n-grams and scripts, from counts of words."""
     words: dict[str, Counter] = {}
@@ -143,17 +157,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(
-    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_grams: int = 200_000, max_langs: int = 400,
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_rows: int = 50_000, max_grams: int = 200_000, max_langs: int = 400,
     min_script_share: float = 0.01, switch: float = 4.0,
 ) -> Model:
-    """Learn from every row whose language and text are not null.
+    """Learn from rows whose language and text are not null.
 
-    The model is bounded: at most ``max_grams`` n-grams, the most frequent, of the
+    Of more than ``max_rows`` such rows, the share that makes about ``max_rows`` is taken by
+    a hash of the text. The model is bounded: at most ``max_grams`` n-grams, the most frequent, of the
     ``max_langs`` most frequent languages reach the driver. A script belongs to a language
     that writes at least ``min_script_share`` of its letters in it. Without training rows
     the model has no languages and every text is undetermined.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
+    total = rows.count()
+    if total > max_rows:
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     counted = rows.mapInArrow(_count, "lang string, kind string, what string, n bigint").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
     counted = counted.persist()
     try:
@@ -181,7 +199,7 @@ def fit(
     for r in by_script:
         if r.n >= min_script_share * letters[r.lang]:
             scripts.setdefault(r.what, [False] * len(langs))[column[r.lang]] = True
-    return Model(langs, at, table, scripts, switch)
+    return Model(langs, at, table, scripts, switch, key=uuid.uuid4().hex)
 
 
 def _spans(labels: np.ndarray, words: list[str], langs: list[str]) -> list[dict]:
@@ -195,8 +213,9 @@ def _spans(labels: np.ndarray, words: list[str], langs: list[str]) -> list[dict]
 SPAN = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())]))
 
 
-def _predictor(model: Model, with_spans: bool, words_at_once: int) -> Callable:
+def _predictor(fitted: Model, with_spans: bool, words_at_once: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _warm(fitted)
         for batch in batches:
             (texts,) = columns_of(batch, "text")
             preds, scores, spans = [], [], []
