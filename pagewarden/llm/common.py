@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.session import checkpoint_folder
@@ -37,6 +38,30 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def id_bits(ids: DataFrame, column: str, bits: int) -> bytes:
+    """A bitmap of ``bits`` bits with the places of the ids (``bit_place``) set.
+
+    Its size is fixed: with more ids it only lets more rows through that were not meant.
+    At most ``bits`` / 64 rows reach the driver.
+    """
+    place = bit_place(F.col(column), bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = ids.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(one).alias("word")).collect()
+    table = np.zeros(bits // 64, np.int64)
+    for r in words:
+        table[r.at] = r.word
+    return table.tobytes()
+
+
+def bit_place(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits).cast("bigint"))
+
+
+def bits_set(table: bytes, places: list[int]) -> np.ndarray:
+    at = np.array(places, np.int64)
+    return (np.frombuffer(table, np.int64)[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> tuple[list, ...]:
     return tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
 

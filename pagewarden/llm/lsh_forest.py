@@ -19,11 +19,11 @@ from itertools import combinations, groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import columns_of, id_text, stored
+from pagewarden.llm.common import bit_place, bits_set, columns_of, id_bits, id_text, stored
 from pagewarden.llm.components import components
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -165,6 +165,7 @@ def candidates(classes: DataFrame, *, trees: int, depth: int, min_depth: int, sm
     central = members.groupBy("a").agg(F.sum("size").alias("score"))
     heads = members.join(central, "a").groupBy("region").agg(F.max(F.struct("score", "a")).alias("h")).select("region", F.col("h.a").alias("h"))
     to_head = members.join(heads, "region").filter("a != h").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
+    to_head = stored(to_head, "heads")  # apart from the distinct below, so that a hot region can be split
     return found.filter("region is null").select("a", "b").union(to_head).distinct()
 
 
@@ -181,12 +182,15 @@ def _alike(floor: float) -> Callable:
     return run
 
 
-def _setter(width: int) -> Callable:
+def _setter(width: int, wanted: Broadcast) -> Callable:
+    """Sets of the rows whose place is set in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            sets = [shingles.of(t).tobytes() for t in columns_of(batch, "text")[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "members"])
+            found = batch.filter(pa.array(bits_set(wanted.value, columns_of(batch, "place")[0])))
+            sets = [shingles.of(t).tobytes() for t in columns_of(found, "text")[0]]
+            yield pa.RecordBatch.from_arrays([found.column(0), pa.array(sets, pa.binary())], names=["doc_id", "members"])
 
     return run
 
@@ -206,7 +210,7 @@ def _confirm(percent: int) -> Callable:
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = 16, depth: int = 8,
-    min_depth: int = 3, small: int = 16, slack: float = 0.15,
+    min_depth: int = 3, small: int = 16, slack: float = 0.15, filter_bits: int = 1 << 24,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -227,9 +231,10 @@ def near_duplicates(
     both = pairs.join(low.toDF("a", "n_a", "low_a"), "a").join(low.toDF("b", "n_b", "low_b"), "b")
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     likely = stored(both.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_alike(percent / 100 - slack), "a bigint, b bigint"), "likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = rows.join(needed, "doc_id", "left_semi").mapInArrow(_setter(width), "doc_id bigint, members binary")
-    sets = stored(sets, "sets").dropDuplicates(["doc_id"])
+    # the texts are read again and not shuffled: a bitmap of fixed size tells which are needed
+    wanted = docs.sparkSession.sparkContext.broadcast(id_bits(likely.select(F.explode(F.array("a", "b")).alias("id")), "id", filter_bits))
+    placed = rows.filter("doc_id is not null").select("doc_id", "text", bit_place(F.col("doc_id"), filter_bits).alias("place"))
+    sets = stored(placed.mapInArrow(_setter(width, wanted), "doc_id bigint, members binary"), "sets").dropDuplicates(["doc_id"])
     paired = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
     links = stored(paired.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
     of_class = classes.select("digest", F.col("doc_id").alias("first")).join(components(links).withColumnRenamed("node", "first"), "first", "left")
