@@ -12,7 +12,6 @@ from pagewarden.functions import numbers as N
 from pagewarden.operators import extract, local, page_health, search, store
 from pagewarden.operators.ranking import first_by
 from pagewarden.operators.rows import unnest
-from pagewarden.session import cut_lineage
 from pagewarden.streaming import progress
 
 # --- reviews and metrics ------------------------------------------------------------
@@ -378,7 +377,7 @@ def _(spark, folder):
 @query("nearest_vectors_cosine", _NEAREST.format("list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(qe AS DOUBLE[]))"))
 def _(spark, folder):
     return search.nearest(
-        R.table(spark, folder, "embeddings"), _vector_queries(spark, folder), ["label"], metric="cosine", broadcast_rows=0
+        R.table(spark, folder, "embeddings"), _vector_queries(spark, folder), ["label"], metric="cosine"
     ).drop("distance")
 
 
@@ -408,8 +407,8 @@ def _(spark, folder):
 
 @query(
     "job_elapsed",
-    """WITH s AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY user_id)
-    SELECT event_id, round((epoch_us(ts) - epoch_us(t0)) / 1e6, 2) AS elapsed_seconds FROM events JOIN s ON s.user_id = events.user_id""",
+    f"""WITH s AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY user_id)
+    SELECT event_id, {O.rnd('(epoch_us(ts) - epoch_us(t0)) / 1e6', 2)} AS elapsed_seconds FROM events JOIN s ON s.user_id = events.user_id""",
 )
 def _(spark, folder):
     jobs = R.jobs(spark, folder)

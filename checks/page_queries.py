@@ -317,7 +317,7 @@ def _(spark, folder):
 
 @query(
     "link_status_broken",
-    f"""WITH {O.DOCS}, l AS (SELECT origin || path AS url, CASE WHEN q = 0 THEN 404 WHEN x = 1 THEN 0 ELSE 200 END AS status_code FROM d)
+    f"""WITH {O.DOCS}, l AS (SELECT origin || path AS url, CASE WHEN q = 0 THEN 404 WHEN x = 1 THEN 0 ELSE 200 END AS status_code FROM d WHERE doc_id % 7 <> 3)
     SELECT url, status_code, status_code = 0 OR status_code >= 400 AS is_broken FROM l""",
 )
 def _(spark, folder):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.operators import extract
-from pagewarden.session import cut_lineage
+from pagewarden.session import stored
 
 SECTIONS = ["about/a-", "blog/post-", "services/item_", "contact/", "Products/", "p/", "news/"]
 
@@ -121,14 +121,20 @@ def authored_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, folder: str, keep: list[str] = ()) -> DataFrame:
-    """Features extracted from the authored pages."""
-    return extract.page_features(authored_pages(spark, folder), keep)
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the authored pages. Extraction is the costly step, so a session stores
+    them once as Parquet, as a whole audit does, and its queries read the columns they need."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = stored(extract.page_features(authored_pages(spark, folder)), "features")
+    return _STORED[key]
 
 
 def stored_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Features written to the checkpoint folder once, for operators that read them often."""
-    return cut_lineage(features(spark, folder))
+    return features(spark, folder)
 
 
 def raw_features(spark: SparkSession, folder: str) -> DataFrame:

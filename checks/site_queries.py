@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import oracle as O
@@ -12,7 +14,8 @@ from pagewarden import constants as C
 from pagewarden.functions import numbers as N
 from pagewarden.operators import compare, extract, findings, links, page_health, profile, report, site, sitemap
 from pagewarden.operators.ranking import top_k
-from pagewarden.session import cut_lineage
+from pagewarden.session import checkpoint_folder
+from pagewarden.sources import sinks
 
 # --- coverage and scores ----------------------------------------------------------
 _MATCHED = {
@@ -171,7 +174,7 @@ def _(spark, folder):
     SELECT site, CAST(rank AS INT) AS rank, domain, greatest(n - 30, 0) AS remaining FROM r WHERE rank <= 30""",
 )
 def _(spark, folder):
-    return site.external_domain_report(cut_lineage(R.features(spark, folder).select("site", "external_domains")))
+    return site.external_domain_report(R.features(spark, folder).select("site", "external_domains"))
 
 
 @query("all_external_domains", f"WITH {O.LINKS} SELECT DISTINCT site, regexp_extract(url, '//([^/?]*)', 1) AS domain FROM links WHERE NOT internal")
@@ -199,7 +202,7 @@ def _(spark, folder):
     SELECT a.site, analyzed_pages, discovered_internal_pages, {O.pct('analyzed_pages', 'discovered_internal_pages')} AS sample_coverage_ratio FROM a JOIN f ON f.site = a.site""",
 )
 def _(spark, folder):
-    return site.crawl_coverage(cut_lineage(R.features(spark, folder).select("site", "url", "internal_links")))
+    return site.crawl_coverage(R.features(spark, folder).select("site", "url", "internal_links"))
 
 
 @query(
@@ -249,7 +252,7 @@ orphans AS MATERIALIZED (SELECT d.site, d.origin || d.path AS url FROM d LEFT JO
 
 @query("orphan_pages", f"WITH {ORPHANS} SELECT site, url FROM orphans")
 def _(spark, folder):
-    f = cut_lineage(R.features(spark, folder).select("site", "url", "internal_links"))
+    f = R.features(spark, folder).select("site", "url", "internal_links")
     return links.orphans(f, links.internal_targets(f))
 
 
@@ -262,7 +265,7 @@ def _(spark, folder):
       CAST(greatest(0, CASE WHEN n = 0 THEN 0 WHEN m < 3 THEN 35 WHEN m < 8 THEN 70 ELSE 100 END - least(20, c * 3)) AS INT) AS internal_link_score FROM a""",
 )
 def _(spark, folder):
-    f = cut_lineage(R.features(spark, folder).select("site", "url", "internal_links", "internal_links_count"))
+    f = R.features(spark, folder).select("site", "url", "internal_links", "internal_links_count")
     return links.internal_linking(f).withColumn("orphan_pages_sample", F.array_join("orphan_pages_sample", " "))
 
 
@@ -272,7 +275,7 @@ def _(spark, folder):
     SELECT site, n AS outbound_link_count, c AS outbound_domain_count, CASE WHEN c < 3 THEN 'Low' WHEN c < 15 THEN 'Medium' ELSE 'High' END AS outbound_domain_diversity FROM e""",
 )
 def _(spark, folder):
-    return links.outbound_profile(cut_lineage(R.features(spark, folder).select("site", "external_domains", "external_links_count")))
+    return links.outbound_profile(R.features(spark, folder).select("site", "external_domains", "external_links_count"))
 
 
 @query("in_degree", f"WITH {O.LINKS} SELECT site, url AS dst_url, count(DISTINCT src_url) AS in_degree FROM links WHERE internal GROUP BY site, url")
@@ -300,7 +303,7 @@ def _(spark, folder):
     SELECT site, total_pages, orphans, m AS avg_links_per_page, score, CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Average' ELSE 'Poor' END AS rating FROM s""",
 )
 def _(spark, folder):
-    g = cut_lineage(R.graph(spark, folder))
+    g = R.graph(spark, folder)
     return links.graph_link_score(g.select("site", F.col("src_url").alias("url")), g)
 
 
@@ -349,7 +352,7 @@ metrics AS MATERIALIZED (SELECT *, greatest(0, total_urls - broken) AS crawlable
 
 
 def _sitemap_inputs(spark, folder):
-    g = cut_lineage(R.graph(spark, folder))
+    g = R.graph(spark, folder)
     crawled = links.in_degree(g).select("site", F.col("dst_url").alias("url"))
     return R.sitemap_rows(spark, folder), crawled, g, R.link_status(spark, folder)
 
@@ -603,7 +606,7 @@ def _(spark, folder):
     UNION ALL SELECT site, 3, 'Medium', 'Content on ' || site || '|Connect search and visitor statistics|Crawl the whole site again' FROM l""",
 )
 def _(spark, folder):
-    f = cut_lineage(_site_findings(spark, folder))
+    f = _site_findings(spark, folder)
     return report.roadmap(f, _opportunities(_seeds(f))).select("site", "phase", "priority", F.array_join("actions", "|").alias("actions"))
 
 
@@ -615,14 +618,48 @@ def _(spark, folder):
     FROM v, (VALUES (1, 'Google Search Console'), (2, 'Analytics and Conversion Data'), (3, 'Core Web Vitals and Speed Testing'), (4, 'Backlink and Authority Intelligence'), (5, 'Full Site Crawl Coverage')) t(p, n0)""",
 )
 def _(spark, folder):
-    return report.data_limitations(site.crawl_coverage(cut_lineage(R.features(spark, folder).select("site", "url", "internal_links"))))
+    return report.data_limitations(site.crawl_coverage(R.features(spark, folder).select("site", "url", "internal_links")))
 
 
-@query("report_documents")
+@query(
+    "report_documents",
+    f"""WITH {SCORES}, {_FOUND}, b AS (SELECT site, count(*) AS findings, arg_min(metric, finding_pos) AS first_action, arg_min(metric, (CASE WHEN priority = 'High' THEN 0 ELSE 1 END, finding_pos)) AS biggest_risk FROM fo GROUP BY site)
+    SELECT s.site, 'Management SEO Audit Report' AS report_title, s.site AS website, {O.fmt('overall_score')} AS overall_seo_health, {O.fmt('metadata')} AS metadata_health, pages AS analyzed_pages, b.biggest_risk,
+      CAST(b.findings AS INT) AS findings, CAST(least(4, b.findings) AS INT) AS actions, b.first_action, 3 AS phases FROM site_scores s JOIN b ON b.site = s.site""",
+)
 def _(spark, folder):
     f, scores = _scored(spark, folder)
     found = report.ordered_findings(site.coverage(f))
     chances = _opportunities(_seeds(f))
     summary = report.management_summary(scores, found, found, chances)
     profiles = profile.site_profile(site.primary_page(f, ["url", "title", "description", "headings"]))
-    return report.report_document(scores, summary, found, chances, site.crawl_coverage(f), profiles, "2026-01-01")
+    documents = report.report_document(scores, summary, found, chances, site.crawl_coverage(f), profiles, "2026-01-01")
+    place = f"{checkpoint_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    sinks.write_report(documents, place)
+    schema = (
+        "report_title string, website string, hero_metrics struct<overall_seo_health: string, metadata_health: string>, crawl_overview struct<analyzed_pages: bigint>, "
+        "management_summary struct<biggest_risk: string>, technical_findings array<struct<metric: string>>, priority_actions array<struct<metric: string>>, recommended_roadmap array<struct<phase: int>>"
+    )
+    d = F.col("d")
+    return spark.read.schema("site string, document string").json(place).select("site", F.from_json("document", schema).alias("d")).select(
+        "site", d["report_title"].alias("report_title"), d["website"].alias("website"), d["hero_metrics"]["overall_seo_health"].alias("overall_seo_health"),
+        d["hero_metrics"]["metadata_health"].alias("metadata_health"), d["crawl_overview"]["analyzed_pages"].alias("analyzed_pages"), d["management_summary"]["biggest_risk"].alias("biggest_risk"),
+        F.size(d["technical_findings"]).alias("findings"), F.size(d["priority_actions"]).alias("actions"), d["priority_actions"][0]["metric"].alias("first_action"), F.size(d["recommended_roadmap"]).alias("phases"),
+    )
+
+
+@query(
+    "evidence_notes",
+    f"""WITH {O.LINKS},{BROKEN}, s AS (SELECT site, src_url AS u FROM links UNION SELECT site, url FROM links WHERE internal), a AS (SELECT site, min(k) AS k, count(*) AS n FROM d GROUP BY site),
+    f AS (SELECT site, count(DISTINCT u) AS m FROM s GROUP BY site), v AS (SELECT a.*, m, checked_count, broken_count FROM a JOIN f ON f.site = a.site LEFT JOIN broken b ON b.site = a.site)
+    SELECT site, CAST(p AS INT) AS pos, CASE p WHEN 0 THEN 'robots.txt answered with ' || CASE WHEN k % 6 = 1 THEN 404 ELSE 200 END || '.' WHEN 1 THEN 'The sitemap answered with ' || CASE WHEN k % 5 = 1 THEN 500 ELSE 200 END || '.'
+      WHEN 2 THEN coalesce(broken_count, 0) || ' of ' || coalesce(checked_count, 0) || ' checked links are broken.' WHEN 3 THEN 'robots.txt names 0 sitemaps.' ELSE n || ' of ' || m || ' discovered urls were analysed.' END AS note
+    FROM v, (VALUES (0), (1), (2), (3), (4)) t(p)""",
+)
+def _(spark, folder):
+    f = R.stored_features(spark, folder)
+    answers = R.resources(spark, folder)
+    status = lambda kind: answers.filter(F.col("kind") == kind).select("site", F.col("status_code").alias(f"{kind}_status"))
+    broken = links.broken_summary(links.checked_links(extract.edges(f), R.link_status(spark, folder)))
+    crawl = site.crawl_coverage(f).join(status("robots"), "site", "left").join(status("sitemap"), "site", "left").join(broken, "site", "left")
+    return report.evidence_notes(crawl.withColumn("declared_sitemaps", F.lit(None).cast("int"))).select("site", "pos", "note")

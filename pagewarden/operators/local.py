@@ -9,7 +9,9 @@ from pagewarden import constants as C
 from pagewarden.functions import numbers as N
 from pagewarden.functions import urls as U
 from pagewarden.operators import extract as X
+from pagewarden.operators.ranking import first_by
 from pagewarden.operators.rows import unnest
+from pagewarden.session import stored
 
 
 def stars(rating: Column) -> Column:
@@ -166,10 +168,14 @@ def competitor_signals(features: DataFrame, keep: list[str] = ()) -> DataFrame:
 def side_by_side(signals: DataFrame, key: str) -> DataFrame:
     """Own signals next to those of each competitor; ``role`` tells the sides apart."""
     shown = ["url", "title_tag", "meta_description", "h1", "has_local_schema", "city_mentioned"]
+    signals = stored(signals, "signals")  # both sides read it
     side = lambda role, prefix: signals.filter(F.col("role") == role).select(
         key, *[F.col(c).alias(f"{prefix}_{c}") for c in shown]
     )
-    return side("own", "own").join(side("competitor", "competitor"), key, "left")
+    # one own page per key, so that a key has as many rows as it has competitors
+    values = [f"own_{c}" for c in shown]
+    own = first_by(side("own", "own"), [key], values, values)
+    return own.join(side("competitor", "competitor"), key, "left")
 
 
 def combined_health(website: Column, profile: Column, reviews: Column, performance: Column) -> Column:

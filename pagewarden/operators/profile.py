@@ -45,9 +45,11 @@ def frequent_terms(texts: DataFrame, key: str, text: str, order: str, limit: int
     Terms are counted by one combining aggregate; ties go to the earlier text and position.
     """
     exploded = unnest(texts, T.terms(F.col(text), C.PROFILE_STOPWORDS), "term", [key, order], "pos")
-    counted = exploded.groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos")).alias("_first")
-    )
+    first = F.struct(order, "pos")
+    if texts.schema[order].dataType.simpleString() in ("int", "bigint"):
+        # text and position as one number, which a hash aggregate can hold
+        first = F.col(order).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    counted = exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("_first"))
     return top_k(counted, [key], [F.desc("n"), F.col("_first")], limit).drop("_first")
 
 

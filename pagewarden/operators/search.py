@@ -2,52 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.operators.ranking import top_k
 
+METRICS = ("l2", "cosine")
+_BLOCK = 1_000_000  # numbers of one block of differences
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-        F.lit(0.0), lambda acc, v: acc + v,
-    )
 
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v
-    )
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
-
-
-METRICS = {"l2": squared_distance, "cosine": cosine_distance}
+def _distances(vectors: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return ((vectors - query) ** 2).sum(axis=1)
+    return 1.0 - (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, tenant: list[str], k: int = 5, metric: str = "l2",
-    broadcast_rows: int = 10_000, slices: int = 32,
+    vectors: DataFrame, queries: DataFrame, tenant: list[str], k: int = 5, metric: str = "l2", slices: int | None = None
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query among those of its own tenant.
 
     ``vectors``: tenant columns, ``vec_id, embedding``; ``queries``: tenant columns,
-    ``query_id, query``. A query set of at most ``broadcast_rows`` rows is broadcast and
-    the vectors never move. A larger one is joined by tenant, with the vectors of a
-    tenant cut into ``slices`` and its queries copied to each, so no task gets a whole
-    tenant. Every task keeps its own best ``k`` before the last shuffle.
+    ``query_id, query``. The vectors of a tenant are cut into ``slices`` (the number of
+    shuffle partitions), the queries are copied to each, and a slice is measured in
+    blocks: per query only its best ``k`` of the slice leave the task, so what is sorted at
+    the end does not grow with the pairs. Ties go to the lower ``vec_id``.
     """
-    small = queries.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if small:
-        pairs = vectors.join(F.broadcast(queries), tenant)
-    else:
-        cut = vectors.withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)))
-        copies = queries.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        pairs = cut.join(copies.withColumn("_slice", F.col("_slice").cast("bigint")), [*tenant, "_slice"])
-    measured = pairs.select(
-        *tenant, "query_id", "vec_id", METRICS[metric](F.col("embedding"), F.col("query")).alias("distance")
-    )
-    return top_k(measured, [*tenant, "query_id"], [F.col("distance"), F.col("vec_id")], k)
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    n = slices or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*tenant, "_slice"]
+    cut = vectors.select(*tenant, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("_slice"), "vec_id", "embedding")
+    copies = queries.select(*tenant, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_slice"), "query_id", "query")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            left = left.sort_values("vec_id", kind="stable").reset_index(drop=True)
+            matrix = np.array(left["embedding"].tolist(), np.float64)
+            step = max(k, _BLOCK // max(1, matrix.shape[1]))
+            for query_id, query in zip(right["query_id"], right["query"], strict=True):
+                q = np.array(query, np.float64)
+                d = np.concatenate([_distances(matrix[i : i + step], q, metric) for i in range(0, len(matrix), step)])
+                at = np.argsort(d, kind="stable")[:k] if len(d) <= k else _lowest(d, k)
+                part = left.loc[at, [*tenant, "vec_id"]].assign(query_id=query_id, distance=d[at])
+                out.append(part[[*tenant, "query_id", "vec_id", "distance"]])
+        return pd.concat(out) if out else pd.DataFrame(columns=[*tenant, "query_id", "vec_id", "distance"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *queries.schema.fields]}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in tenant), f"query_id {kinds['query_id']}", f"vec_id {kinds['vec_id']}", "distance double"])
+    found = cut.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(best, schema)
+    return top_k(found, [*tenant, "query_id"], [F.col("distance"), F.col("vec_id")], k)
+
+
+def _lowest(d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` lowest, in order, the earlier first among equals."""
+    limit = np.partition(d, k - 1)[k - 1]
+    among = np.flatnonzero(d <= limit)
+    return among[np.argsort(d[among], kind="stable")[:k]]

@@ -81,7 +81,8 @@ def status_labels(primary: DataFrame, verdicts: DataFrame, icons: DataFrame) ->
     ``primary`` has ``site`` and the ``favicon`` struct of the primary page.
     """
     one = lambda kind: verdicts.filter(F.col("kind") == kind).groupBy("site").agg(
-        F.max_by(F.struct("status_string", "exists", "status_code"), F.col("exists")).alias(kind)
+        # of several files one that exists, of equals the first by url: no matter how rows arrive
+        F.min_by(F.struct("status_string", "exists", "status_code"), F.struct(~F.col("exists"), "url", "status_string")).alias(kind)
     )
     joined = (
         primary.select("site", "favicon").join(one("robots"), "site", "left").join(one("sitemap"), "site", "left")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewarden import constants as C
+from pagewarden.functions import numbers as N
 from pagewarden.operators import extract, findings, site
 from pagewarden.operators.ranking import first_by, top_k
 from pagewarden.operators.rows import unnest
@@ -39,7 +40,7 @@ def elapsed(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """
     seconds = F.unix_micros("ts") - F.unix_micros("started_at")
     return typed(events).join(jobs.select("job_id", "started_at"), "job_id", "left").withColumn(
-        "elapsed_seconds", F.round(seconds / 1e6, 2)
+        "elapsed_seconds", N.round_half_even(seconds / 1e6, 2)
     ).drop("started_at")
 
 
@@ -52,11 +53,24 @@ def latest(events: DataFrame) -> DataFrame:
     return first_by(typed(events), ["job_id"], ["ts", "event_id"], ["ts", "event_id", "type"], latest=True)
 
 
-def job_status(events: DataFrame, started: str = STARTED, completed: str = COMPLETED, failed: str = FAILED) -> DataFrame:
-    """Status, start and end of each job. One combining aggregate, for tables and streams."""
+def job_status(
+    events: DataFrame, started: str = STARTED, completed: str = COMPLETED, failed: str = FAILED,
+    watermark: str | None = None, window: str = "1 day",
+) -> DataFrame:
+    """Status, start and end of each job. One combining aggregate, for tables and streams.
+
+    A stream keeps every job for ever unless ``watermark`` is given: then events are
+    grouped by job and ``window`` of event time, and windows older than the watermark are
+    dropped from the state.
+    """
     kind = F.col("type")
     last = F.struct("ts", "event_id")
-    agg = typed(events).groupBy("job_id").agg(
+    rows = typed(events)
+    keys = [F.col("job_id")]
+    if watermark:
+        rows = rows.withWatermark("ts", watermark)
+        keys.append(F.window("ts", window).alias("window"))
+    agg = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"),
         F.min("ts").alias("created_at"),
         F.min(F.when(kind == started, F.col("ts"))).alias("started_at"),
@@ -64,7 +78,7 @@ def job_status(events: DataFrame, started: str = STARTED, completed: str = COMPL
         F.max_by(F.when(kind.isin(completed, failed), kind), F.when(kind.isin(completed, failed), last)).alias("_how"),
     )
     return agg.select(
-        "job_id", "events", "created_at", "started_at", F.col("_end.ts").alias("finished_at"),
+        "job_id", *(["window"] if watermark else []), "events", "created_at", "started_at", F.col("_end.ts").alias("finished_at"),
         F.when(F.col("_how") == completed, "completed").when(F.col("_how") == failed, "failed")
         .when(F.col("started_at").isNotNull(), "running").otherwise("queued").alias("status"),
     )
@@ -103,13 +117,29 @@ def recent_state(events: DataFrame, limit: int = C.RECENT_EVENTS) -> DataFrame:
     )
 
 
-def page_counters(pages: DataFrame) -> DataFrame:
-    """Pages analysed and urls discovered per site as pages arrive (an estimate of distinct urls)."""
-    features = extract.page_features(pages)
-    found = unnest(features, F.array_prepend(F.col("internal_links"), F.col("url")), "link", ["site"], "i")
-    return found.groupBy("site").agg(
-        F.count_if(F.col("i") == 0).alias("analyzed_pages"),
-        F.approx_count_distinct("link", 0.02).alias("discovered_internal_pages"),
+def count_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep what ``page_counters`` needs as pages arrive: the urls of each batch, once each.
+
+    Every batch has a folder of its own, so one that is run again replaces itself.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        features = extract.page_features(batch)
+        found = unnest(features, F.array_prepend(F.col("internal_links"), F.col("url")), "link", ["site"], "i")
+        urls = found.groupBy("site", "link").agg(F.count_if(F.col("i") == 0).alias("pages"))
+        urls.write.mode("overwrite").parquet(f"{folder}/urls/batch_id={batch_id}")
+
+    return (
+        pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def page_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages analysed and distinct urls discovered per site, exactly, over all batches."""
+    urls = spark.read.schema("site STRING, link STRING, pages BIGINT").parquet(f"{folder}/urls")
+    return urls.groupBy("site", "link").agg(F.sum("pages").alias("pages")).groupBy("site").agg(
+        F.sum("pages").alias("analyzed_pages"), F.count(F.lit(1)).alias("discovered_internal_pages")
     )
 
 

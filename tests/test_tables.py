@@ -129,7 +129,7 @@ def test_local_json_sources(spark):
 def test_nearest_is_the_same_with_and_without_broadcast(spark):
     v = spark.createDataFrame([("t", i, [float(i % 17), float(i % 5)]) for i in range(200)] + [("u", 999, [0.0, 0.0])], "tenant string, vec_id bigint, embedding array<float>")
     q = spark.createDataFrame([("t", 1, [3.0, 3.0])], "tenant string, query_id bigint, query array<float>")
-    near = [[r.vec_id for r in search.nearest(v, q, ["tenant"], broadcast_rows=n).orderBy("rank").collect()] for n in (10, 0)]
+    near = [[r.vec_id for r in search.nearest(v, q, ["tenant"], slices=n).orderBy("rank").collect()] for n in (1, 5)]
     want = sorted(range(200), key=lambda i: ((i % 17 - 3) ** 2 + (i % 5 - 3) ** 2, i))[:5]
     assert near == [want, want]
 
@@ -172,10 +172,8 @@ def test_arriving_pages_are_audited_once(spark):
     assert spark.read.parquet(f"{folder}/out/findings").count() == 54
     h1 = progress.site_coverage(spark, f"{folder}/out").filter("metric_key = 'h1_compliance'").first()
     assert (h1.matched, h1.total) == (6, 6)
-    counters = progress.page_counters(stream_pages(spark, f"{folder}/in"))
-    q = counters.writeStream.format("memory").queryName("counters").outputMode("complete").option("checkpointLocation", f"{folder}/c4").trigger(availableNow=True).start()
-    q.awaitTermination()
-    r = spark.table("counters").first()
+    progress.count_arrivals(stream_pages(spark, f"{folder}/in", files_per_trigger=1), f"{folder}/counts", f"{folder}/c4").awaitTermination()
+    r = progress.page_counters(spark, f"{folder}/counts").first()
     assert (r.analyzed_pages, r.discovered_internal_pages) == (6, 7)
 
 
