@@ -26,17 +26,27 @@ def _tests() -> dict[str, Column]:
     }
 
 
-def coverage_counts(features: DataFrame) -> DataFrame:
-    """Pages of each site that meet each coverage test.
-
-    Grouping by (site, title) first makes the count of unique titles a sum, so one pass
-    over the pages serves all metrics and a repeated title is combined early.
-    """
+def title_counts(features: DataFrame) -> DataFrame:
+    """Pages of each (site, title) that meet each coverage test. Counts of several batches
+    add up."""
     title = strip_space(F.coalesce("title", F.lit("")))
-    per_title = features.groupBy("site", title.alias("_title")).agg(
+    return features.groupBy("site", title.alias("_title")).agg(
         F.count(F.lit(1)).alias("pages"),
         *[F.count_if(test).alias(key) for key, test in _tests().items()],
     )
+
+
+def merged_title_counts(parts: DataFrame) -> DataFrame:
+    """Title counts of several batches as one."""
+    return parts.groupBy("site", "_title").agg(*[F.sum(c).alias(c) for c in ("pages", *_tests())])
+
+
+def coverage_counts(per_title: DataFrame) -> DataFrame:
+    """Pages of each site that meet each coverage test, from its title counts.
+
+    Grouping by (site, title) first makes the count of unique titles a sum, so one pass
+    over the pages serves all metrics and a repeated title is combined early.
+    """
     return per_title.groupBy("site").agg(
         F.sum("pages").alias("pages"),
         *[F.sum(key).alias(key) for key in _tests()],
@@ -73,7 +83,12 @@ def _coverage_rows(counts: DataFrame, metrics: list[tuple[str, str, str, int]],
 
 def coverage(features: DataFrame) -> DataFrame:
     """Long form of the site coverage findings: one row per site and metric."""
-    return _coverage_rows(coverage_counts(features), C.SITE_METRICS, F.col("pages"))
+    return coverage_of(title_counts(features))
+
+
+def coverage_of(per_title: DataFrame) -> DataFrame:
+    """The same from title counts."""
+    return _coverage_rows(coverage_counts(per_title), C.SITE_METRICS, F.col("pages"))
 
 
 def optional_coverage(features: DataFrame) -> DataFrame:

@@ -157,6 +157,7 @@ def audit_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQ
         features = spark.read.parquet(place)
         long = findings.findings(findings.page_audit(features))
         long.write.mode("overwrite").parquet(f"{folder}/findings/batch_id={batch_id}")
+        site.title_counts(features).write.mode("overwrite").parquet(f"{folder}/title_counts/batch_id={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -165,8 +166,9 @@ def audit_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQ
 
 
 def site_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Site coverage over all batches that have been audited."""
-    return site.coverage(spark.read.parquet(f"{folder}/features"))
+    """Site coverage over all batches that have been audited, from the counts that each
+    batch has left; no page is read again."""
+    return site.coverage_of(site.merged_title_counts(spark.read.parquet(f"{folder}/title_counts")))
 
 
 def event_lines(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

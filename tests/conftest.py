@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from pagewarden.session import local_session
@@ -5,6 +7,6 @@ from pagewarden.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", shuffle_partitions=4, memory="4g")
+    session = local_session("4", shuffle_partitions=4, memory="4g", warehouse=tempfile.mkdtemp(prefix="pagewarden-"))
     yield session
     session.stop()
