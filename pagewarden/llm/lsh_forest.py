@@ -6,9 +6,10 @@ table of its keys, so that a huge group of copies is dealt over many tasks like
 else. Rows that share a prefix of ``min_depth`` values form a region, and the region goes
 deeper until it has at most ``small`` rows, all pairs of which are candidates. Larger
 regions also give each row its neighbour in the order (the longest common prefix) and
-the region's most central row, the one whose keys are most often those of others: in a
-large family of copies that is the text they were made from.
-Every candidate that the signatures do not rule out is confirmed on the full sets.
+the region's most central row, the one that shares the most prefixes with others over all
+trees: in a large family of copies that is the text they were made from.
+Candidates that the signatures do not rule out are confirmed on the full sets, but for
+those whose ends are joined already.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.llm.common import bit_place, bits_set, columns_of, id_bits, id_text, stored
@@ -100,8 +101,7 @@ def _regions(keys: list[bytes], small: int, depth: int, level: int) -> Iterator[
         if hi - lo <= small:
             yield "all", d, lo, hi
             continue
-        if d in (level, depth):
-            yield "region", d, lo, hi
+        yield "region", d, lo, hi
         yield "next", d, lo, hi
         if d < depth:
             at = lo
@@ -127,7 +127,7 @@ def _walker(depth: int, min_depth: int, small: int) -> Callable:
                     a += ids[lo:hi]
                     b += [None] * (hi - lo)
                     region += [base + made] * (hi - lo)
-                    size += [hi - lo if d == depth else 0] * (hi - lo)
+                    size += [hi - lo] * (hi - lo)
                     continue
                 pairs = combinations(ids[lo:hi], 2) if kind == "all" else zip(ids[lo : hi - 1], ids[lo + 1 : hi], strict=True)
                 found = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
@@ -176,8 +176,9 @@ def _alike(floor: float) -> Callable:
             if not x:
                 continue
             left, right = (np.frombuffer(b"".join(z), np.uint8).reshape(len(z), -1) for z in (x, y))
-            keep = pa.array((left == right).mean(axis=1) >= floor)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+            alike = (left == right).mean(axis=1)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], names=["a", "b", "alike"])
+            yield found.filter(pa.array(alike >= floor))
 
     return run
 
@@ -208,9 +209,17 @@ def _confirm(percent: int) -> Callable:
     return run
 
 
+def _likeliest(pairs: DataFrame, partners: int) -> DataFrame:
+    """Pairs that are among the ``partners`` likeliest of either end."""
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "alike").union(pairs.select("b", "a", "alike"))
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("alike"), "y"))
+    best = ends.withColumn("place", place).filter(F.col("place") <= partners)
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = 16, depth: int = 8,
-    min_depth: int = 3, small: int = 16, slack: float = 0.15, filter_bits: int = 1 << 24,
+    min_depth: int = 3, small: int = 64, slack: float = 0.15, partners: int = 4, filter_bits: int = 1 << 24,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -230,14 +239,28 @@ def near_duplicates(
     low = classes.select("doc_id", "n", "low")
     both = pairs.join(low.toDF("a", "n_a", "low_a"), "a").join(low.toDF("b", "n_b", "low_b"), "b")
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    likely = stored(both.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_alike(percent / 100 - slack), "a bigint, b bigint"), "likely")
+    likely = stored(both.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_alike(percent / 100 - slack), "a bigint, b bigint, alike double"), "likely")
     # the texts are read again and not shuffled: a bitmap of fixed size tells which are needed
     wanted = docs.sparkSession.sparkContext.broadcast(id_bits(likely.select(F.explode(F.array("a", "b")).alias("id")), "id", filter_bits))
     placed = rows.filter("doc_id is not null").select("doc_id", "text", bit_place(F.col("doc_id"), filter_bits).alias("place"))
     sets = stored(placed.mapInArrow(_setter(width, wanted), "doc_id bigint, members binary"), "sets").dropDuplicates(["doc_id"])
-    paired = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    links = stored(paired.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
-    of_class = classes.select("digest", F.col("doc_id").alias("first")).join(components(links).withColumnRenamed("node", "first"), "first", "left")
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        paired = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+        return stored(paired.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
+
+    # the likeliest partners of each class join most of a family; of the other pairs only
+    # those that would still join two components are looked at
+    first = stored(_likeliest(likely, partners), "first")
+    links = confirmed(first)
+    part = components(links)
+    ends = likely.join(first, ["a", "b"], "left_anti").join(part.toDF("a", "of_a"), "a", "left").join(part.toDF("b", "of_b"), "b", "left")
+    rest = stored(ends.filter(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b"), "rest")
+    if not rest.isEmpty():
+        more = confirmed(rest)
+        if not more.isEmpty():
+            part = components(links.union(more))
+    of_class = classes.select("digest", F.col("doc_id").alias("first")).join(part.withColumnRenamed("node", "first"), "first", "left")
     of_class = of_class.select("digest", F.coalesce("component", "first").alias("component_id"))
     filled = sketch.filter("n_shingles > 0").join(of_class, "digest", "left").select("doc_id", "n_shingles", "component_id")
     out = filled.union(sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
