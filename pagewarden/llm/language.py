@@ -60,7 +60,7 @@ class Model:
     scripts: dict[str, list[bool]]
     switch: float = 4.0
     floor: float = -8.0
-    cache_words: int = 500_000
+    cache_words: int = 300_000
     key: str = ""
     _at: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None
@@ -150,7 +150,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(*columns_of(batch, "lang", "text"), strict=True):
             words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        if sum(map(len, words.values())) > 300_000:
+        if sum(map(len, words.values())) > 150_000:
             yield rows()
     if words:
         yield rows()
@@ -256,7 +256,7 @@ def _predictor(fitted: Model, with_spans: bool, words_at_once: int) -> Callable:
 
 
 def predict(
-    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True, words_at_once: int = 1_000_000,
+    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True, words_at_once: int = 400_000,
 ) -> DataFrame:
     """Language of every whole text, with its spans when asked for.
 
@@ -270,7 +270,7 @@ def predict(
     return id_text(docs, id_col, text_col).mapInArrow(_predictor(model, with_spans, words_at_once), schema)
 
 
-def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.5, words_at_once: int = 1_000_000) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.5, words_at_once: int = 400_000) -> DataFrame:
     """The rows, with all their columns, of which a learned language holds at least the
     share ``min_score`` of the letters. Null texts and texts without letters go."""
 

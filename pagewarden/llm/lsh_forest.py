@@ -33,7 +33,7 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class Shingles:
     """Sorted distinct hashes of a text's shingles of ``width`` words."""
 
-    def __init__(self, width: int = 5, cache_words: int = 500_000):
+    def __init__(self, width: int = 5, cache_words: int = 300_000):
         self.width, self.limit, self.cache = width, cache_words, {}
         self.mix = np.resize(MIX, width)
 
