@@ -38,8 +38,10 @@ def _level(rows: DataFrame, keys: list[str], first: bool) -> DataFrame:
     found = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *([] if first else [F.min("row").alias("next"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays")])
     )
-    found = found.filter("n > 1").withColumnsRenamed({k: f"of_{k}" for k in keys})
-    joined = rows.join(found, [F.col(k) == F.col(f"of_{k}") for k in keys], "left")
+    # stored apart from the join: only then can adaptive execution split the rows of a hot
+    # group, and a lost executor cannot change which of repeated rows stays
+    found = stored(found.filter("n > 1").withColumnsRenamed({k: f"of_{k}" for k in keys}), "groups")
+    joined = rows.join(found.hint("merge"), [F.col(k) == F.col(f"of_{k}") for k in keys], "left")
     several = F.col("n").isNotNull()
     if first:  # nothing is settled but singles: rows are numbered when this level is stored
         return joined.select(
