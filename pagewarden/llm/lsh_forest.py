@@ -219,7 +219,7 @@ def _likeliest(pairs: DataFrame, partners: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = 16, depth: int = 8,
-    min_depth: int = 3, small: int = 64, slack: float = 0.15, partners: int = 4, filter_bits: int = 1 << 24,
+    min_depth: int = 3, small: int = 24, slack: float = 0.15, partners: int = 4, filter_bits: int = 1 << 24,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
