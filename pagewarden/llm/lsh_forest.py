@@ -9,7 +9,8 @@ regions also give each row its neighbour in the order (the longest common prefix
 the region's most central row, the one that shares the most prefixes with others over all
 trees: in a large family of copies that is the text they were made from.
 Candidates that the signatures do not rule out are confirmed on the full sets, but for
-those whose ends are joined already.
+those whose ends are joined already. Then all pairs of the larger regions whose ends are
+still apart are candidates too, compared in blocks of rows.
 """
 
 from __future__ import annotations
@@ -112,15 +113,17 @@ def _regions(keys: list[bytes], small: int, depth: int, level: int) -> Iterator[
 
 
 def _walker(depth: int, min_depth: int, small: int) -> Callable:
-    """Candidate pairs (region null) and members of large regions (b null) of sorted rows."""
+    """Candidate pairs (b not null) and members of large regions of sorted rows; ``top`` is
+    the name of a region of ``min_depth`` values of which some pairs are not among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         made = 0
 
-        def of_region(keys: list[bytes], ids: list[int]) -> pa.RecordBatch:
+        def of_region(at: tuple[int, bytes], keys: list[bytes], ids: list[int]) -> pa.RecordBatch:
             nonlocal made
-            a, b, region, size = [], [], [], []
+            a, b, region, size, top = [], [], [], [], []
+            name = xxhash.xxh3_64_intdigest(at[1], seed=at[0]) - 2**63
             for kind, d, lo, hi in _regions(keys, small, depth, min_depth):
                 if kind == "region":
                     made += 1
@@ -128,6 +131,7 @@ def _walker(depth: int, min_depth: int, small: int) -> Callable:
                     b += [None] * (hi - lo)
                     region += [base + made] * (hi - lo)
                     size += [hi - lo] * (hi - lo)
+                    top += [name if d == min_depth else None] * (hi - lo)
                     continue
                 pairs = combinations(ids[lo:hi], 2) if kind == "all" else zip(ids[lo : hi - 1], ids[lo + 1 : hi], strict=True)
                 found = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
@@ -135,7 +139,8 @@ def _walker(depth: int, min_depth: int, small: int) -> Callable:
                 b += [p[1] for p in found]
                 region += [None] * len(found)
                 size += [0] * len(found)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, region, size)], names=["a", "b", "region", "size"])
+                top += [None] * len(found)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, region, size, top)], names=["a", "b", "region", "size", "top"])
 
         keys: list[bytes] = []
         ids: list[int] = []
@@ -144,29 +149,73 @@ def _walker(depth: int, min_depth: int, small: int) -> Callable:
             for tree, key, doc in zip(*columns_of(batch, "tree", "key", "doc_id"), strict=True):
                 if (here := (tree, key[: 4 * min_depth])) != at:
                     if len(keys) > 1:
-                        yield of_region(keys, ids)
+                        yield of_region(at, keys, ids)
                     keys, ids, at = [], [], here
                 keys.append(key)
                 ids.append(doc)
         if len(keys) > 1:
-            yield of_region(keys, ids)
+            yield of_region(at, keys, ids)
 
     return run
 
 
-def candidates(classes: DataFrame, *, trees: int, depth: int, min_depth: int, small: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the forest over classes (doc_id, key)."""
+def candidates(classes: DataFrame, *, trees: int, depth: int, min_depth: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of the forest over classes (doc_id, key); members
+    (top, a) of the regions of which some pairs are not among them."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     rows = rows.select("tree", F.substring("key", F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)).alias("key"), "doc_id")
     ordered = rows.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    found = stored(ordered.mapInArrow(_walker(depth, min_depth, small), "a bigint, b bigint, region bigint, size bigint"), "forest")
+    found = stored(ordered.mapInArrow(_walker(depth, min_depth, small), "a bigint, b bigint, region bigint, size bigint, top bigint"), "forest")
     members = found.filter("region is not null")
     central = members.groupBy("a").agg(F.sum("size").alias("score"))
     heads = members.join(central, "a").groupBy("region").agg(F.max(F.struct("score", "a")).alias("h")).select("region", F.col("h.a").alias("h"))
     to_head = members.join(heads, "region").filter("a != h").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
     to_head = stored(to_head, "heads")  # apart from the distinct below, so that a hot region can be split
-    return found.filter("region is null").select("a", "b").union(to_head).distinct()
+    return found.filter("b is not null").select("a", "b").union(to_head).distinct(), found.filter("top is not null").select("top", "a")
+
+
+def _crossing(percent: int, floor: float) -> Callable:
+    """Pairs of a cell's left and right rows of different components that size and signature allow."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        a, c, n, left, apart = (cell.column(x).to_numpy(zero_copy_only=False) for x in ("a", "c", "n", "left", "apart"))
+        low = np.frombuffer(b"".join(cell.column("low").to_pylist()), np.uint8).reshape(len(a), -1)
+        right = np.flatnonzero(~left)
+        a_r, c_r, n_r, low_r, apart_r = a[right], c[right], n[right], low[right], apart[right]
+        found = []
+        for i in np.flatnonzero(left):
+            # of two rows outside the largest component each is on both sides: once is enough
+            fits = (c_r != c[i]) & (~apart_r | (a_r > a[i])) & (np.minimum(n_r, n[i]) * 100 >= np.maximum(n_r, n[i]) * percent)
+            at = np.flatnonzero(fits)
+            alike = np.count_nonzero(low_r[at] == low[i], axis=1) / low.shape[1]
+            found += [(min(a[i], x), max(a[i], x), y) for x, y in zip(a_r[at[alike >= floor]], alike[alike >= floor], strict=True)]
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "alike"])
+
+    return run
+
+
+def across(tops: DataFrame, part: DataFrame, classes: DataFrame, *, percent: int, floor: float, block: int) -> DataFrame:
+    """(a, b, alike) of the pairs of a region in ``tops`` (top, a) whose ends ``part`` (node,
+    component) does not join.
+
+    Rows outside a region's largest component are compared with all of its rows, in cells
+    of ``block`` rows by ``block``.
+    """
+    labelled = stored(tops.join(part.toDF("a", "c"), "a", "left").select("top", "a", F.coalesce("c", "a").alias("c")), "tops")
+    per = labelled.groupBy("top", "c").agg(F.count("*").alias("n"))
+    regions = per.groupBy("top").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("bigint")
+    regions = stored(regions.select("top", F.col("main.c").alias("main"), blocks(F.col("all")).alias("rows"), blocks(F.col("all") - F.col("main.n")).alias("others")), "regions")
+    sides = labelled.join(regions, "top").join(classes.select(F.col("doc_id").alias("a"), "n", "low"), "a")
+    sides = stored(sides.withColumn("apart", F.col("c") != F.col("main")), "sides")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    place = F.xxhash64("a")
+    left = sides.filter("apart").select("top", F.pmod(place, "others").alias("i"), upto("rows").alias("j"), "a", "c", "n", "low", "apart", F.lit(True).alias("left"))
+    right = sides.select("top", upto("others").alias("i"), F.pmod(place, "rows").alias("j"), "a", "c", "n", "low", "apart", F.lit(False).alias("left"))
+    found = left.union(right).groupBy("top", "i", "j").applyInArrow(_crossing(percent, floor), "a bigint, b bigint, alike double")
+    return stored(found, "crossing").groupBy("a", "b").agg(F.first("alike").alias("alike"))
 
 
 def _alike(floor: float) -> Callable:
@@ -219,7 +268,7 @@ def _likeliest(pairs: DataFrame, partners: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = 16, depth: int = 8,
-    min_depth: int = 3, small: int = 24, slack: float = 0.15, partners: int = 4, filter_bits: int = 1 << 24,
+    min_depth: int = 3, small: int = 24, slack: float = 0.15, partners: int = 4, filter_bits: int = 1 << 24, block: int = 8192,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -235,31 +284,44 @@ def near_duplicates(
     sketch = stored(rows.mapInArrow(_sketcher(trees, depth, width), "doc_id bigint, n_shingles bigint, digest binary, key binary, low binary"), "sketch")
     classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("key").alias("key"), F.first("low").alias("low"))
     classes = stored(classes, "classes")
-    pairs = candidates(classes.select("doc_id", "key"), trees=trees, depth=depth, min_depth=min_depth, small=small)
+    pairs, tops = candidates(classes.select("doc_id", "key"), trees=trees, depth=depth, min_depth=min_depth, small=small)
     low = classes.select("doc_id", "n", "low")
     both = pairs.join(low.toDF("a", "n_a", "low_a"), "a").join(low.toDF("b", "n_b", "low_b"), "b")
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    likely = stored(both.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_alike(percent / 100 - slack), "a bigint, b bigint, alike double"), "likely")
-    # the texts are read again and not shuffled: a bitmap of fixed size tells which are needed
-    wanted = docs.sparkSession.sparkContext.broadcast(id_bits(likely.select(F.explode(F.array("a", "b")).alias("id")), "id", filter_bits))
+    floor = percent / 100 - slack
+    likely = stored(both.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_alike(floor), "a bigint, b bigint, alike double"), "likely")
     placed = rows.filter("doc_id is not null").select("doc_id", "text", bit_place(F.col("doc_id"), filter_bits).alias("place"))
-    sets = stored(placed.mapInArrow(_setter(width, wanted), "doc_id bigint, members binary"), "sets").dropDuplicates(["doc_id"])
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        paired = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        return stored(paired.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
-
-    # the likeliest partners of each class join most of a family; of the other pairs only
-    # those that would still join two components are looked at
-    first = stored(_likeliest(likely, partners), "first")
-    links = confirmed(first)
-    part = components(links)
-    ends = likely.join(first, ["a", "b"], "left_anti").join(part.toDF("a", "of_a"), "a", "left").join(part.toDF("b", "of_b"), "b", "left")
-    rest = stored(ends.filter(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest)
-        if not more.isEmpty():
-            part = components(links.union(more))
+
+    def settled(likely: DataFrame, links: DataFrame | None, part: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """``links`` and their components ``part`` with what ``likely`` adds to them."""
+        # the texts are read again and not shuffled: a bitmap of fixed size tells which are needed
+        wanted = docs.sparkSession.sparkContext.broadcast(id_bits(likely.select(F.explode(F.array("a", "b")).alias("id")), "id", filter_bits))
+        sets = stored(placed.mapInArrow(_setter(width, wanted), "doc_id bigint, members binary"), "sets").dropDuplicates(["doc_id"])
+
+        def confirmed(some: DataFrame) -> DataFrame:
+            paired = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+            return stored(paired.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
+
+        # the likeliest partners of each class join most of a family; of the other pairs only
+        # those that would still join two components are looked at
+        first = stored(_likeliest(likely, partners), "first")
+        more = confirmed(first)
+        links = more if links is None else links.union(more)
+        if part is None or not more.isEmpty():
+            part = components(links)
+        ends = likely.join(first, ["a", "b"], "left_anti").join(part.toDF("a", "of_a"), "a", "left").join(part.toDF("b", "of_b"), "b", "left")
+        rest = stored(ends.filter(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b"), "rest")
+        if not rest.isEmpty():
+            more = confirmed(rest)
+            if not more.isEmpty():
+                links = links.union(more)
+                part = components(links)
+        return links, part
+
+    links, part = settled(likely, None, None)
+    left = across(tops, part, classes, percent=percent, floor=floor, block=block)
+    if not left.isEmpty():
+        _, part = settled(stored(left, "left"), links, part)
     of_class = classes.select("digest", F.col("doc_id").alias("first")).join(part.withColumnRenamed("node", "first"), "first", "left")
     of_class = of_class.select("digest", F.coalesce("component", "first").alias("component_id"))
     filled = sketch.filter("n_shingles > 0").join(of_class, "digest", "left").select("doc_id", "n_shingles", "component_id")

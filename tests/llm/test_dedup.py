@@ -101,6 +101,25 @@ def test_family_around_one_text(spark):
     assert _near(docs, small=6) == brute(rows)
 
 
+def test_inner_members_of_a_large_region(spark):
+    """Rows too unlike to be linked that share a passage, and pairs among them: neither in small regions nor central."""
+    r = random.Random(7)
+    word = lambda: f"v{r.randrange(10**6)}"
+    passage = [word() for _ in range(300)]
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(50)]
+        for i in (k, k + 60):
+            tail = own[:-8] + [word() for _ in range(8)] if k % 2 else [word() for _ in range(50)]
+            rows.append((i, " ".join(passage + tail)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert len({c for _, c, _ in want.values()}) == 90
+    options = {"small": 2, "trees": 4, "depth": 1, "min_depth": 1, "slack": 0.85}
+    assert _near(docs, **options) == want
+    assert _near(docs, **options, block=16) == want
+
+
 def test_near_edges(spark):
     docs = edge_docs(spark)
     rows = lsh_forest.near_duplicates(docs).collect()
