@@ -114,13 +114,14 @@ def _regions(keys: list[bytes], small: int, depth: int, level: int) -> Iterator[
 
 def _walker(depth: int, min_depth: int, small: int) -> Callable:
     """Candidate pairs (b not null) and members of large regions of sorted rows; ``top`` is
-    the name of a region of ``min_depth`` values of which some pairs are not among them."""
+    the name of a region of ``min_depth`` values of which some pairs are not among them: a
+    large one, or the first or last of a partition, which may go on in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         made = 0
 
-        def of_region(at: tuple[int, bytes], keys: list[bytes], ids: list[int]) -> pa.RecordBatch:
+        def of_region(at: tuple[int, bytes], keys: list[bytes], ids: list[int], edge: bool) -> pa.RecordBatch:
             nonlocal made
             a, b, region, size, top = [], [], [], [], []
             name = xxhash.xxh3_64_intdigest(at[1], seed=at[0]) - 2**63
@@ -140,21 +141,27 @@ def _walker(depth: int, min_depth: int, small: int) -> Callable:
                 region += [None] * len(found)
                 size += [0] * len(found)
                 top += [None] * len(found)
+            if edge and len(keys) <= small:
+                a += ids
+                for column, value in ((b, None), (region, None), (size, 0), (top, name)):
+                    column += [value] * len(ids)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, region, size, top)], names=["a", "b", "region", "size", "top"])
 
         keys: list[bytes] = []
         ids: list[int] = []
         at = None
+        first = True
         for batch in batches:
             for tree, key, doc in zip(*columns_of(batch, "tree", "key", "doc_id"), strict=True):
                 if (here := (tree, key[: 4 * min_depth])) != at:
-                    if len(keys) > 1:
-                        yield of_region(at, keys, ids)
+                    if at is not None and (first or len(keys) > 1):
+                        yield of_region(at, keys, ids, first)
+                    first = at is None
                     keys, ids, at = [], [], here
                 keys.append(key)
                 ids.append(doc)
-        if len(keys) > 1:
-            yield of_region(at, keys, ids)
+        if at is not None:
+            yield of_region(at, keys, ids, True)
 
     return run
 

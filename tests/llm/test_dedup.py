@@ -120,6 +120,19 @@ def test_inner_members_of_a_large_region(spark):
     assert _near(docs, **options, block=16) == want
 
 
+def test_more_partitions_than_rows(spark):
+    r = random.Random(3)
+    base = [f"v{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(3)] + [(9, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert _near(docs) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_near_edges(spark):
     docs = edge_docs(spark)
     rows = lsh_forest.near_duplicates(docs).collect()
