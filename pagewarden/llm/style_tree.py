@@ -224,34 +224,33 @@ def _signed(x: int) -> int:
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, n): pages of this task on which a node has this content or shape."""
-    counts: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        keys = list(counts)
-        columns = [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)), pa.array(counts.values(), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, names=["host", "path", "kind", "feature", "n"])
-
+    """(host, digest, features) of the pages with style nodes; the digest is that of the page's text without the noise."""
+    names = ["host", "digest", "path", "content", "shape"]
     for batch in batches:
+        rows = {}
         for url, page in zip(*columns_of(batch, "url", "html"), strict=True):
-            host, seen = host_of(url), Page(features=True).read(page)
-            for kind, features in ((0, seen.content), (1, seen.shape)):
-                counts.update((host, _signed(path), kind, _signed(value)) for path, value in features.items())
-        if len(counts) > 200_000:
-            yield rows()
-    if counts:
-        yield rows()
+            seen = Page(features=True).read(page)
+            if seen.content:
+                key = host_of(url), xxhash.xxh3_128_digest("\n".join(seen.blocks))
+                rows[key] = [[_signed(x) for x in c] for c in (seen.content, seen.content.values(), map(seen.shape.get, seen.content))]
+        columns = [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.binary())]
+        columns += [pa.array([r[i] for r in rows.values()], pa.list_(pa.int64())) for i in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def style_tree(pages: DataFrame, presentation: float = 0.1) -> DataFrame:
-    """(host, path, pages, importance) of every style node, over all pages of each host.
+    """(host, path, pages, importance) of every style node, over the distinct pages of each host.
 
+    Pages of a host with the same text count once, so copies do not make what they hold
+    look like a template.
     Importance is the entropy of content over pages, as a share of its maximum, with the
     presentation's entropy weighted by ``presentation``; a node of one page has 1.
     """
-    counted = pages.mapInArrow(_collect, "host string, path bigint, kind bigint, feature bigint, n bigint")
-    values = counted.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    seen = pages.mapInArrow(_collect, "host string, digest binary, path array<bigint>, content array<bigint>, shape array<bigint>")
+    once = seen.groupBy("host", "digest").agg(F.min(F.struct("path", "content", "shape")).alias("f"))
+    nodes = once.select("host", F.explode(F.arrays_zip("f.path", "f.content", "f.shape")).alias("x")).select("host", "x.*")
+    features = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("feature")) for k, c in enumerate(("content", "shape"))))
+    values = nodes.select("host", "path", F.inline(features)).groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     nodes = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     share = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
     weight = F.when(F.col("kind") == 0, F.lit(1 - presentation)).otherwise(F.lit(presentation))

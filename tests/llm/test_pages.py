@@ -72,6 +72,13 @@ def test_site_templates_go_and_copies_of_articles_stay(spark):
     assert 0.0 in tree and max(tree) > 0.8
 
 
+def test_hot_copied_page_does_not_cost_other_pages_their_text(spark):
+    page = "<html><body><div class=top><p>Acme Times</div><div class=content><p>{}</p></div></body></html>"
+    rows = [(i, f"https://acme.example/{i}", page.format("the copied story" if i % 4 else f"story {i}")) for i in range(400)]
+    got = {r.page_id: r.text for r in style_tree.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "the copied story" if i % 4 else f"story {i}" for i in range(400)}
+
+
 def test_markup_cases():
     read = lambda h: style_tree.Page().read(h).blocks
     assert read("<p>a<p>b &lt;c&gt; &nbsp; d<script>'</p><p>no'</script><ul><li>1<li>2</ul>") == ["a", "b <c> d", "1", "2"]
