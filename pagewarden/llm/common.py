@@ -53,6 +53,19 @@ def id_bits(ids: DataFrame, column: str, bits: int) -> bytes:
     return table.tobytes()
 
 
+def hash_bits(rows: DataFrame, column: str, bits: int) -> bytes:
+    """A bitmap of ``bits`` bits with the places of the hashes in ``column``, modulo ``bits``.
+
+    Of fixed size, as ``id_bits``; the words come to the driver as one Arrow table.
+    """
+    place = F.pmod(F.col(column), F.lit(bits).cast("bigint"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = rows.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return table.tobytes()
+
+
 def bit_place(column: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits).cast("bigint"))
 
