@@ -5,6 +5,8 @@ Graph tables have the columns ``site, src_url, dst_url, pos, is_internal``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,31 +148,73 @@ def broken_summary(checked: DataFrame, samples: int = C.SAMPLE_LIMIT) -> DataFra
     )
 
 
+def _dealt(df: DataFrame, name: str) -> DataFrame:
+    """Store rows ordered by their ``bucket``, so that a reader of some buckets skips the rest by
+    the statistics of files and row groups; a large bucket is split."""
+    return stored(df.hint("rebalance", "bucket").sortWithinPartitions("bucket"), name)
+
+
+def _sizes(df: DataFrame) -> dict[int, int]:
+    """Rows of each bucket that has any; there are a fixed number of buckets."""
+    return {r.bucket: r["count"] for r in df.groupBy("bucket").count().collect()}
+
+
+class _Visited:
+    """Urls found so far, in stored runs of buckets. A run takes in the one before it when it
+    has grown to half of its size, so there are few runs and a row is rewritten a few times."""
+
+    def __init__(self):
+        self.runs: list[tuple[DataFrame, int]] = []
+
+    def add(self, rows: DataFrame, n: int) -> None:
+        self.runs.append((rows, n))
+        merge = 1
+        while merge < len(self.runs) and 2 * sum(n for _, n in self.runs[-merge:]) >= self.runs[-merge - 1][1]:
+            merge += 1
+        if merge > 1:
+            some = self.runs[-merge:]
+            del self.runs[-merge:]
+            self.runs.append((_dealt(reduce(DataFrame.unionByName, [r for r, _ in some]), "visited"), sum(n for _, n in some)))
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [r for r, _ in self.runs])
+
+
 def reachability(
-    starts: DataFrame, graph: DataFrame, max_depth: int | None = None, max_pages: int | None = None
+    starts: DataFrame, graph: DataFrame, max_depth: int | None = None, max_pages: int | None = None, buckets: int = 256
 ) -> DataFrame:
     """Lowest depth of every url that can be reached from the start urls of its site.
 
-    One join per level, until a level finds nothing new or ``max_depth`` is reached where
-    it is given. The links and every level are stored as Parquet in the shared folder, so
-    lineage does not grow and a lost executor costs one level. ``max_pages`` is a crawl
-    limit per site, by depth and url, for callers that want one.
+    One step per level, until a level finds nothing new or ``max_depth`` is reached where
+    it is given. Links are stored by buckets of their source and visited urls by the same
+    buckets, so a level with a few new urls reads their buckets of the links and the buckets
+    of its candidates among the visited, whatever was found before. All steps are stored in
+    the shared folder: lineage does not grow and a lost executor costs one level.
+    ``max_pages`` is a crawl limit per site, by depth and url, for callers that want one.
     """
-    links = stored(graph.filter("is_internal").select("site", "src_url", "dst_url").distinct(), "links")
-    frontier = stored(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)), "level")
-    found = frontier
-    depth = 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+    bucket = lambda url: F.pmod(F.xxhash64("site", url), F.lit(buckets)).cast("int")
+    links = graph.filter("is_internal").select("site", "src_url", "dst_url").distinct()
+    links = _dealt(links.withColumn("bucket", bucket("src_url")), "links")
+    first = starts.select("site", "url").distinct().withColumns({"depth": F.lit(0), "bucket": bucket("url")})
+    frontier, visited, depth = _dealt(first, "level"), _Visited(), 0
+    sizes = _sizes(frontier)
+    visited.add(frontier, sum(sizes.values()))
+    while sizes and (max_depth is None or depth < max_depth):
         depth += 1
-        step = (
-            frontier.select("site", F.col("url").alias("src_url"))
-            .join(links, ["site", "src_url"])
-            .select("site", F.col("dst_url").alias("url"))
-            .distinct()
-            .join(found.select("site", "url"), ["site", "url"], "left_anti")
-        )
-        frontier = stored(step.withColumn("depth", F.lit(depth)), "level")
-        found = found.unionByName(frontier)
+        at = frontier.select("bucket", "site", F.col("url").alias("src_url"))
+        step = at.join(links.filter(F.col("bucket").isin(list(sizes))), ["bucket", "site", "src_url"])
+        step = step.select("site", F.col("dst_url").alias("url")).distinct()
+        step = stored(step.withColumn("bucket", bucket("url")), "candidates")
+        sizes = _sizes(step)
+        if not sizes:
+            break
+        known = visited.rows().filter(F.col("bucket").isin(list(sizes))).select("bucket", "site", "url")
+        new = step.join(known, ["bucket", "site", "url"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = _dealt(new.select("site", "url", "depth", "bucket"), "level")
+        sizes = _sizes(frontier)
+        if sizes:
+            visited.add(frontier, sum(sizes.values()))
+    found = visited.rows().select("site", "url", "depth")
     if max_pages:
         found = top_k(found, ["site"], [F.col("depth"), F.col("url")], max_pages).drop("rank")
     return found
