@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # keyed state with lists, timers and expiry (streaming.progress.recent_state)
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -37,14 +39,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, it
-    is a folder below the session's warehouse, which every executor reaches as well.
+    is a folder below the session's warehouse. A warehouse on a local disk serves only a
+    local master; elsewhere the other machines would not see it, and that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_runs/{context.applicationId}"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith("file:") and not context.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {warehouse} is local")
+        folder = f"{warehouse}/_runs/{context.applicationId}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -11,13 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from pagewarden import constants as C
 from pagewarden.functions import numbers as N
 from pagewarden.operators import extract, findings, site
 from pagewarden.operators.ranking import first_by, top_k
 from pagewarden.operators.rows import unnest
+from pagewarden.streaming.partials import Partials
 
 EVENTS = "job_id BIGINT, ts TIMESTAMP, event_id BIGINT, type STRING, payload STRING"
 # fixed values: event types that begin and end a job
@@ -85,49 +86,95 @@ def job_status(
 
 
 _RECENT = "job_id BIGINT, seen BIGINT, latest_type STRING, latest_event BIGINT, recent ARRAY<BIGINT>"
-_STATE = "seen BIGINT, ts ARRAY<BIGINT>, ids ARRAY<BIGINT>, types ARRAY<STRING>"
+_KEPT = "ts BIGINT, id BIGINT, type STRING"
 
 
-def recent_state(events: DataFrame, limit: int = C.RECENT_EVENTS) -> DataFrame:
-    """Streaming form of ``recent``: a list of at most ``limit`` events as state per job.
+class _Recent(StatefulProcessor):
+    """Per job the last ``limit`` events as list state and the number seen as value state.
 
-    Batches are merged by event time, so the order in which files arrive is no matter.
+    With ``idle`` a timer forgets a job when the watermark has passed its last event by that
+    many milliseconds.
     """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, ts, ids, types = state.get if state.exists else (0, [], [], [])
-        kept = list(zip(ts, ids, types))
-        for batch in batches:
-            seen += len(batch)
+    def __init__(self, limit: int, idle: int | None):
+        self.limit, self.idle = limit, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", _KEPT)
+        self.seen = handle.getValueState("seen", "n BIGINT")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        kept = list(self.kept.get()) if self.kept.exists() else []
+        for batch in rows:
+            n += len(batch)
             # only the newest of a batch can enter the list, so the list stays short
-            newest = batch.sort_values(["ts", "event_id"]).tail(limit)
+            newest = batch.sort_values(["ts", "event_id"]).tail(self.limit)
             times = newest["ts"].astype("datetime64[us]").astype("int64")
-            kept = sorted(kept + list(zip(times.tolist(), newest["event_id"].tolist(), newest["type"].tolist())))[-limit:]
-        state.update((seen, [k[0] for k in kept], [k[1] for k in kept], [k[2] for k in kept]))
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]], "seen": [seen], "latest_type": [kept[-1][2]],
-                "latest_event": [kept[-1][1]], "recent": [[k[1] for k in reversed(kept)]],
-            }
-        )
+            kept = sorted([tuple(k) for k in kept] + list(zip(times.tolist(), newest["event_id"].tolist(), newest["type"].tolist(), strict=True)))[-self.limit :]
+        self.kept.put(kept)
+        self.seen.update((n,))
+        if self.idle is not None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(kept[-1][0] // 1000 + self.idle)
+        yield pd.DataFrame({"job_id": [key[0]], "seen": [n], "latest_type": [kept[-1][2]], "latest_event": [kept[-1][1]], "recent": [[k[1] for k in reversed(kept)]]})
 
-    return (
-        typed(events).select("job_id", "ts", "event_id", "type").groupBy("job_id")
-        .applyInPandasWithState(update, _RECENT, _STATE, "update", GroupStateTimeout.NoTimeout)
-    )
+    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        self.seen.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def count_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep what ``page_counters`` needs as pages arrive: the urls of each batch, once each.
 
-    Every batch has a folder of its own, so one that is run again replaces itself.
+def recent_state(events: DataFrame, limit: int = C.RECENT_EVENTS, watermark: str | None = None, idle_seconds: int | None = None) -> DataFrame:
+    """Streaming form of ``recent``: a list of at most ``limit`` events as state per job.
+
+    Batches are merged by event time, so the order in which files arrive is no matter. With
+    ``watermark`` and ``idle_seconds`` a job whose last event is that much older than the
+    watermark is forgotten, so the state follows the jobs that are running and not all that
+    ever ran. The session needs the RocksDB state store.
     """
+    if (watermark is None) != (idle_seconds is None):
+        raise ValueError("watermark and idle_seconds go together")
+    rows = typed(events).select("job_id", "ts", "event_id", "type")
+    if watermark:
+        rows = rows.withWatermark("ts", watermark)
+    processor = _Recent(limit, None if idle_seconds is None else idle_seconds * 1000)
+    mode = "EventTime" if watermark else "None"
+    return rows.groupBy("job_id").transformWithStateInPandas(processor, _RECENT, "Update", mode)
+
+
+def elapsed_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Seconds of each event since its job's first ``STARTED`` event, both from one stream.
+
+    The start is joined by job within the watermark, so the state holds the events and starts
+    of a bounded time. Events that precede their job's start are left out.
+    """
+    rows = typed(events).withWatermark("ts", watermark)
+    starts = rows.filter(F.col("type") == STARTED).select(F.col("job_id").alias("of_job"), F.col("ts").alias("started_at"), F.col("event_id").alias("start_id"))
+    spent = (F.unix_micros("ts") - F.unix_micros("started_at")) / 1e6
+    within = (F.col("job_id") == F.col("of_job")) & (F.col("ts") >= F.col("started_at")) & (F.col("ts") <= F.col("started_at") + F.expr("INTERVAL 1 DAY"))
+    joined = rows.join(starts, within)
+    return joined.withColumn("elapsed_seconds", N.round_half_even(spent, 2)).drop("of_job", "started_at")
+
+
+def _merged_urls(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("site", "link").agg(F.sum("pages").alias("pages"))
+
+
+def count_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep what ``page_counters`` needs as pages arrive: the urls of each batch, once each,
+    merged level by level."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         features = extract.page_features(batch)
         found = unnest(features, F.array_prepend(F.col("internal_links"), F.col("url")), "link", ["site"], "i")
         urls = found.groupBy("site", "link").agg(F.count_if(F.col("i") == 0).alias("pages"))
-        urls.write.mode("overwrite").parquet(f"{folder}/urls/batch_id={batch_id}")
+        Partials(batch.sparkSession, f"{folder}/urls", _merged_urls).add(batch_id, urls)
 
     return (
         pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -137,8 +184,7 @@ def count_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQ
 
 def page_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Pages analysed and distinct urls discovered per site, exactly, over all batches."""
-    urls = spark.read.schema("site STRING, link STRING, pages BIGINT").parquet(f"{folder}/urls")
-    return urls.groupBy("site", "link").agg(F.sum("pages").alias("pages")).groupBy("site").agg(
+    return Partials(spark, f"{folder}/urls", _merged_urls).read().groupBy("site").agg(
         F.sum("pages").alias("analyzed_pages"), F.count(F.lit(1)).alias("discovered_internal_pages")
     )
 
@@ -147,7 +193,8 @@ def audit_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQ
     """Audit pages as they arrive.
 
     Every batch is extracted once, written to its own partition, and judged from there.
-    A batch that is run again overwrites that partition, so nothing is counted twice.
+    A batch that is run again overwrites that partition, so nothing is counted twice. The
+    title counts that coverage needs are merged level by level.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -157,7 +204,7 @@ def audit_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQ
         features = spark.read.parquet(place)
         long = findings.findings(findings.page_audit(features))
         long.write.mode("overwrite").parquet(f"{folder}/findings/batch_id={batch_id}")
-        site.title_counts(features).write.mode("overwrite").parquet(f"{folder}/title_counts/batch_id={batch_id}")
+        Partials(spark, f"{folder}/title_counts", site.merged_title_counts).add(batch_id, site.title_counts(features))
 
     return (
         pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -166,9 +213,9 @@ def audit_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQ
 
 
 def site_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Site coverage over all batches that have been audited, from the counts that each
-    batch has left; no page is read again."""
-    return site.coverage_of(site.merged_title_counts(spark.read.parquet(f"{folder}/title_counts")))
+    """Site coverage over all batches that have been audited, from the counts that the
+    batches have left; no page is read again."""
+    return site.coverage_of(Partials(spark, f"{folder}/title_counts", site.merged_title_counts).read())
 
 
 def event_lines(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
