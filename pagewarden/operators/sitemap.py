@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from xml.etree.ElementTree import ParseError, XMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +22,6 @@ from pagewarden.operators.ranking import first_by, top_k
 from pagewarden.session import stored
 from pagewarden.operators.rows import unnest
 
-_XML = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>, _corrupt_record STRING"
-
-
 def robots_rules(body: Column) -> Column:
     """Disallowed path prefixes for agent ``*``; only the last agent line before a rule counts.
 
@@ -48,8 +49,20 @@ def disallowed_rules(resources: DataFrame) -> DataFrame:
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Urls that no rule of their site forbids: one equi join, then a prefix test in the row."""
-    return urls.join(rules, "site", "left").filter(U.path_allowed(F.col("url"), F.col("rules"))).drop("rules")
+    """Urls that no rule of their site forbids.
+
+    A rule forbids the paths that begin with it, so a path is looked up by its beginnings, of
+    the lengths that the site's rules have: a url meets a handful of keys and not each rule,
+    and the rules of a site, repeated rows of it too, are rows that no task holds together.
+    """
+    one = rules.select("site", F.explode("rules").alias("rule")).filter("rule <> ''").distinct()
+    lengths = one.groupBy("site").agg(F.collect_set(F.length("rule")).alias("lengths"))
+    path = F.when(U.path(F.col("url")) == "", F.lit("/")).otherwise(U.path(F.col("url")))
+    tried = urls.select("site", "url", path.alias("path")).distinct().join(lengths, "site")
+    starts = unnest(tried, F.filter("lengths", lambda n: n <= F.length("path")), "n", ["site", "url", "path"])
+    starts = starts.select("site", "url", F.expr("left(path, n)").alias("rule"))
+    forbidden = starts.join(one, ["site", "rule"]).select("site", "url").distinct()
+    return urls.join(forbidden, ["site", "url"], "left_anti").select(urls.columns)
 
 
 def resource_verdicts(resources: DataFrame) -> DataFrame:
@@ -120,41 +133,112 @@ def discover(resources: DataFrame) -> DataFrame:
     )
 
 
+ENTRIES = "site string, sitemap_url string, kind string, pos bigint, loc string"
+
+
+class _Locations:
+    """What a sitemap parser calls: the ``loc`` texts of the root's ``url`` and ``sitemap`` elements."""
+
+    def __init__(self, out: list[tuple[str, str]] | None):
+        self.out, self.path, self.text = out, [], None
+
+    def start(self, tag: str, _: dict) -> None:
+        self.path.append(tag.rpartition("}")[2])
+        if self.out is not None and len(self.path) == 3 and self.path[2] == "loc" and self.path[1] in ("url", "sitemap"):
+            self.text = []
+
+    def data(self, text: str) -> None:
+        if self.text is not None:
+            self.text.append(text)
+
+    def end(self, _: str) -> None:
+        if self.text is not None and len(self.path) == 3:
+            self.out.append((self.path[1], "".join(self.text).strip(" \t\n\r\f\v")))
+            self.text = None
+        self.path.pop()
+
+    def close(self) -> None:
+        pass
+
+
+def _fed(body: str, out: list | None, chunk: int) -> Iterator[None]:
+    """Parse a body in chunks; between two of them ``out`` has what was found so far."""
+    parser = XMLParser(target=_Locations(out))
+    for at in range(0, len(body), chunk):
+        parser.feed(body[at : at + chunk])
+        yield
+    parser.close()
+    yield
+
+
+def _entries(chunk: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(some: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["site", "sitemap_url", "kind", "pos", "loc"])
+
+        for batch in batches:
+            for site, url, body in zip(*(batch.column(c).to_pylist() for c in ("site", "url", "body")), strict=True):
+                body = (body or "").removeprefix("\ufeff").lstrip()
+                try:
+                    for _ in _fed(body, None, chunk):  # well-formed as a whole, before a row leaves
+                        pass
+                except (ParseError, ValueError):
+                    continue
+                yield rows([(site, url, "file", 0, None)])
+                found: list[tuple[str, str]] = []
+                pos = 0
+                for _ in _fed(body, found, chunk):
+                    if found:
+                        yield rows([(site, url, kind, pos + i, loc) for i, (kind, loc) in enumerate(found, 1) if loc])
+                        pos += len(found)
+                        found.clear()
+
+    return run
+
+
+def entries(resources: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """Locations of every sitemap file as rows (site, sitemap_url, kind, pos, loc).
+
+    Kinds are ``file`` (one row per well-formed file), ``url`` and ``sitemap``. A body is fed
+    to the parser in chunks and its locations leave the task chunk by chunk, so the longest
+    file needs no more than its own text; malformed XML gives no rows.
+    """
+    ready = resources.filter((F.col("kind") == "sitemap") & (F.col("status_code") == 200)).select("site", "url", "body")
+    return ready.mapInArrow(_entries(chunk), ENTRIES)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """Entries that count: a file that names child sitemaps has no pages."""
+    index = found.filter("kind = 'sitemap'").select("site", "sitemap_url").distinct()
+    pages = found.filter("kind = 'url'").join(index, ["site", "sitemap_url"], "left_anti")
+    return found.filter("kind = 'sitemap'").unionByName(pages)
+
+
 def parse(resources: DataFrame) -> DataFrame:
-    """Page and child-sitemap locations of every sitemap file; malformed XML gives none."""
-    ready = resources.filter((F.col("kind") == "sitemap") & (F.col("status_code") == 200))
-    parsed = ready.select(
-        "site", "url",
-        F.from_xml(
-            F.col("body"), F.lit(_XML),
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"},
-        ).alias("x"),
-    ).filter(F.col("x").isNotNull() & F.col("x._corrupt_record").isNull())
-    texts = lambda a: F.filter(F.transform(a, lambda e: strip_space(e["loc"])), lambda s: s != "")
-    index = F.coalesce(F.size("x.sitemap"), F.lit(0)) > 0
-    return parsed.select(
-        "site", F.col("url").alias("sitemap_url"),
-        F.when(index, texts(F.col("x.sitemap"))).otherwise(N.lit_array([])).alias("children"),
-        F.when(index, N.lit_array([])).otherwise(F.coalesce(texts(F.col("x.url")), N.lit_array([]))).alias("pages"),
-    )
+    """Page and child-sitemap locations of every sitemap file, in order, as one row per file."""
+    found = stored(entries(resources), "sitemap-entries")
+    texts = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "loc")))), lambda e: e["loc"])
+    grouped = _listed(found).unionByName(found.filter("kind = 'file'")).groupBy("site", "sitemap_url")
+    return grouped.agg(texts("sitemap").alias("children"), texts("url").alias("pages"))
 
 
 def sitemap_urls(resources: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Distinct page urls of each site's sitemap, index files followed level by level."""
-    files = stored(parse(resources), "sitemaps")
+    found = stored(_listed(stored(entries(resources), "sitemap-entries")), "sitemaps")
+    children = found.filter("kind = 'sitemap'")
     starts = discover(resources) if starts is None else starts
     frontier = stored(starts.select("site", "sitemap_url").distinct(), "frontier")
     seen = frontier
     while not frontier.isEmpty():
         step = (
-            files.join(frontier, ["site", "sitemap_url"])
-            .select("site", F.explode("children").alias("sitemap_url")).distinct()
+            children.join(frontier, ["site", "sitemap_url"])
+            .select("site", F.col("loc").alias("sitemap_url")).distinct()
             .join(seen, ["site", "sitemap_url"], "left_anti")
         )
         frontier = stored(step, "frontier")
         seen = seen.unionByName(frontier)
-    listed = unnest(files.join(seen, ["site", "sitemap_url"], "left_semi"), "pages", "page", ["site"])
-    return listed.select("site", U.normalize_crawl_url(F.col("page")).alias("url")).distinct()
+    pages = found.filter("kind = 'url'").join(seen, ["site", "sitemap_url"], "left_semi")
+    return pages.select("site", U.normalize_crawl_url(F.col("loc")).alias("url")).distinct()
 
 
 def all_urls(sitemap: DataFrame, crawled: DataFrame) -> DataFrame:
