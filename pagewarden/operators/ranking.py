@@ -48,13 +48,21 @@ def repeated_values(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def flag_repeated(df: DataFrame, keys: list[str], name: str, ignore: Column | None = None) -> DataFrame:
+def flag_repeated(df: DataFrame, keys: list[str], name: str, ignore: Column | None = None, hot_keys: int = 1000) -> DataFrame:
     """Flag rows whose key occurs more than once.
 
-    Counting combines before the shuffle, and only repeated keys reach the join, where
-    adaptive execution splits a hot key over several tasks.
+    Counting combines before the shuffle. Keys that hold at least one row in ``hot_keys`` of
+    all repeated ones are at most that many, whatever the table, so they are broadcast, and
+    their rows are dealt by themselves in the join with the other repeated keys, of which
+    none is large: no task gets more than its share, with or without adaptive execution.
     """
     counted = df if ignore is None else df.filter(~ignore)
-    repeated = repeated_values(counted, keys).select(*keys, F.lit(True).alias(name))
-    flagged = df.join(repeated, keys, "left")
-    return flagged.withColumn(name, F.coalesce(name, F.lit(False)))
+    repeated = stored(repeated_values(counted, keys), "repeated")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") >= max(2, -(-total // hot_keys))
+    known = df.join(F.broadcast(repeated.filter(hot).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(1 << 20)) + 1).otherwise(0).cast("bigint")
+    cold = repeated.filter(~hot).select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.lit(True).alias(name))
+    flagged = known.withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    return flagged.select(*df.columns, F.coalesce("_hot", name, F.lit(False)).alias(name))
