@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from checks import oracle as O
 from checks import recipes as R
+from checks.page_queries import rule_case
 from checks.registry import query
+from checks.site_queries import COVERAGE, COVERAGE_ROWS
+from pagewarden import constants as C
 from pagewarden.operators import local, sitemap, store
 from pagewarden.session import checkpoint_folder
 from pagewarden.sources import sinks, tables
 from pagewarden.sources.audit_store import AuditStore
-from pagewarden.sources.pages import read_pages
+from pagewarden.sources.pages import read_pages, stream_pages
+from pagewarden.streaming import progress
 
 
 def _place(spark, name: str) -> str:
@@ -60,12 +64,55 @@ def _(spark, folder):
     return sitemap.sitemap_urls(_as_json(_sitemap_files(spark, folder), spark, tables.SITE_RESOURCES))
 
 
-@query("sitemap_xml_files", f"WITH {O.DOCS} SELECT DISTINCT site, origin || path AS loc, '2026-01-01' AS lastmod FROM d WHERE q >= 0")
+@query(
+    "sitemap_xml_files",
+    f"""WITH {O.DOCS}, u AS (SELECT DISTINCT site, origin, path, rtrim(lower(path), '/') t FROM d WHERE q >= 0)
+    SELECT site, origin || path AS loc, '2026-01-01' AS lastmod, {rule_case(C.SITEMAP_FREQUENCIES, 'daily', 'monthly')} AS changefreq, {rule_case(C.SITEMAP_PRIORITIES, '1.00', '0.50')} AS priority,
+      CAST((row_number() OVER (PARTITION BY site ORDER BY origin || path) - 1) // 50 AS VARCHAR) AS part FROM u""",
+)
+def _(spark, folder):
+    place = _place(spark, "xml")
+    sinks.write_sitemaps(sitemap.xml_rows(R.sitemap_rows(spark, folder).distinct(), "2026-01-01"), place, 50)
+    back = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, changefreq string, priority string, site string, part string").load(place)
+    return back.select("site", "loc", "lastmod", "changefreq", "priority", "part")
+
+
+@query(
+    "sitemap_index_files",
+    f"""WITH {O.DOCS}, u AS (SELECT site, count(DISTINCT path) AS n FROM d WHERE q >= 0 GROUP BY site)
+    SELECT site, CAST(unnest(range(0, (n + 49) // 50)) AS VARCHAR) AS part FROM u""",
+)
 def _(spark, folder):
     place = _place(spark, "xml")
     sinks.write_sitemaps(sitemap.xml_rows(R.sitemap_rows(spark, folder).distinct(), "2026-01-01"), place, 50)
-    back = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, site string").load(place)
-    return back.select("site", "loc", "lastmod")
+    index = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, site string").load(place)
+    written = sinks.sitemap_folders(spark, place)
+    named = index.filter("loc is not null").select("site", F.regexp_extract("loc", "part=([^/]*)/", 1).alias("part"), F.regexp_extract("loc", "[^/]*$", 0).alias("name"))
+    return named.join(written, ["site", "part", "name"]).select("site", "part")
+
+
+def _arrivals(spark, folder: str, run) -> str:
+    """Feed the authored pages to a stream in many batches; gives the folder of its results."""
+    place = _place(spark, "stream")
+    pages = R.authored_pages(spark, folder).select("page_id", "url", "html")
+    pages.repartition(10, "page_id").write.parquet(f"{place}/in")
+    run(stream_pages(spark, f"{place}/in", files_per_trigger=1), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return f"{place}/out"
+
+
+@query(
+    "page_counters_stream",
+    f"""WITH {O.LINKS}, s AS (SELECT site, src_url AS u FROM links UNION SELECT site, url FROM links WHERE internal)
+    SELECT a.site, analyzed_pages, discovered_internal_pages FROM (SELECT site, count(*) AS analyzed_pages FROM d GROUP BY site) a
+    JOIN (SELECT site, count(DISTINCT u) AS discovered_internal_pages FROM s GROUP BY site) f ON f.site = a.site""",
+)
+def _(spark, folder):
+    return progress.page_counters(spark, _arrivals(spark, folder, progress.count_arrivals))
+
+
+@query("site_coverage_stream", f"WITH {COVERAGE} {COVERAGE_ROWS}")
+def _(spark, folder):
+    return progress.site_coverage(spark, _arrivals(spark, folder, progress.audit_arrivals))
 
 
 _REVIEWS = """rv0 AS (SELECT conv_id AS review_id, 'loc' || (conv_id % 7) AS location, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE role = 'assistant') AS answers FROM conversations GROUP BY conv_id)"""

@@ -108,7 +108,7 @@ def _(spark, folder):
     )
 
 
-def _rule_case(rules, first, other) -> str:
+def rule_case(rules, first, other) -> str:
     arms = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{v}'" for p, v in rules)
     return f"CASE WHEN t = '' THEN '{first}' {arms} ELSE '{other}' END"
 
@@ -116,8 +116,8 @@ def _rule_case(rules, first, other) -> str:
 @query(
     "sitemap_rules",
     f"""WITH {O.DOCS}, t AS (SELECT doc_id AS page_id, rtrim(lower(path), '/') t FROM d)
-    SELECT page_id, {_rule_case(C.SITEMAP_PRIORITIES, '1.00', '0.50')} AS priority,
-      {_rule_case(C.SITEMAP_FREQUENCIES, 'daily', 'monthly')} AS changefreq FROM t""",
+    SELECT page_id, {rule_case(C.SITEMAP_PRIORITIES, '1.00', '0.50')} AS priority,
+      {rule_case(C.SITEMAP_FREQUENCIES, 'daily', 'monthly')} AS changefreq FROM t""",
 )
 def _(spark, folder):
     url = F.concat("origin", "path")

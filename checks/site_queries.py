@@ -35,10 +35,10 @@ COVERAGE = (
 c2 AS (SELECT *, CASE WHEN percentage >= lowest THEN 100::DOUBLE ELSE (percentage / lowest) * 100 END AS att FROM c1),
 coverage AS MATERIALIZED (SELECT *, CASE WHEN metric_pos <= 2 AND percentage < 50 THEN greatest(0, att - 20) ELSE att END::DOUBLE AS score FROM c2)"""
 )
-_COVERAGE_ROWS = f"SELECT site, metric_pos, metric_key, metric, category, matched, total, percentage, score, {O.status('score')} AS status, {O.prio('score')} AS priority FROM coverage"
+COVERAGE_ROWS = f"SELECT site, metric_pos, metric_key, metric, category, matched, total, percentage, score, {O.status('score')} AS status, {O.prio('score')} AS priority FROM coverage"
 
 
-@query("site_coverage", f"WITH {COVERAGE} {_COVERAGE_ROWS}")
+@query("site_coverage", f"WITH {COVERAGE} {COVERAGE_ROWS}")
 def _(spark, folder):
     return site.coverage(R.features(spark, folder))
 

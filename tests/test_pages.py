@@ -138,6 +138,33 @@ def test_results_do_not_depend_on_partitions(features):
     assert one == many
 
 
+def test_reachability_by_buckets(spark):
+    """A chain, a hub with many targets and a ring, far from each other in depth."""
+    edges = [("s", f"c{i}", f"c{i + 1}") for i in range(25)] + [("s", "c3", f"leaf{i}") for i in range(300)] + [("s", f"leaf{i}", "c3") for i in range(300)]
+    edges += [("t", f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("t", "lost", "r0")]
+    g = spark.createDataFrame([(s, a, b, True) for s, a, b in edges] + [("s", "c0", "out", False)], "site string, src_url string, dst_url string, is_internal boolean")
+    start = spark.createDataFrame([("s", "c0"), ("t", "r2"), ("t", "r2"), ("u", "alone")], "site string, url string")
+    found = links.reachability(start, g, buckets=16)
+    want = {("s", f"c{i}"): i for i in range(26)} | {("s", f"leaf{i}"): 4 for i in range(300)} | {("t", f"r{(i + 2) % 5}"): i for i in range(5)} | {("u", "alone"): 0}
+    got = [(r.site, r.url, r.depth) for r in found.collect()]
+    assert {(s, u): d for s, u, d in got} == want and len(got) == len(want)
+    runs = {f.rpartition("/")[0] for f in found.inputFiles()}
+    assert len(runs) <= 6  # of 26 levels
+    assert links.reachability(start.limit(0), g).count() == 0
+
+
+def test_repeated_flags_with_a_hot_value(spark):
+    from pagewarden.operators.ranking import flag_repeated
+
+    rows = [(i, "hot" if i % 2 else f"v{i // 8}", None if i % 50 == 0 else "x") for i in range(2000)] + [(9000, "once", "x"), (9001, None, "x"), (9002, None, "x")]
+    df = spark.createDataFrame(rows, "id bigint, title string, other string")
+    got = {r.id: r.twice for r in flag_repeated(df, ["title"], "twice", hot_keys=5).collect()}
+    assert len(got) == len(rows) and got[1] and got[0] and not got[9000] and not got[9001]
+    assert flag_repeated(df.limit(0), ["title"], "twice").count() == 0
+    ignored = flag_repeated(df, ["title"], "twice", ignore=F.col("title") == "hot", hot_keys=5)
+    assert not {r.id: r.twice for r in ignored.collect()}[1] and ignored.columns == [*df.columns, "twice"]
+
+
 def test_graph_operators(spark):
     edges = [("s", "a", "b"), ("s", "b", "c"), ("s", "c", "a"), ("s", "a", "b"), ("s", "x", "c"), ("t", "a", "z")]
     g = spark.createDataFrame([(s, i, a, b, 0, True) for i, (s, a, b) in enumerate(edges)], "site string, page_id int, src_url string, dst_url string, pos int, is_internal boolean")

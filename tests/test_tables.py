@@ -129,11 +129,81 @@ def test_local_json_sources(spark):
 def test_nearest_is_the_same_with_and_without_broadcast(spark):
     v = spark.createDataFrame([("t", i, [float(i % 17), float(i % 5)]) for i in range(200)] + [("u", 999, [0.0, 0.0])], "tenant string, vec_id bigint, embedding array<float>")
     q = spark.createDataFrame([("t", 1, [3.0, 3.0])], "tenant string, query_id bigint, query array<float>")
-    near = [[r.vec_id for r in search.nearest(v, q, ["tenant"], slices=n).orderBy("rank").collect()] for n in (1, 5)]
+    near = [[r.vec_id for r in search.nearest(v, q, ["tenant"], slice_rows=n).orderBy("rank").collect()] for n in (1000, 30)]
     want = sorted(range(200), key=lambda i: ((i % 17 - 3) ** 2 + (i % 5 - 3) ** 2, i))[:5]
     assert near == [want, want]
 
 
+def test_nearest_in_slices_and_blocks(spark):
+    """Every cut of tenants and queries gives what one sort gives: ties, zero and equal vectors, many batches."""
+    import random
+
+    rng = random.Random(8)
+    point = lambda: [rng.choice([0.0, 1.0, rng.gauss(0, 1)]) for _ in range(6)]
+    rows = [("big" if i % 5 else "small", i, point()) for i in range(400)] + [("big", 1000 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(30)] + [("big", 5000, None), ("alone", 1, [1.0] * 6)]
+    asked = [(t, i, point()) for i, t in enumerate(["big"] * 9 + ["small"] * 2 + ["none"])] + [("big", 50, [0.0] * 6), ("big", 51, None)]
+    v = spark.createDataFrame(rows, "tenant string, vec_id bigint, embedding array<float>")
+    q = spark.createDataFrame(asked, "tenant string, query_id bigint, query array<float>")
+    f32 = lambda x: [float(r) for r in spark.createDataFrame([(x,)], "x array<float>").first().x]
+    stored32 = {(r.tenant, r.vec_id): list(r.embedding) for r in v.filter("embedding is not null").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for metric in ("l2", "cosine"):
+            results = [sorted(map(tuple, search.nearest(v, q, ["tenant"], 7, metric, slice_rows=s, query_block=b).select("tenant", "query_id", "vec_id", "rank").collect())) for s, b in ((10**6, 10**6), (50, 3), (1, 1000))]
+            assert results[0] == results[1] == results[2]
+            for tenant, query_id, query in asked:
+                if query is None or tenant == "none" or (metric == "cosine" and not any(query)):
+                    continue
+                x = f32(query)
+
+                def far(y):
+                    if metric == "l2":
+                        return sum((a - b) ** 2 for a, b in zip(x, y, strict=True))
+                    norms = (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+                    return 1 - sum(a * b for a, b in zip(x, y, strict=True)) / norms if norms else float("inf")
+
+                best = sorted((round(far(y), 9), i) for (t, i), y in stored32.items() if t == tenant)[:7]
+                assert [i for t, n, i, _ in sorted(results[0], key=lambda r: r[3]) if (t, n) == (tenant, query_id)] == [i for _, i in best]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_robots_rules_by_their_beginnings(spark):
+    """Thousands of rules, one of them nested, a site's robots twice, and sites without rules."""
+    rules = [f"/d{i}/" for i in range(3000)] + ["/a", "/a/b", "/é", "/"[:0]]
+    r = spark.createDataFrame([("s", rules), ("s", ["/a", "/only"]), ("free", [])], "site string, rules array<string>")
+    paths = ["", "/", "/a", "/A", "/ab", "/d17/x", "/d17", "/é/x", "/only?x", "/d2999/"]
+    u = spark.createDataFrame([(n, t, f"https://{t}.com{p}") for n, (t, p) in enumerate((t, p) for t in ("s", "free", "none") for p in paths)], "n bigint, site string, url string")
+    got = {(x.site, x.url.split(".com")[1]) for x in sitemap.allowed(u, r).collect()}
+    want = {("s", p) for p in paths if not any((p or "/").startswith(x) for x in rules + ["/only"] if x)} | {(t, p) for t in ("free", "none") for p in paths}
+    assert got == want and sitemap.allowed(u, r).columns == u.columns
+
+
+def test_large_sitemap_streams(spark):
+    """50,000 urls in one body come in chunks and in order; odd but well-formed files are read, others are not."""
+    big = "<?xml version='1.0' encoding='UTF-8'?>\n<s:urlset xmlns:s='http://www.sitemaps.org/schemas/sitemap/0.9'>" + "".join(f"<s:url><s:loc>\n https://s.com/{i}?a=1&amp;b={i} </s:loc><s:lastmod>x</s:lastmod></s:url>" for i in range(50_000)) + "</s:urlset>"
+    odd = "\ufeff <urlset><!-- <url><loc>no</loc></url> --><url><loc><![CDATA[https://s.com/é]]></loc><image><loc>no</loc></image></url><url><loc> </loc></url><url/></urlset>"
+    bodies = {"big": big, "odd": odd, "cut": big[:-5], "both": "<x><sitemap><loc>c</loc></sitemap><url><loc>p</loc></url></x>", "empty": "", "null": None, "bare": "<urlset/>"}
+    res = spark.createDataFrame([("s", "sitemap", k, 200, "text/xml", b) for k, b in bodies.items()], tables.SITE_RESOURCES)
+    got = {r.sitemap_url: (r.children, r.pages) for r in sitemap.parse(res).collect()}
+    assert set(got) == {"big", "odd", "both", "bare"}
+    assert got["big"] == ([], [f"https://s.com/{i}?a=1&b={i}" for i in range(50_000)])
+    assert got["odd"] == ([], ["https://s.com/é"]) and got["both"] == (["c"], []) and got["bare"] == ([], [])
+
+
+def test_sitemap_files_are_cut_by_place(spark):
+    place = tempfile.mkdtemp(prefix="pagewarden-") + "/xml"
+    rows = spark.createDataFrame([(s, f"https://{s}/p{i:03d}") for s, n in (("a.com", 25), ("b é.com", 10), ("c.com", 1)) for i in range(n)], "site string, url string")
+    sinks.write_sitemaps(sitemap.xml_rows(rows, "2026-01-01"), place, per_file=10)
+    back = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, changefreq string, priority string, site string, part string").load(place)
+    assert {(r.site, r.part): r["count"] for r in back.groupBy("site", "part").count().collect()} == {("a.com", "0"): 10, ("a.com", "1"): 10, ("a.com", "2"): 5, ("b é.com", "0"): 10, ("c.com", "0"): 1}
+    assert sorted(r.loc for r in back.filter("site = 'a.com' and part = '1'").collect()) == [f"https://a.com/p{i:03d}" for i in range(10, 20)]
+    assert back.filter("changefreq is null or priority is null or lastmod <> '2026-01-01'").isEmpty()
+    files = {(r.site, f"part={r.part}/{r.name}") for r in sinks.sitemap_folders(spark, place).collect() if r.part != "index"}
+    index = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, site string").load(place)
+    assert {(r.site, r.loc) for r in index.filter("loc is not null").collect()} == files and len(files) == 5
+
+
 def _events(spark):
     t0 = dt.datetime(2026, 1, 1)
     kinds = ["stage"] + ["log"] * 68 + ["result"]
@@ -160,6 +230,62 @@ def test_streams_agree_with_tables(spark):
     assert spark.read.json(f"{folder}/lines").count() == events.count()
 
 
+def test_stream_state_follows_running_jobs(spark):
+    """Finished jobs leave the state when the watermark has passed them; a late batch of a running one goes on."""
+    folder = tempfile.mkdtemp(prefix="pagewarden-")
+    t0 = dt.datetime(2026, 1, 1)
+    hour = lambda h: t0 + dt.timedelta(hours=h)
+    batches = [[(j, hour(0), j, "log", "p") for j in range(20)], [(99, hour(5), 1, "log", "p")], [(99, hour(6), 2, "log", "p")], [(99, hour(7), 3, "log", "p")]]
+    rows = []
+    for batch in batches:
+        spark.createDataFrame(batch, progress.EVENTS).coalesce(1).write.mode("append").json(f"{folder}/in")
+        recent = progress.recent_state(progress.stream_events(spark, f"{folder}/in", 100), limit=2, watermark="10 minutes", idle_seconds=3600)
+        q = recent.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{folder}/out")).outputMode("update").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert rows[0] > rows[-1]
+    found = spark.read.parquet(f"{folder}/out").filter("job_id = 99").agg(F.max_by("recent", "seen").alias("r"), F.max("seen").alias("n")).first()
+    assert (found.r, found.n) == ([3, 2], 3)
+
+
+def test_elapsed_on_a_stream(spark):
+    folder = tempfile.mkdtemp(prefix="pagewarden-")
+    events = _events(spark)
+    events.repartition(5).write.mode("overwrite").json(f"{folder}/in")
+    spent = progress.elapsed_stream(progress.stream_events(spark, f"{folder}/in", 2), watermark="1 day")
+    spent.writeStream.format("memory").queryName("spent").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    starts = events.filter("type = 'stage'").select("job_id", F.col("ts").alias("started_at"))
+    want = {(r.job_id, r.event_id): r.elapsed_seconds for r in progress.elapsed(events, starts).collect()}
+    assert {(r.job_id, r.event_id): r.elapsed_seconds for r in spark.table("spent").collect()} == want
+
+
+def test_partial_counts_merge_by_levels(spark, monkeypatch):
+    """Few parts whatever the batches; batches that run again and merges that die change nothing."""
+    from pagewarden.streaming.partials import Partials
+
+    place = tempfile.mkdtemp(prefix="pagewarden-") + "/counts"
+    kept = Partials(spark, place, lambda d: d.groupBy("k").agg(F.sum("n").alias("n")), fan=3)
+    counts = lambda i: spark.createDataFrame([("all", 1), (f"b{i % 4}", i)], "k string, n bigint")
+    state = lambda: {r.k: r.n for r in kept.read().collect()}
+    want = lambda n: {"all": n} | {f"b{j}": sum(range(j, n, 4)) for j in range(min(4, n))}
+    for i in range(11):
+        if i == 8:  # the batch is written, its merge dies, and the batch runs again
+            with monkeypatch.context() as m:
+                m.setattr(kept, "merge", lambda d: 1 / 0)
+                try:
+                    kept.add(i, counts(i))
+                except ZeroDivisionError:
+                    pass
+            assert state() == want(9)
+        kept.add(i, counts(i))
+        if i in (2, 10):
+            kept.add(i, counts(i))
+        assert state() == want(i + 1)
+    assert kept.parts() == [(0, 8), (9, 9), (10, 10)]
+    kept.add(4, counts(4))
+    assert state() == want(11)
+
+
 def test_arriving_pages_are_audited_once(spark):
     folder = tempfile.mkdtemp(prefix="pagewarden-")
     page = lambda i: (i, f"https://s.com/p{i}", f"<title>t{i % 2}</title><body><h1>x</h1><a href='/p{i + 1}'>n</a></body>")
