@@ -25,133 +25,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import bit_place, bits_set, columns_of, hash_bits, id_bits, id_type, stored
+from pagewarden.llm.common import bit_place, bits_set, columns_of, id_bits, id_type, stored
+from pagewarden.llm.words import U, bloom, in_bloom, join, pieces, signed
 
 OUT = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-U = np.uint64
-K = [U(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93)]
-#: Seeds of the two independent 64-bit names of a word.
-LANES = (U(0x243F6A8885A308D3), U(0x13198A2E03707344))
-PIECE = 1 << 22
 #: A place in the corpus as one number: document, 24 bits of its text's hash, 31 bits of word number.
 TEXT_BITS, WORD_BITS = 24, 31
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(29))) * K[2]
-    return x ^ (x >> U(32))
-
-
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Name of two neighbouring runs of words from the names of both."""
-    return _mix(_mix(a) * K[0] + b * K[1])
-
-
-def _spaces(data: np.ndarray) -> np.ndarray:
-    return (data == 32) | ((data >= 9) & (data <= 13))
-
-
-class Words:
-    """Word bounds and names of texts, all at once: ``doc`` (text number), ``lane`` (two arrays of names)."""
-
-    def __init__(self, texts: pa.Array):
-        n = len(texts)
-        wide = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
-        at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
-        bounds = at - at[0]
-        gap = _spaces(data)
-        inside = np.concatenate([[False], ~gap, [False]])
-        starts, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-        cut = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(data))]  # a text's end ends its last word
-        starts[cut] = inside[cut + 1]
-        ends[cut - 1] = inside[cut]
-        first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        self.doc = np.searchsorted(bounds, first, "right") - 1
-        self.first_of = np.searchsorted(self.doc, np.arange(n + 1))
-        self.lane = [np.empty(len(first), U) for _ in LANES]
-        length = last - first
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        eight = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
-        masks = np.array([0] + [(1 << (8 * i)) - 1 for i in range(1, 9)], U)
-        for lane, seed in zip(self.lane, LANES, strict=True):
-            lane[:] = _mix((length.astype(U) ^ seed) * K[3])
-        todo, step = np.arange(len(first)), 0
-        while len(todo):
-            left = length[todo] - step
-            part = eight[first[todo] + step] & masks[np.minimum(left, 8)]
-            for lane, k in zip(self.lane, (K[0], K[1]), strict=True):
-                lane[todo] = _mix((lane[todo] ^ part) * k)
-            todo, step = todo[left > 8], step + 8
-
-    def number(self) -> np.ndarray:
-        """Each word's place in its text."""
-        return np.arange(len(self.doc)) - self.first_of[self.doc]
-
-    def runs(self, lane: int, width: int) -> np.ndarray:
-        """Names of all runs of ``width`` words (some cross texts)."""
-        power, name, size = self.lane[lane], None, 0
-        for bit in range(width.bit_length()):
-            if width >> bit & 1:
-                n = len(self.doc) - size - (1 << bit) + 1
-                if n <= 0:
-                    return np.zeros(0, U)
-                name = power[:n] if name is None else _join(name[:n], power[size : size + n])
-                size += 1 << bit
-            half = 1 << bit
-            power = _join(power[:-half], power[half:]) if len(power) > half else power[:0]
-        return name
-
-    def windows(self, width: int) -> np.ndarray:
-        """Starts of the runs that lie in one text."""
-        n = max(0, len(self.doc) - width + 1)
-        return np.flatnonzero(self.doc[:n] == self.doc[width - 1 :]) if n else np.zeros(0, np.int64)
-
-    def minimizers(self, width: int, run: int) -> np.ndarray:
-        """The least name among the runs of ``run`` words in every window."""
-        low, need, have = self.runs(0, run), width - run + 1, 1
-        while have < need:
-            by = min(have, need - have)
-            low, have = np.minimum(low[:-by], low[by:]), have + by
-        return low
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[Words, list[pa.Array]]]:
-    """Words and the named columns of some rows at a time, so that arrays stay small."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
-        size = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in texts])
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE, "right")))
-            yield Words(texts.slice(lo, hi - lo)), [c.slice(lo, hi - lo) for c in columns]
-            lo = hi
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _two_places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (x & U(bits - 1)).astype(np.int64), ((x >> U(32)) & U(bits - 1)).astype(np.int64)
-
-
-def _bloom(rows: DataFrame, column: str, bits: int) -> Broadcast:
-    """A bitmap of fixed size with two places for each hash."""
-    both = rows.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("h"))
-    return rows.sparkSession.sparkContext.broadcast(hash_bits(both, "h", bits))
-
-
-def _in_bloom(table: Broadcast, x: np.ndarray, bits: int) -> np.ndarray:
-    words = np.frombuffer(table.value, U)
-    one, two = ((words[p >> 6] >> (p & 63).astype(U)) & U(1) for p in _two_places(x, bits))
-    return (one & two).astype(bool)
-
-
 def _minimizer_rows(width: int, run: int) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, (digest,) in _pieces(batches, "digest"):
+        for words, (digest,) in pieces(batches, "digest"):
             at = words.windows(width)
             if not len(at):
                 continue
@@ -163,7 +47,7 @@ def _minimizer_rows(width: int, run: int) -> Callable:
             low, doc = low[order], doc[order]
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(low[new]), digest.take(pa.array(doc[new]))], names=["low", "digest"])
+            yield pa.RecordBatch.from_arrays([signed(low[new]), digest.take(pa.array(doc[new]))], names=["low", "digest"])
 
     return go
 
@@ -182,23 +66,23 @@ def _edge_rows(width: int, run: int, wanted: Broadcast, bits: int, heads: bool)
     """Edges whose minimizer is in the bitmap; with ``heads``, edges that are in it themselves."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, (ids, digests) in _pieces(batches, "doc_id", "digest"):
+        for words, (ids, digests) in pieces(batches, "doc_id", "digest"):
             at = words.windows(width)
             if not len(at):
                 continue
             e1 = words.runs(0, width)
-            at = at[_in_bloom(wanted, (e1 if heads else words.minimizers(width, run))[at], bits)]
+            at = at[inbloom(wanted, (e1 if heads else words.minimizers(width, run))[at], bits)]
             doc = words.doc[at]
             number = at - words.first_of[doc]
             place = _places(ids.to_numpy(zero_copy_only=False)[doc], digests.to_numpy(zero_copy_only=False)[doc], number)
-            columns = [_signed(e1[at]), _signed(words.runs(1, width)[at]), place]
+            columns = [signed(e1[at]), signed(words.runs(1, width)[at]), place]
             if heads:
                 yield pa.RecordBatch.from_arrays(columns, names=["e1", "e2", "place"])
                 continue
             end = len(words.doc) - 1
             before = np.where(number > 0, words.lane[0][np.maximum(at - 1, 0)], U(1))
             after = np.where((at + width <= end) & (words.doc[np.minimum(at + width, end)] == doc), words.lane[0][np.minimum(at + width, end)], U(2))
-            yield pa.RecordBatch.from_arrays([*columns, _signed(_join(before, after))], names=["e1", "e2", "place", "around"])
+            yield pa.RecordBatch.from_arrays([*columns, signed(join(before, after))], names=["e1", "e2", "place", "around"])
 
     return go
 
@@ -287,11 +171,11 @@ def spans(texts: DataFrame, *, width: int = 13, run: int = 6, bits: int = 1 << 2
     """
     lows = texts.select("digest", "text").mapInArrow(_minimizer_rows(width, run), "low bigint, digest bigint")
     again = lows.groupBy("low").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least < most")
-    seen = _bloom(stored(again.select("low"), "minimizers"), "low", bits)
+    seen = bloom(stored(again.select("low"), "minimizers"), "low", bits)
     edges = texts.mapInArrow(_edge_rows(width, run, seen, bits, False), "e1 bigint, e2 bigint, place decimal(38,0), around bigint")
     edges = edges.groupBy("e1", "e2").agg(F.min("place").alias("place"), F.min("around").alias("a"), F.max("around").alias("z"), F.count(F.lit(1)).alias("n"))
     found = stored(paths(edges.filter("n > 1").select("e1", "e2", "place", (F.col("a") == F.col("z")).alias("inner"))), "paths")
-    places = texts.mapInArrow(_edge_rows(width, run, _bloom(found, "e1", bits), bits, True), "e1 bigint, e2 bigint, place decimal(38,0)")
+    places = texts.mapInArrow(_edge_rows(width, run, bloom(found, "e1", bits), bits, True), "e1 bigint, e2 bigint, place decimal(38,0)")
     met = places.join(found.withColumnRenamed("row", "source"), ["e1", "e2"]).withColumns({"row": _row_of("place"), "at": _number("place").cast("bigint")})
     return stored(met.filter(_doc_of(F.col("row")) > _doc_of(F.col("source"))).select("row", "at", "n", "source", "start"), "spans")
 

@@ -5,13 +5,13 @@ A level counts, for each byte prefix of a term, the documents of the language th
 term with it, and drops prefixes below the threshold; only terms with a surviving prefix
 are looked at on the next level, whose prefixes are twice as long. A term that ends within
 a level's width is complete there and is counted itself. Tasks read the texts anew on each
-level, count distinct prefixes per document in bounded tables, and ask a bitmap of fixed
-size which prefixes survived: what it lets through by chance fails the exact count.
+level, as arrays of word bounds and 128-bit names, count distinct prefixes per document,
+combine a few megabytes of text, and ask a filter of fixed size which prefixes survived:
+what it lets through by chance fails the exact count, which goes by the bytes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -23,81 +23,135 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import columns_of, hash_bits, stored
+from pagewarden.llm.common import stored
+from pagewarden.llm.words import U, Words, bloom, in_bloom, mix, pieces, signed
 
 #: A-Z to a-z; ASCII bytes other than letters to a space; the bytes of all other characters as they are.
-LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 BILLION = 1_000_000_000
+PIECES = 8  # whose counts a task combines before it gives them out
+
+
+class _Codes:
+    """Numbers of the groups (of languages, or of languages and sources) that a task has met."""
+
+    def __init__(self):
+        self.groups: list[tuple] = []
+        self.at: dict[tuple, int] = {}
+        self.seed = np.zeros(0, U)
+
+    def of(self, columns: list[pa.Array]) -> np.ndarray:
+        """The number of each document's group."""
+        rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
+        for r in set(rows) - self.at.keys():
+            self.at[r] = len(self.groups)
+            self.groups.append(r)
+        return np.array([self.at[r] for r in rows], np.int64)
+
+    def seeds(self) -> np.ndarray:
+        """A hash of each group's language."""
+        if len(self.seed) < len(self.groups):
+            self.seed = np.array([xxhash.xxh64_intdigest(g[0]) for g in self.groups], U)
+        return self.seed
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts the keys, and where runs of equal ones begin and how long they are."""
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return order, start, np.diff(np.append(start, len(key)))
+
+
+def _cut(words: Words, which: np.ndarray, width: int | None) -> pa.Array:
+    """The bytes of some words, or their first ``width``."""
+    length = words.length[which] if width is None else np.minimum(words.length[which], width)
+    ends = np.cumsum(length)
+    at = np.repeat(words.first[which] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.data[at].tobytes())])
+
+
+class _Counts:
+    """Counts by (group, name, ended) of several pieces; each keeps a word that shows its bytes."""
+
+    def __init__(self, width: int | None):
+        self.width, self.parts = width, []
+
+    def add(self, words: Words, group: np.ndarray, which: np.ndarray, name: list[np.ndarray], n: np.ndarray) -> None:
+        """``n`` more for the words ``which`` of a piece, in any order, keys repeated or not."""
+        ended = np.ones(len(which), bool) if self.width is None else words.length[which] <= self.width
+        key = mix(name[0] + U(2) * group.astype(U) + ended.astype(U)) ^ name[1]
+        order, start, _ = _runs(key)
+        total = np.add.reduceat(n[order], start) if len(start) else n[:0]
+        keep = order[start] if len(start) else order
+        self.parts.append((key[keep], group[keep], name[0][keep], ended[keep], total, _cut(words, which[keep], self.width)))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Group, name, ended, count and bytes of all keys so far."""
+        key, group, name, ended, n = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
+        shown = pa.concat_arrays([p[5] for p in self.parts])
+        self.parts = []
+        order, start, _ = _runs(key)
+        if not len(start):
+            return group, name, ended, n, shown
+        first = order[start]
+        return group[first], name[first], ended[first], np.add.reduceat(n[order], start), shown.take(pa.array(first))
+
+
+def _strings(groups: list[tuple], which: np.ndarray, column: int) -> pa.Array:
+    """One column of the groups by their numbers."""
+    values = pa.array([g[column] for g in groups], pa.binary()).cast(pa.string())
+    return values.take(pa.array(which)) if len(groups) else values
+
+
+def _counted(column_names: list[str], width: int | None, look: Callable, out: Callable) -> Callable:
+    """Count the words of (``column_names``, text) rows piece by piece.
+
+    ``look(words, seed)`` gives the words to count with their names and amounts; ``seed`` is
+    the hash of each word's language.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = _Codes(), _Counts(width)
+        for words, columns in pieces(batches, *column_names, table=LETTERS):
+            of_doc = codes.of(columns)
+            group = of_doc[words.doc]
+            which, name, n = look(words, codes.seeds()[group])
+            counts.add(words, group[which], which, name, n)
+            if len(counts.parts) >= PIECES:
+                yield out(codes, *counts.take())
+        if counts.parts:
+            yield out(codes, *counts.take())
 
-def _terms(text: bytes) -> list[bytes]:
-    return text.translate(LETTERS).split()
-
-
-class _Alive:
-    """Whether a bitmap has (lang, prefix); remembers answers in a bounded table."""
-
-    def __init__(self, table: Broadcast, bits: int, limit: int = 400_000):
-        self.bits, self.limit, self.known = bits, limit, {}
-        self.words = np.frombuffer(table.value, np.uint64)
-
-    def of(self, lang: bytes) -> dict[bytes, bool]:
-        if sum(map(len, self.known.values())) >= self.limit:
-            self.known.clear()
-        return self.known.setdefault(lang, {})
-
-    def look(self, lang: bytes, prefix: bytes) -> bool:
-        at = _place(lang, prefix) % self.bits
-        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+    return run
 
 
-def _place(lang: bytes, prefix: bytes) -> int:
-    return xxhash.xxh64_intdigest(prefix, seed=xxhash.xxh32_intdigest(lang)) >> 1
+def _prefixes(width: int, before: int, alive: Broadcast | None, bits: int) -> Callable:
+    """Documents of each (lang, prefix of ``width`` bytes) among terms longer than ``before`` with a live prefix."""
 
+    def look(words: Words, seed: np.ndarray) -> tuple:
+        which = np.flatnonzero(words.length > before)
+        if before:
+            which = which[in_bloom(alive, mix(words.names(which, before)[0] ^ seed[which]), bits)]
+        name = words.names(which, width)
+        ended = (words.length[which] <= width).astype(U)
+        order, start, _ = _runs(mix(name[0] + U(2) * words.doc[which].astype(U) + ended) ^ name[1])
+        once = order[start]  # a prefix counts once in a document
+        return which[once], [lane[once] for lane in name], np.ones(len(once), np.int64)
 
-def _prefixes(width: int, before: int, alive: Broadcast | None, bits: int, limit: int = 300_000) -> Callable:
-    """Documents of each (lang, prefix of ``width`` bytes) among terms longer than ``before`` with a live prefix."""
+    def out(codes: _Codes, group: np.ndarray, name: np.ndarray, ended: np.ndarray, n: np.ndarray, shown: pa.Array) -> pa.RecordBatch:
+        place = mix(name ^ codes.seeds()[group]) if len(group) else name
+        return pa.RecordBatch.from_arrays([_strings(codes.groups, group, 0), shown, pa.array(ended), pa.array(n), signed(place)], names=["lang", "prefix", "ended", "docs", "place"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = _Alive(alive, bits) if before else None
-        open_docs: Counter = Counter()
-        full_docs: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            keys = [*open_docs, *full_docs]
-            docs = [*open_docs.values(), *full_docs.values()]
-            ended = [False] * len(open_docs) + [True] * len(full_docs)
-            columns = [pa.array([k[0] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array(ended, pa.bool_()), pa.array(docs, pa.int64()), pa.array([_place(*k) for k in keys], pa.int64())]
-            open_docs.clear()
-            full_docs.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "ended", "docs", "place"])
-
-        for batch in batches:
-            for lang, text in zip(*columns_of(batch, "lang", "text"), strict=True):
-                terms = set(_terms(text))
-                if before:
-                    known = live.of(lang)
-                    kept = []
-                    for t in terms:
-                        if len(t) > before:
-                            p = t[:before]
-                            ok = known.get(p)
-                            if ok is None:
-                                ok = known[p] = live.look(lang, p)
-                            if ok:
-                                kept.append(t)
-                    terms = kept
-                full_docs.update((lang, t) for t in terms if len(t) <= width)
-                open_docs.update({(lang, t[:width]) for t in terms if len(t) > width})
-                if len(open_docs) + len(full_docs) >= limit:
-                    yield rows()
-        yield rows()
+    return _counted(["lang"], width, look, out)
 
-    return run
 
+def frequent_terms(docs: DataFrame, *, min_docs: int, first_bytes: int = 8, growth: int = 2, bits: int = 1 << 24) -> DataFrame:
+    """(lang, term, docs, place) of the terms in at least ``min_docs`` documents of ``docs`` (lang, text as bytes).
 
-def frequent_terms(docs: DataFrame, *, min_docs: int, first_bytes: int = 4, growth: int = 2, bits: int = 1 << 24) -> DataFrame:
-    """(lang, term, docs, place) of the terms in at least ``min_docs`` documents of ``docs`` (lang, source, text as bytes)."""
+    ``place`` is a hash of language and term for ``bloom``.
+    """
     width, before, alive, kept = first_bytes, 0, None, []
     while True:
         counted = docs.mapInArrow(_prefixes(width, before, alive, bits), "lang string, prefix binary, ended boolean, docs bigint, place bigint")
@@ -107,42 +161,21 @@ def frequent_terms(docs: DataFrame, *, min_docs: int, first_bytes: int = 4, grow
         longer = level.filter("not ended")
         if longer.isEmpty():
             return reduce(DataFrame.unionByName, kept)
-        alive = docs.sparkSession.sparkContext.broadcast(hash_bits(longer, "place", bits))
+        alive = bloom(longer, "place", bits)
         width, before = width * growth, width
 
 
-def _occurrences(kept: Broadcast, bits: int, limit: int = 300_000) -> Callable:
+def _occurrences(kept: Broadcast, bits: int) -> Callable:
     """Occurrences of each (lang, source, term) whose term may be kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = _Alive(kept, bits)
-        counts: dict = {}
-        size = 0
-
-        def rows() -> pa.RecordBatch:
-            flat = [(lang, source, t, n) for (lang, source), c in counts.items() for t, n in c.items()]
-            columns = [pa.array([r[i] for r in flat], pa.binary()).cast(pa.string()) for i in range(3)]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([*columns, pa.array([r[3] for r in flat], pa.int64())], names=["lang", "source", "term", "n"])
-
-        for batch in batches:
-            for lang, source, text in zip(*columns_of(batch, "lang", "source", "text"), strict=True):
-                known = live.of(lang)
-                own = counts.setdefault((lang, source), {})
-                size -= len(own)
-                for t, n in Counter(_terms(text)).items():
-                    ok = known.get(t)
-                    if ok is None:
-                        ok = known[t] = live.look(lang, t)
-                    if ok:
-                        own[t] = own.get(t, 0) + n
-                size += len(own)
-                if size >= limit:
-                    yield rows()
-                    size = 0
-        yield rows()
+    def look(words: Words, seed: np.ndarray) -> tuple:
+        which = np.flatnonzero(in_bloom(kept, mix(words.lane[0] ^ seed), bits))
+        return which, [lane[which] for lane in words.lane], np.ones(len(which), np.int64)
 
-    return run
+    def out(codes: _Codes, group: np.ndarray, name: np.ndarray, ended: np.ndarray, n: np.ndarray, shown: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_strings(codes.groups, group, 0), _strings(codes.groups, group, 1), shown.cast(pa.string()), pa.array(n)], names=["lang", "source", "term", "n"])
+
+    return _counted(["lang", "source"], None, look, out)
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -214,8 +247,7 @@ def audit(
     rows = docs.select(F.coalesce(lang_col, empty).alias("lang"), F.coalesce(source_col, empty).alias("source"), F.coalesce(text_col, empty).alias("text"))
     raw = rows.select(*[F.col(c).cast("binary").alias(c) for c in ("lang", "source", "text")])
     kept = stored(frequent_terms(raw.select("lang", "text"), min_docs=min_docs, bits=bits), "kept-terms")
-    wanted = docs.sparkSession.sparkContext.broadcast(hash_bits(kept, "place", bits))
-    counts = raw.mapInArrow(_occurrences(wanted, bits), "lang string, source string, term string, n bigint").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    counts = raw.mapInArrow(_occurrences(bloom(kept, "place", bits), bits), "lang string, source string, term string, n bigint").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     counts = stored(counts.join(kept.select("lang", "term"), ["lang", "term"]), "term-counts")
 
     groups = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")).select("lang", "source")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm import debruijn, divergence, prefix_trie
 from pagewarden.llm.queries import ORACLES, QUERIES
+from pagewarden.llm.words import Words
 from tests.llm.fixtures import LONG, edge_docs, empty_docs
 
 SF = "/root/testdata/sf0.01"
@@ -192,13 +193,13 @@ def test_words_are_named_by_all_their_bytes():
     import pyarrow as pa
 
     texts = [b"", b"one  two\x0b" + b"w" * 70 + b" " + b"w" * 71, b" \t", b"two one", b"one", "漢字 x é".encode(), b"12345678 123456789 12345678"]
-    words = debruijn.Words(pa.array(texts, pa.binary()).slice(0))
+    words = Words(pa.array(texts, pa.binary()).slice(0))
     split = [w for t in texts for w in t.split()]
     assert words.doc.tolist() == [i for i, t in enumerate(texts) for _ in t.split()]
     for lane in words.lane:
         names = lane.tolist()
         assert len(set(names)) == len(set(split)) and all((names[i] == names[j]) == (split[i] == split[j]) for i in range(len(split)) for j in range(i))
-    part = debruijn.Words(pa.array(texts, pa.binary()).slice(1, 3))
+    part = Words(pa.array(texts, pa.binary()).slice(1, 3))
     assert [k for k, _ in groupby(part.doc.tolist())] == [0, 2] and part.lane[0].tolist() == words.lane[0].tolist()[: len(part.doc)]
 
 
