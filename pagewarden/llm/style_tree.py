@@ -4,11 +4,15 @@ The element trees of all pages of a host are merged: elements with the same chai
 names and classes are one style node. On each page a node has a presentation (the names
 of its children) and a content (the texts below it); over the host's pages the entropy
 of both says how much the node varies. A node that looks and reads the same everywhere
-is of low importance, and its branch is removed from each page. Elements that declare
-themselves as menus, footers, adverts and the like are removed whatever they hold, since
-their content often changes from page to page, and they are not in the tree.
-Neither are elements inside an article or main element, so that copies of an article are
-not taken for a template.
+is of low importance, and its branch is removed from each page. Pages with the same text
+count once, and a node counts on the pages where it holds text. Branches inside of an
+article or main element go as well, unless they hold more than half of its text: then it
+is a copy of an article that other pages have too, and no template.
+
+Elements that declare themselves as menus, footers, adverts and the like are removed as
+well, since their content often changes from page to page, which entropy cannot catch. A
+name that says so by its class, role or as a form is not believed on a page without any
+other article or main element if it holds one, or most of the page's text.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ DROPPED = frozenset(
     "fieldset datalist title noembed noframes search".split()
 )
 LANDMARKS = frozenset(["article", "main"])
+DOUBTFUL = frozenset("form fieldset dialog aside menu search header".split())
+SILENT = frozenset("head script style template noscript svg math canvas iframe object audio video map textarea title noembed noframes datalist".split())
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NOISE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login "
@@ -109,27 +115,38 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 class Element:
     name: str
     path: int
-    noise: bool  # it or an element around it
+    own: bool  # has a style node of its own
+    noise: bool  # it or an element around it is left out
     inside: bool  # an article or main element, or below one
+    silent: bool  # scripts, styles and the like, or below one
+    number: int = 0
+    doubted: bool = False  # left out for a name that may be wrong
+    tree: bool = False  # in a branch that the tree removes
+    whole: bool = False  # in an article or main element that the tree leaves alone
     texts: int = 0  # sums of hashes when it was opened
+    chars: int = 0  # and characters
+    landmarks: int = 0  # and landmarks
+    gone: int = 0  # and characters that the tree removes
     children: int = 0
 
 
-def _declared(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether the element says of itself that it is no main text; its first class."""
-    noise, first = name in DROPPED or (name == "header" and not inside), ""
+def _declared(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether the element says of itself that it is no main text; whether by a doubtful name; its first class."""
+    by_name = name in DROPPED or (name == "header" and not inside)
+    sure, doubt, first = by_name and name not in DOUBTFUL, by_name and name in DOUBTFUL, ""
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "class":
                 first = value.split()[0] if value.split() else ""
             if key in ("class", "id"):
-                noise = noise or any(t in NOISE or re.split("[-_]", t)[0] in NOISE_STARTS for t in value.split())
+                doubt = doubt or any(t in NOISE or re.split("[-_]", t)[0] in NOISE_STARTS for t in value.split())
             elif key == "role":
-                noise = noise or value in NOISE_ROLES
+                doubt = doubt or value in NOISE_ROLES
             else:
-                noise = noise or (key == "hidden" or value == "true")
-    return noise and name not in LANDMARKS and name not in ("html", "body"), first
+                sure = sure or (key == "hidden" or value == "true")
+    free = name in LANDMARKS or name in ("html", "body")
+    return (sure or doubt) and not free, not sure, first
 
 
 @dataclass
@@ -143,10 +160,23 @@ class Page:
     shape: Counter = field(default_factory=Counter)
 
     def read(self, page: str) -> Page:
-        stack = [Element("", 0, False, False)]
+        believed = self._read(page, frozenset())
+        if believed:  # some names are not to be believed
+            self.blocks.clear()
+            self.content.clear()
+            self.shape.clear()
+            self._read(page, believed)
+        return self
+
+    def _read(self, page: str, spared: frozenset[int]) -> frozenset[int]:
+        """Read the page; gives the numbers of the elements whose name should not have counted,
+        and of the articles that the tree has to leave alone."""
+        stack = [Element("", 0, False, False, False, False)]
         opened: Counter = Counter()
         held: list[str] = []
-        sums = 0
+        doubted: list[tuple[int, int, int]] = []
+        copied: list[int] = []
+        sums = chars = landmarks = plain = number = gone = 0
         hashed = xxhash.xxh64_intdigest
 
         def flush() -> None:
@@ -159,7 +189,11 @@ class Page:
         def pop() -> None:
             e = stack.pop()
             opened[e.name] -= 1
-            if self.features and not (e.inside or e.noise or e.name in ("html", "body")):
+            if e.doubted:
+                doubted.append((e.number, chars - e.chars, landmarks - e.landmarks))
+            if e.name in LANDMARKS and 2 * (gone - e.gone) > chars - e.chars:
+                copied.append(e.number)
+            if self.features and e.own and sums != e.texts and e.name not in LANDMARKS and e.name not in ("html", "body"):
                 self.content[e.path] = (self.content[e.path] + sums - e.texts) & (2**64 - 1)
                 self.shape[e.path] = (self.shape[e.path] + e.children) & (2**64 - 1)
 
@@ -168,8 +202,11 @@ class Page:
             if kind == "text":
                 if not top.noise:
                     held.append(value)
-                if self.features and not top.inside and (text := value.strip()):
-                    sums = (sums + hashed(text)) & (2**64 - 1)
+                if not top.silent and (text := value.strip()):
+                    chars += len(text)
+                    gone += len(text) if top.tree else 0
+                    if self.features:
+                        sums = (sums + hashed(text)) & (2**64 - 1)
                 continue
             if value in BLOCKS:
                 flush()
@@ -189,16 +226,23 @@ class Page:
                 while shut and stack[-1].name in shut:
                     pop()
                 top = stack[-1]
-                noise, first = _declared(value, attributes, top.inside)
-                path = top.path
-                if value in BLOCKS or value == "a":
+                number += 1
+                noise, doubt, first = _declared(value, attributes, top.inside)
+                noise = noise and number not in spared
+                path, own = top.path, value in BLOCKS or value == "a"
+                if own:
                     path = hashed(f"{top.path:x}/{value}.{first}")
                     top.children = (top.children + hashed(f"{value}.{first}")) & (2**64 - 1)
-                inside = top.inside or value in LANDMARKS
-                low = path in self.removed and path != top.path and not inside and value not in ("html", "body")
+                if value in LANDMARKS:
+                    landmarks += 1
+                    plain += not top.noise
+                low = own and path in self.removed and value not in LANDMARKS and value not in ("html", "body") and not top.whole
                 if noise or low:
                     flush()
-                stack.append(Element(value, path, top.noise or noise or low, inside, sums))
+                e = Element(value, path, own, top.noise or noise or low, top.inside or value in LANDMARKS, top.silent or value in SILENT, number, noise and doubt and not low)
+                e.texts, e.chars, e.landmarks, e.gone = sums, chars, landmarks, gone
+                e.tree, e.whole = top.tree or low, top.whole or (value in LANDMARKS and number in spared)
+                stack.append(e)
                 opened[value] += 1
             elif opened[value] > 0:
                 depth = len(stack) - 1
@@ -211,11 +255,17 @@ class Page:
         flush()
         while len(stack) > 1:
             pop()
-        return self
+        if spared:
+            return frozenset()
+        wrong = [] if plain else [n for n, size, marks in doubted if marks or 2 * size > chars]
+        return frozenset([*wrong, *copied])
+
+
+HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def host_of(url: str | None) -> str:
-    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url or "", re.I)
+    m = re.match(HOST, url or "")
     return m[1].lower() if m else ""
 
 
@@ -257,14 +307,6 @@ def style_tree(pages: DataFrame, presentation: float = 0.1) -> DataFrame:
     return nodes.groupBy("host", "path").agg(F.max("m").alias("pages"), F.sum(share * weight).alias("importance"))
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [(k, host_of(u), [_signed(p) for p in Page(features=True).read(h).content]) for k, u, h in zip(*columns_of(batch, "page", "url", "html"), strict=True)]
-        flat = [(k, host, p) for k, host, paths in found for p in paths]
-        columns = [pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.string()), pa.array([r[2] for r in flat], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["page", "host", "path"])
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -286,13 +328,15 @@ def main_text(
     no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    low = stored(style_tree(rows.select("url", "html")).filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "path"), "style-tree")
-    keyed = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
-    if low.isEmpty():
-        with_removed = keyed.withColumn("removed", F.lit(None).cast("array<bigint>"))
-    else:
-        on_pages = keyed.select("page", "url", "html").mapInArrow(_paths, "page bigint, host string, path bigint")
-        removed = stored(on_pages.join(low, ["host", "path"], "left_semi").groupBy("page").agg(F.collect_set("path").alias("removed")), "removed")
-        with_removed = keyed.join(removed, "page", "left")
+    low = stored(low_nodes(rows, min_pages, threshold), "style-tree").groupBy("host").agg(F.collect_list("path").alias("removed"))
+    # a host's nodes meet its pages in one join: the table of nodes is small and no row of it repeats
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
+    with_removed = rows.withColumn("host", host).join(low, "host", "left")
     kind = pages.schema[id_col].dataType.simpleString()
     return with_removed.select("page_id", "url", "html", "removed").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars bigint")
+
+
+def low_nodes(pages: DataFrame, min_pages: int = 4, threshold: float = 0.3) -> DataFrame:
+    """(host, path) of the style nodes whose branches go, of pages (url, html)."""
+    judged = style_tree(pages.select("url", "html"))
+    return judged.filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "path")

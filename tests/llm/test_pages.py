@@ -79,6 +79,72 @@ def test_hot_copied_page_does_not_cost_other_pages_their_text(spark):
     assert got == {i: "the copied story" if i % 4 else f"story {i}" for i in range(400)}
 
 
+def plain_importance(pages, presentation=0.1):
+    """Importance of each style node from the nodes of the distinct pages of a host."""
+    import math
+    from collections import Counter, defaultdict
+
+    once = {}
+    for url, page in pages:
+        seen = style_tree.Page(features=True).read(page)
+        once[style_tree.host_of(url), "\n".join(seen.blocks)] = seen
+    values = defaultdict(list)
+    for (host, _), seen in once.items():
+        for path in seen.content:
+            values[host, path].append((seen.content[path], seen.shape[path]))
+    out = {}
+    for node, found in values.items():
+        share = []
+        for column in zip(*found, strict=True):
+            m = len(column)
+            share.append(-sum(n / m * math.log(n / m) for n in Counter(column).values()) / math.log(m) if m > 1 else 1.0)
+        out[node] = (len(found), (1 - presentation) * share[0] + presentation * share[1])
+    return out
+
+
+def test_importance_equals_the_plain_one(spark):
+    rows = [(r.url, r.html) for r in sf(spark, "pages", "0.01").collect()]
+    frame = "<main><header>Acme</header><div class=promo-free><p>Buy now</p></div><div class=text><p>{}</p></div></main>"
+    rows += [(f"https://made.example/{i}", frame.format(f"story {i % 9}")) for i in range(20)]
+    tree = style_tree.style_tree(spark.createDataFrame(rows, "url string, html string")).collect()
+    want = plain_importance(rows)
+    assert len(tree) == len(want) > 100
+    for r in tree:
+        pages, importance = want[r.host, r.path & (2**64 - 1)]
+        assert r.pages == pages and abs(r.importance - importance) < 1e-9
+
+
+def _made(spark, pages):
+    rows = [(i, f"https://h{h}.example/{i}", page) for i, (h, page) in enumerate(pages)]
+    return {r.page_id: r.text for r in style_tree.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_the_tree_decides_inside_articles_too(spark):
+    """Templates without a telling name go from main and article; what varies stays, the header of an article too."""
+    main = "<body><main><header><p>Acme Times</p></header><div class=x1><p>Read our <b>offer</b></p></div><div class=t><h1>Title {0}</h1><p>Body of {0} and its bridges</p></div></main></body>"
+    article = "<body><article><header><h1>Title {0}</h1></header><p>Body of {0}</p><section class=x2><p>Get the app</p></section></article><div class=x3>Imprint</div></body>"
+    few = "<body><main><div class=x1>Read our offer</div><p>Body of {0}</p></main></body>"
+    got = _made(spark, [(1, main.format(i)) for i in range(6)] + [(2, article.format(i)) for i in range(6)] + [(3, few.format(i)) for i in range(3)])
+    assert got[0] == "Title 0\nBody of 0 and its bridges" and got[8] == "Title 2\nBody of 2" and got[13] == "Read our offer\nBody of 1"
+
+
+def test_an_optional_node_is_no_template(spark):
+    """A node that is empty on most pages counts where it holds text."""
+    page = "<body><div class=note>{}</div><div class=t><p>Story {}</p></div></body>"
+    got = _made(spark, [(1, page.format("Corrected on Monday" if i == 7 else "", i)) for i in range(40)])
+    assert got[7] == "Corrected on Monday\nStory 7" and got[8] == "Story 8"
+
+
+def test_doubtful_names_are_not_believed_alone():
+    read = lambda h: style_tree.Page().read(h).blocks
+    body = "<p>A long story about a river and its bridges.</p>"
+    assert read(f"<form>{body}<nav>menu</nav></form>") == ["A long story about a river and its bridges."]
+    assert read(f"<div class='story notice'>{body}</div><div class=cookie>ok</div>") == ["A long story about a river and its bridges."]
+    assert read(f"<form><article>{body}</article></form><div class=notice>Short one</div>") == ["A long story about a river and its bridges."]
+    assert read(f"<article>Short.</article><form>{body}</form>") == ["Short."]
+    assert read("<nav>a long menu of many many entries</nav><p>x</p>") == ["x"]
+
+
 def test_markup_cases():
     read = lambda h: style_tree.Page().read(h).blocks
     assert read("<p>a<p>b &lt;c&gt; &nbsp; d<script>'</p><p>no'</script><ul><li>1<li>2</ul>") == ["a", "b <c> d", "1", "2"]
