@@ -8,6 +8,7 @@ places of a few fixed word sequences.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,23 +19,64 @@ from pagewarden.llm.common import columns_of, id_text, id_type
 # Base phrases and their labels
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Notices as licences ask for them to be written
+# The wording of licences, and of the notices that they ask for
+WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or "
+    "(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+)
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", WARRANTY),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("gpl", GNU.format("General Public License", "3")),
+    ("gpl", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("lgpl", GNU.format("Lesser General Public License", "3")),
+    ("agpl", GNU.format("Affero General Public License", "3")),
+    ("agpl", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("bsd", CONDITIONS),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", DISCLAIMER),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0", "Licensed under CC0 1.0 Universal."),
 ]
+#: Attribution licences by their parts: the notice in words and in short.
+PARTS = {"nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+for _code in ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+    _label, _name = "-".join(("cc-by", *_code)), "-".join(("Attribution", *(PARTS[c] for c in _code)))
+    for _version in ("4.0 International", "3.0 Unported"):
+        TEMPLATES.append((_label, f"This work is licensed under a Creative Commons {_name} {_version} License"))
+    TEMPLATES.append((_label, f"Licensed under CC {'-'.join(('BY', *_code)).upper()} 4.0."))
 
 #: Upper-case letters to lower case, every byte that belongs to no word to a space.
 FOLD = bytes(
@@ -148,22 +190,44 @@ class Scanner:
         """(template, first word, word after the last, share of the template covered).
 
         Matches of a template are taken in text order; one that lies further on in the
-        template and not too far on in the text lengthens the chain, others start one.
+        template and not too far on in the text lengthens the chain, others start one. A
+        chain is closed when the text has left it behind, so a match looks at the few that end
+        near it, however often a phrase is repeated.
         """
         spans = []
         for t in sorted({m[0] for m in matches}):
-            chains: list[list[int]] = []  # template end, text start, text end, covered
+            chains: list[list[int]] = []  # template end, text start, text end, covered; those that may go on
             for _, at, place, size in sorted((m for m in matches if m[0] == t), key=lambda m: (m[2], m[1])):
                 ends = at + size, place + size
-                fits = [c for c in chains if ends[0] > c[0] and ends[1] > c[2] and place - c[2] <= self.max_gap]
+                over = [c for c in chains if place - c[2] > self.max_gap]
+                if over:  # matches come by place: nothing that follows is near enough
+                    spans += [(t, c[1], c[2], c[3]) for c in over]
+                    chains = [c for c in chains if place - c[2] <= self.max_gap]
+                fits = [c for c in chains if ends[0] > c[0] and ends[1] > c[2]]
                 if fits:
                     c = max(fits, key=lambda c: c[3])
                     c[3] += min(size, ends[0] - c[0], ends[1] - c[2])
                     c[0], c[2] = ends
                 else:
                     chains.append([ends[0], place, ends[1], size])
-            spans += [(t, c[1], c[2], min(1.0, c[3] / self.sizes[t])) for c in chains]
-        return spans
+            spans += [(t, c[1], c[2], c[3]) for c in chains]
+        return [(t, a, b, min(1.0, n / self.sizes[t])) for t, a, b, n in spans]
+
+    def _best(self, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Of overlapping spans the one that most words of its template cover, in text order.
+
+        Spans come by covered words, then by covered share; one goes where a better one has a
+        word of it.
+        """
+        taken: list[tuple[int, int, int, float]] = []
+        starts: list[int] = []
+        for s in sorted(spans, key=lambda s: (-round(s[3] * self.sizes[s[0]]), -s[3], s[2] - s[1], s[1], s[0])):
+            at = bisect_right(starts, s[1])
+            if (at and taken[at - 1][2] > s[1]) or (at < len(taken) and taken[at][1] < s[2]):
+                continue
+            taken.insert(at, s)
+            starts.insert(at, s[1])
+        return taken
 
     def scan(self, text: str) -> tuple:
         """Words, base places, first and last of them, base labels, all labels, score, spans."""
@@ -177,7 +241,7 @@ class Scanner:
                         places.append(start + i)
                         base.add(label)
         spans = self._chain(self._matches(runs))
-        found = [s for s in spans if s[3] >= self.coverage]
+        found = self._best([s for s in spans if s[3] >= self.coverage])
         labels = base | {self.labels[s[0]] for s in found}
         return (
             len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
@@ -213,7 +277,8 @@ def scan_licences(
 
     ``labels`` has the base labels and those of templates of which a chain of matches, each
     of ``min_match`` words at least and no more than ``max_gap`` words apart, covers the
-    share ``coverage``; ``score`` is the largest share of a template that a chain covers.
+    share ``coverage``; of overlapping chains the one with the most covered words labels
+    the span. ``score`` is the largest share of a template that a chain covers.
     Null and empty texts have no words, no labels (empty strings) and score 0; without a
     base place first and last word are null; repeated rows get a row each.
     """
