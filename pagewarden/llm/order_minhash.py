@@ -1,9 +1,11 @@
 """Order MinHash fingerprints, in DataFrame functions alone.
 
 A k-mer is ``k`` words in a row together with its occurrence number in the text. One
-hash of it chooses a bin and its rank there; each bin keeps its ``per_bin`` lowest
+hash of it chooses a bin and its rank there; each bin takes its ``per_bin`` lowest
 k-mers, puts them back in text order, and the hash of that tuple is the bin's place in
-the signature. Since tuples depend on order, the share of equal places follows edit
+the signature. A bin that has fewer takes the next ones by bin and rank, round from the
+last bin to the first, so that every tuple of a text of any length has its k-mers and
+their order. Since tuples depend on order, the share of equal places follows edit
 distance and not only the set of k-mers.
 All steps are sorts of long arrays and binary searches in them.
 """
@@ -36,8 +38,8 @@ def _search(values: Column, n: Column, steps: Column, test: Callable[[Column], C
 
 
 def signature(text: Column, k: int = 2, bins: int = 64, per_bin: int = 2) -> Column:
-    """``bins`` 32-bit tuple hashes; 0 marks a bin without k-mers. A text of fewer than
-    ``k`` words is one k-mer, the empty text too."""
+    """``bins`` 32-bit tuple hashes. A text of fewer than ``k`` words is one k-mer, the empty
+    text too."""
     if not 1 <= bins <= 64:
         raise ValueError("bins must lie between 1 and 64")
 
@@ -68,10 +70,11 @@ def signature(text: Column, k: int = 2, bins: int = 64, per_bin: int = 2) -> Col
     def tuples(v: Column) -> Column:
         def of_bin(s: Column, n: Column, steps: Column, b: Column) -> Column:
             start = _search(s, n, steps, lambda x: F.shiftrightunsigned(x, BIN_SHIFT) < b)
-            lowest = F.filter(F.slice(s, start + 1, per_bin), lambda x: F.shiftrightunsigned(x, BIN_SHIFT) == b)
+            rest = F.slice(s, start + 1, per_bin)
+            lowest = F.concat(rest, F.slice(s, 1, F.lit(per_bin) - F.size(rest)))
             in_order = F.sort_array(F.transform(lowest, lambda x: F.shiftleft(x.bitwiseAND(F.lit(PLACE)), 64 - PLACE_BITS - 1).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS).bitwiseAND(F.lit((1 << (64 - PLACE_BITS - 1)) - 1)))))
             ids = F.transform(in_order, lambda x: x.bitwiseAND(F.lit((1 << (64 - PLACE_BITS - 1)) - 1)))
-            return let(ids, lambda a: F.when(F.size(a) == 0, F.lit(0)).otherwise(F.hash(a)))
+            return F.hash(ids)
 
         return let(v, lambda s: let(F.size(s), lambda n: let(_steps(n), lambda steps: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: of_bin(s, n, steps, b)))))
 
@@ -79,10 +82,9 @@ def signature(text: Column, k: int = 2, bins: int = 64, per_bin: int = 2) -> Col
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal places among those that either signature fills."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != 0), F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda n, x: n + x)
-    either = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x != 0) | (y != 0), F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda n, x: n + x)
-    return same / F.greatest(either, F.lit(1))
+    """Share of equal places."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda n, x: n + x)
+    return same / F.size(a)
 
 
 def as_text(sig: Column) -> Column:
