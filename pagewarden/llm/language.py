@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import columns_of, id_text, id_type
+from pagewarden.llm.common import columns_of, id_text, id_type, stored
+from pagewarden.operators.ranking import top_k
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -156,33 +157,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Texts to take of each language: small ones whole, the others an equal share of the rest."""
+    out, left, rest = {}, most, len(sizes)
+    for lang, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        out[lang] = min(n, left // rest)
+        left, rest = left - out[lang], rest - 1
+    return out
+
+
+def sample(rows: DataFrame, max_rows: int, max_langs: int) -> DataFrame:
+    """About ``max_rows`` distinct texts of ``rows`` (lang, text), by a hash of the text, shared
+    among the languages by ``quotas``; a text that many rows repeat is one."""
+    placed = rows.withColumn("at", F.xxhash64("text"))
+    sizes = {r.lang: r.n for r in placed.select("lang", "at").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages: raise max_langs, which bounds the model")
+    wide = 1 << 30
+    shares = {lang: -(-wide * n // sizes[lang]) for lang, n in quotas(sizes, max_rows).items()}
+    below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(share)) for lang, share in shares.items()]) if shares else F.lit(0)
+    taken = placed.filter(F.pmod("at", F.lit(wide)) < below)
+    return taken.groupBy("lang", "at").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def fit(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_rows: int = 50_000, max_grams: int = 200_000, max_langs: int = 400,
     min_script_share: float = 0.01, switch: float = 4.0,
 ) -> Model:
     """Learn from rows whose language and text are not null.
 
-    Of more than ``max_rows`` such rows, the share that makes about ``max_rows`` is taken by
-    a hash of the text. The model is bounded: at most ``max_grams`` n-grams, the most frequent, of the
-    ``max_langs`` most frequent languages reach the driver. A script belongs to a language
-    that writes at least ``min_script_share`` of its letters in it. Without training rows
-    the model has no languages and every text is undetermined.
+    The model is learned from a bounded sample: about ``max_rows`` distinct texts, small
+    languages whole, the others in equal shares. Every language takes part; more than
+    ``max_langs`` are an error. The most frequent n-grams of each language are kept, the
+    same number for each, ``max_grams`` together. A script belongs to a language that writes
+    at least ``min_script_share`` of its letters in it. Without training rows the model has
+    no languages and every text is undetermined.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    rows = stored(sample(rows, max_rows, max_langs), "language-sample")
     counted = rows.mapInArrow(_count, "lang string, kind string, what string, n bigint").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
-    try:
-        totals = counted.filter("kind = 'script'").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-        langs = sorted(r.lang for r in totals)
-        kept = counted.filter(F.col("lang").isin(langs)) if langs else counted.limit(0)
-        names = kept.filter("kind = 'gram'").groupBy("what").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "what").limit(max_grams).select("what")
-        counts = kept.filter("kind = 'gram'").join(names, "what", "left_semi").select("lang", "what", "n").collect()
-        by_script = kept.filter("kind = 'script'").select("lang", "what", "n").collect()
-    finally:
-        counted.unpersist()
+    counted = stored(counted, "language-counts")
+    by_script = counted.filter("kind = 'script'").select("lang", "what", "n").collect()
+    langs = sorted({r.lang for r in by_script})
+    found = counted.filter("kind = 'gram'")
+    best = top_k(found, ["lang"], [F.desc("n"), F.col("what")], max_grams // max(1, len(langs)))
+    counts = found.join(best.select("what").distinct(), "what", "left_semi").select("lang", "what", "n").collect()
     column = {lang: i for i, lang in enumerate(langs)}
     at: dict[str, int] = {}
     for r in counts:
