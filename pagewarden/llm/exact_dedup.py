@@ -40,8 +40,10 @@ def _level(rows: DataFrame, keys: list[str], first: bool) -> DataFrame:
     )
     # stored apart from the join: only then can adaptive execution split the rows of a hot
     # group, and a lost executor cannot change which of repeated rows stays
-    found = stored(found.filter("n > 1").withColumnsRenamed({k: f"of_{k}" for k in keys}), "groups")
-    joined = rows.join(found.hint("merge"), [F.col(k) == F.col(f"of_{k}") for k in keys], "left")
+    found = stored(found.filter("n > 1").withColumns({"key": F.xxhash64(*keys)}), "groups")
+    rows, found = _salted(rows, found, keys)
+    found = found.withColumnsRenamed({k: f"of_{k}" for k in [*keys, "salt"]})
+    joined = rows.join(found.hint("merge"), [F.col(k) == F.col(f"of_{k}") for k in [*keys, "salt"]], "left")
     several = F.col("n").isNotNull()
     if first:  # nothing is settled but singles: rows are numbered when this level is stored
         return joined.select(
@@ -57,6 +59,22 @@ def _level(rows: DataFrame, keys: list[str], first: bool) -> DataFrame:
     )
 
 
+def _salted(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 500, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Rows and groups with a ``salt`` that deals the rows of a hot group over several tasks.
+
+    Hot is a group with one row in ``share`` of all that are in groups, so there are at most
+    that many, and their hashes are part of the plan. The group's own row is copied to each
+    salt. A hash only says which rows are dealt; keys are still compared as they are.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = [r.key for r in groups.filter(F.col("n") >= max(1000, -(-total // share))).select("key").collect()]
+    dealt = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(salts)).cast("int")
+    row_salt = F.when(F.xxhash64(*keys).isin(hot), dealt).otherwise(0) if hot else F.lit(0)
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    group_salt = F.explode(F.when(F.col("key").isin(hot), every).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+    return rows.withColumn("salt", row_salt), groups.withColumn("salt", group_salt).drop("key")
+
+
 def _done(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -85,9 +103,10 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat the id of one that stays, one row."""
-    kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normal_text(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.withColumn("_sha_of", sha)
-    joined = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_sha_of"] == kept["_sha"]), "left_semi")
-    return joined.dropDuplicates([id_col, "_sha_of"]).select(*docs.columns)
+    """The rows that stay, with all their columns, whatever their names; of rows that repeat the
+    id of one that stays, one row."""
+    kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept").select("doc_id", "text_sha256")
+    sha = F.sha2(normal_text(F.coalesce(text_col, F.lit(""))), 256)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), sha.alias("sha"))
+    joined = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["sha"] == kept["text_sha256"]), "left_semi")
+    return joined.dropDuplicates(["id", "sha"]).select("row.*")
