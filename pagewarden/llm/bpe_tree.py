@@ -1,11 +1,16 @@
 """BPE encoding by tree concatenation, and decoding.
 
-A long text is halved until its leaves are short; all leaves of a batch are encoded
-together (independent work, which the library can spread over threads), and the
-halves are then joined up the tree. At a join a window of both sides is encoded again;
-it grows until its outer parts equal what both sides already have, and replaces the
-parts between. Where white space splits the text the parts are words. A run without
-any white space is joined in the same way on its tokens.
+A long text is halved until its leaves are short; leaves are encoded independently, and
+the halves are then joined up the tree. At a join a window of both sides is encoded again;
+it grows until it has a token in common with each of them, and replaces what lies between
+the two. Where white space splits the text the parts are words.
+
+A run without white space is cut by the tokenizer into the words that its pattern finds; a
+long one of these is joined on its tokens. A sequence of tokens is the encoding of its
+text exactly when every two neighbours are that of theirs, so one token in common on
+either side is enough: each pair of neighbours in the joined sequence then stands in an
+encoding already. Tokens are arrays of ids and ends, and a window is short whatever the
+length of the sides.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pagewarden.llm.common import columns_of, id_text, id_type
 from pagewarden.llm.vocabulary import WordEncoder, word_encoder
 
-Token = tuple[int, int, int]  # id, start and end in the text
+Tokens = tuple[np.ndarray, np.ndarray]  # ids, and ends in the word
 
 
 def _bounds(n: int, leaf: int) -> list[int]:
@@ -38,38 +43,65 @@ def _up(level: list, join: Callable) -> list:
 
 
 class TreeEncoder:
-    def __init__(self, words: WordEncoder, leaf_chars: int = 2048, run_chars: int = 1024, agree: int = 2):
-        self.words, self.leaf, self.run, self.agree = words, leaf_chars, run_chars, agree
+    def __init__(self, words: WordEncoder, leaf_chars: int = 2048, run_chars: int = 1024):
+        self.words, self.leaf, self.run = words, leaf_chars, run_chars
         self.tokenizer = words.tokenizer
-
-    # runs without white space: parts are tokens with their place
-    def _tokens(self, text: str, a: int, b: int) -> list[Token]:
-        e = self.tokenizer.encode(text[a:b], add_special_tokens=False)
-        return [(i, a + s, a + t) for i, (s, t) in zip(e.ids, e.offsets, strict=True)]
-
-    def _join_tokens(self, text: str, left: tuple, right: tuple) -> tuple:
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token.removesuffix(suffix) if suffix else token)
+
+    # long words of a run: arrays of token ids and of their ends
+    def _tokens(self, word: str, a: int, b: int) -> Tokens:
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(word[a:b])], np.uint32)
+        return ids, a + np.cumsum(self.length[ids])
+
+    @staticmethod
+    def _common(one: Tokens, other: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens that two encodings have in common: same id, same end."""
+        _, i, j = np.intersect1d(one[1], other[1], assume_unique=True, return_indices=True)
+        same = one[0][i] == other[0][j]
+        return i[same], j[same]
+
+    def _join_tokens(self, word: str, left: tuple, right: tuple) -> tuple:
         (a, cut, before), (_, b, after) = left, right
         reach = 16
         while True:
-            start, end = max(a, cut - reach), min(b, cut + reach)
             # a window begins and ends at token borders of the two sides
-            i = next((k for k in range(len(before) - 1, -1, -1) if before[k][1] <= start), 0) if start > a else 0
-            j = next((k for k in range(len(after)) if after[k][2] >= end), len(after) - 1) if end < b else len(after) - 1
-            start = before[i][1] if start > a and before else a
-            end = after[j][2] if end < b and after else b
-            window = self._tokens(text, start, end)
-            low, high = start == a, end == b
-            same_left = low or window[: self.agree] == before[i : i + self.agree]
-            same_right = high or window[-self.agree :] == after[max(0, j + 1 - self.agree) : j + 1]
-            if (low and high) or (same_left and same_right and len(window) >= 2 * self.agree):
-                return a, b, ([] if low else before[:i]) + window + ([] if high else after[j + 1 :])
+            i = int(np.searchsorted(before[1], cut - reach, "right"))
+            j = int(np.searchsorted(after[1], cut + reach, "left"))
+            start, end = int(before[1][i - 1]) if i else a, int(after[1][j]) if j < len(after[1]) else b
+            window = self._tokens(word, start, end)
+            at, low = self._common((before[0][i:], before[1][i:]), window) if i else ([], [])
+            high, to = self._common(window, (after[0][: j + 1], after[1][: j + 1])) if end < b else ([], [])
+            if (not i or len(at)) and (end == b or len(high)):
+                first, last = (i + at[0], low[0]) if i else (0, 0)
+                stop, rest = (high[-1], to[-1]) if end < b else (len(window[0]), len(after[0]))
+                return a, b, tuple(np.concatenate([x[:first], w[last:stop], y[rest:]]) for x, w, y in zip(before, window, after, strict=True))
             reach *= 2
 
+    def _long_word(self, word: str) -> bytes:
+        at = _bounds(len(word), self.run)
+        spans = [(a, b, self._tokens(word, a, b)) for a, b in zip(at, at[1:], strict=False)]
+        return _up(spans, lambda x, y: self._join_tokens(word, x, y))[2][0].astype("<u4").tobytes()
+
     def encode_run(self, text: str) -> bytes:
-        at = _bounds(len(text), self.run)
-        spans = [(a, b, self._tokens(text, a, b)) for a, b in zip(at, at[1:], strict=False)]
-        _, _, tokens = _up(spans, lambda x, y: self._join_tokens(text, x, y))
-        return np.array([t[0] for t in tokens], "<u4").tobytes()
+        if any(s in text for s in self.special):  # the library takes these out before it splits
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out, known = [], {}
+        for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text)):
+            if len(word) > self.run:
+                out.append(self._long_word(word))
+                continue
+            if word not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[word] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+            out.append(known[word])
+        return b"".join(out)
 
     # texts: parts are words
     def _parts(self, words: list[str]) -> list[bytes]:
