@@ -10,7 +10,10 @@ the region's most central row, the one that shares the most prefixes with others
 trees: in a large family of copies that is the text they were made from.
 Candidates that the signatures do not rule out are confirmed on the full sets, but for
 those whose ends are joined already. Then all pairs of the larger regions whose ends are
-still apart are candidates too, compared in blocks of rows.
+still apart are candidates too, in cells of two blocks of rows, a pair only in the first
+tree that brings it together. A cell first says which of its rows have a partner that
+size and signature allow; these come back with their sets, are confirmed in the cell, and
+only links that join two components leave it, at most one less than its rows.
 """
 
 from __future__ import annotations
@@ -62,7 +65,12 @@ class Shingles:
         return np.unique(out)
 
 
-def _sketcher(trees: int, depth: int, width: int) -> Callable:
+def _region(tree: int, prefix: bytes) -> int:
+    """Name of the region of the rows that share a prefix in a tree."""
+    return xxhash.xxh3_64_intdigest(prefix, seed=tree) - 2**63
+
+
+def _sketcher(trees: int, depth: int, min_depth: int, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(2024)
         a = rng.integers(1, 2**63, trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,7 +84,7 @@ def _sketcher(trees: int, depth: int, width: int) -> Callable:
             return (low >> np.uint64(32)).astype(">u4")
 
         for batch in batches:
-            n, digest, key, low = [], [], [], []
+            n, digest, key, low, names = [], [], [], [], []
             for text in columns_of(batch, "text")[0]:
                 s = shingles.of(text)
                 m = minima(s) if len(s) else None
@@ -84,9 +92,11 @@ def _sketcher(trees: int, depth: int, width: int) -> Callable:
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 key.append(m.tobytes() if len(s) else None)
                 low.append((m & 255).astype(np.uint8).tobytes() if len(s) else None)
+                regions = [_region(t, key[-1][4 * t * depth : 4 * (t * depth + min_depth)]) for t in range(trees if len(s) else 0)]
+                names.append(np.array(regions, np.int64).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(key, pa.binary()), pa.array(low, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "key", "low"],
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, key, low, names))],
+                names=["doc_id", "n_shingles", "digest", "key", "low", "names"],
             )
 
     return run
@@ -124,7 +134,7 @@ def _walker(depth: int, min_depth: int, small: int) -> Callable:
         def of_region(at: tuple[int, bytes], keys: list[bytes], ids: list[int], edge: bool) -> pa.RecordBatch:
             nonlocal made
             a, b, region, size, top = [], [], [], [], []
-            name = xxhash.xxh3_64_intdigest(at[1], seed=at[0]) - 2**63
+            name = _region(*at)
             for kind, d, lo, hi in _regions(keys, small, depth, min_depth):
                 if kind == "region":
                     made += 1
@@ -182,47 +192,105 @@ def candidates(classes: DataFrame, *, trees: int, depth: int, min_depth: int, sm
     return found.filter("b is not null").select("a", "b").union(to_head).distinct(), found.filter("top is not null").select("top", "a")
 
 
-def _crossing(percent: int, floor: float) -> Callable:
-    """Pairs of a cell's left and right rows of different components that size and signature allow."""
+class _Cell:
+    """Rows of a cell as arrays; ``left`` rows are held against the others."""
+
+    def __init__(self, cell: pa.Table, percent: int, floor: float):
+        self.percent, self.floor, self.top = percent, floor, cell.column("top")[0].as_py() if len(cell) else 0
+        self.a, self.c, self.n, left, self.apart = (cell.column(x).to_numpy() for x in ("a", "c", "n", "left", "apart"))
+        self.low = np.frombuffer(b"".join(cell.column("low").to_pylist()), np.uint8).reshape(len(self.a), -1)
+        self.names = np.frombuffer(b"".join(cell.column("names").to_pylist()), np.int64).reshape(len(self.a), -1)
+        self.left, self.right = np.flatnonzero(left), np.flatnonzero(~left)
+
+    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows on the right that may be linked with row ``i``, and how alike the signatures are."""
+        r = self.right
+        # of two rows outside the largest component each is on both sides: once is enough
+        fits = (self.c[r] != self.c[i]) & (~self.apart[r] | (self.a[r] > self.a[i]))
+        r = r[fits & (np.minimum(self.n[r], self.n[i]) * 100 >= np.maximum(self.n[r], self.n[i]) * self.percent)]
+        alike = np.count_nonzero(self.low[r] == self.low[i], axis=1) / self.low.shape[1]
+        r, alike = r[alike >= self.floor], alike[alike >= self.floor]
+        first = (self.names[r] == self.names[i]).argmax(axis=1)  # the first tree in which the two meet
+        here = self.names[i][first] == self.top
+        return r[here], alike[here]
+
+
+def _partners(percent: int, floor: float) -> Callable:
+    """The rows of a cell that have a partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, percent, floor)
+        has = np.zeros(len(table), bool)
+        for i in cell.left:
+            found = cell.partners(i)[0]
+            has[found] = True
+            has[i] = len(found) > 0
+        return table.filter(pa.array(has))
+
+    return run
+
+
+def _joins(percent: int, floor: float) -> Callable:
+    """Links between rows of a cell that join two components, confirmed on the full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, percent, floor)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        above = {c: c for c in cell.c.tolist()}
+
+        def find(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
 
-    def run(cell: pa.Table) -> pa.Table:
-        a, c, n, left, apart = (cell.column(x).to_numpy(zero_copy_only=False) for x in ("a", "c", "n", "left", "apart"))
-        low = np.frombuffer(b"".join(cell.column("low").to_pylist()), np.uint8).reshape(len(a), -1)
-        right = np.flatnonzero(~left)
-        a_r, c_r, n_r, low_r, apart_r = a[right], c[right], n[right], low[right], apart[right]
         found = []
-        for i in np.flatnonzero(left):
-            # of two rows outside the largest component each is on both sides: once is enough
-            fits = (c_r != c[i]) & (~apart_r | (a_r > a[i])) & (np.minimum(n_r, n[i]) * 100 >= np.maximum(n_r, n[i]) * percent)
-            at = np.flatnonzero(fits)
-            alike = np.count_nonzero(low_r[at] == low[i], axis=1) / low.shape[1]
-            found += [(min(a[i], x), max(a[i], x), y) for x, y in zip(a_r[at[alike >= floor]], alike[alike >= floor], strict=True)]
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "alike"])
+        for i in cell.left:
+            r, alike = cell.partners(i)
+            todo, step = r[np.argsort(-alike, kind="stable")].tolist(), 1
+            while todo:
+                own = find(cell.c[i])
+                todo = [x for x in todo if find(cell.c[x]) != own]
+                some, todo, step = todo[:step], todo[step:], step * 4
+                if not some:
+                    continue
+                size = np.array([len(sets[x]) for x in some])
+                both = np.concatenate([sets[x] for x in some])
+                at = np.minimum(np.searchsorted(sets[i], both), len(sets[i]) - 1)
+                common = np.add.reduceat(sets[i][at] == both, np.cumsum(size) - size, dtype=np.int64)
+                for x in np.array(some)[100 * common >= percent * (len(sets[i]) + size - common)].tolist():
+                    if find(cell.c[x]) != find(cell.c[i]):
+                        above[find(cell.c[x])] = find(cell.c[i])
+                        found.append((int(min(cell.a[i], cell.a[x])), int(max(cell.a[i], cell.a[x]))))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return run
 
 
-def across(tops: DataFrame, part: DataFrame, classes: DataFrame, *, percent: int, floor: float, block: int) -> DataFrame:
-    """(a, b, alike) of the pairs of a region in ``tops`` (top, a) whose ends ``part`` (node,
-    component) does not join.
+def across(tops: DataFrame, part: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, percent: int, floor: float, cell_bytes: int) -> DataFrame:
+    """Links (a, b) that join the components of ``part`` (node, component) across the regions of ``tops`` (top, a).
 
     Rows outside a region's largest component are compared with all of its rows, in cells
-    of ``block`` rows by ``block``.
+    of two blocks whose sets have about ``cell_bytes`` each. ``sets_of`` gives the sets
+    (doc_id, members) of a table of ids (a).
     """
-    labelled = stored(tops.join(part.toDF("a", "c"), "a", "left").select("top", "a", F.coalesce("c", "a").alias("c")), "tops")
-    per = labelled.groupBy("top", "c").agg(F.count("*").alias("n"))
-    regions = per.groupBy("top").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / F.lit(block)).cast("bigint")
+    node = classes.select(F.col("doc_id").alias("a"), "n")
+    labelled = stored(tops.join(part.toDF("a", "c"), "a", "left").join(node, "a").select("top", "a", F.coalesce("c", "a").alias("c"), "n"), "tops")
+    per = labelled.groupBy("top", "c").agg(F.sum("n").alias("n"))
+    regions = per.groupBy("top").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n * 8 / F.lit(cell_bytes)).cast("bigint")
     regions = stored(regions.select("top", F.col("main.c").alias("main"), blocks(F.col("all")).alias("rows"), blocks(F.col("all") - F.col("main.n")).alias("others")), "regions")
-    sides = labelled.join(regions, "top").join(classes.select(F.col("doc_id").alias("a"), "n", "low"), "a")
+    sides = labelled.join(regions, "top").join(classes.select(F.col("doc_id").alias("a"), "low", "names"), "a")
     sides = stored(sides.withColumn("apart", F.col("c") != F.col("main")), "sides")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    place = F.xxhash64("a")
-    left = sides.filter("apart").select("top", F.pmod(place, "others").alias("i"), upto("rows").alias("j"), "a", "c", "n", "low", "apart", F.lit(True).alias("left"))
-    right = sides.select("top", upto("others").alias("i"), F.pmod(place, "rows").alias("j"), "a", "c", "n", "low", "apart", F.lit(False).alias("left"))
-    found = left.union(right).groupBy("top", "i", "j").applyInArrow(_crossing(percent, floor), "a bigint, b bigint, alike double")
-    return stored(found, "crossing").groupBy("a", "b").agg(F.first("alike").alias("alike"))
+    place, row = F.xxhash64("a"), ["a", "c", "n", "low", "names", "apart"]
+    left = sides.filter("apart").select("top", F.pmod(place, "others").alias("i"), upto("rows").alias("j"), *row, F.lit(True).alias("left"))
+    right = sides.select("top", upto("others").alias("i"), F.pmod(place, "rows").alias("j"), *row, F.lit(False).alias("left"))
+    cells = left.union(right)
+    kinds = "top bigint, i bigint, j bigint, a bigint, c bigint, n bigint, low binary, names binary, apart boolean, left boolean"
+    partners = stored(cells.groupBy("top", "i", "j").applyInArrow(_partners(percent, floor), kinds), "partners")
+    with_sets = partners.join(sets_of(partners.select("a").distinct()).toDF("a", "members"), "a")
+    found = with_sets.groupBy("top", "i", "j").applyInArrow(_joins(percent, floor), "a bigint, b bigint")
+    return stored(found, "joins")
 
 
 def _alike(floor: float) -> Callable:
@@ -275,7 +343,7 @@ def _likeliest(pairs: DataFrame, partners: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = 16, depth: int = 8,
-    min_depth: int = 3, small: int = 24, slack: float = 0.15, partners: int = 4, filter_bits: int = 1 << 24, block: int = 8192,
+    min_depth: int = 3, small: int = 24, slack: float = 0.15, partners: int = 4, filter_bits: int = 1 << 24, cell_bytes: int = 1 << 24,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -288,8 +356,8 @@ def near_duplicates(
     row with a null id is never kept. An empty table gives no rows.
     """
     rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    sketch = stored(rows.mapInArrow(_sketcher(trees, depth, width), "doc_id bigint, n_shingles bigint, digest binary, key binary, low binary"), "sketch")
-    classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("key").alias("key"), F.first("low").alias("low"))
+    sketch = stored(rows.mapInArrow(_sketcher(trees, depth, min_depth, width), "doc_id bigint, n_shingles bigint, digest binary, key binary, low binary, names binary"), "sketch")
+    classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(x).alias(x) for x in ("key", "low", "names")])
     classes = stored(classes, "classes")
     pairs, tops = candidates(classes.select("doc_id", "key"), trees=trees, depth=depth, min_depth=min_depth, small=small)
     low = classes.select("doc_id", "n", "low")
@@ -299,36 +367,33 @@ def near_duplicates(
     likely = stored(both.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_alike(floor), "a bigint, b bigint, alike double"), "likely")
     placed = rows.filter("doc_id is not null").select("doc_id", "text", bit_place(F.col("doc_id"), filter_bits).alias("place"))
 
-    def settled(likely: DataFrame, links: DataFrame | None, part: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """``links`` and their components ``part`` with what ``likely`` adds to them."""
-        # the texts are read again and not shuffled: a bitmap of fixed size tells which are needed
-        wanted = docs.sparkSession.sparkContext.broadcast(id_bits(likely.select(F.explode(F.array("a", "b")).alias("id")), "id", filter_bits))
-        sets = stored(placed.mapInArrow(_setter(width, wanted), "doc_id bigint, members binary"), "sets").dropDuplicates(["doc_id"])
-
-        def confirmed(some: DataFrame) -> DataFrame:
-            paired = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-            return stored(paired.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
-
-        # the likeliest partners of each class join most of a family; of the other pairs only
-        # those that would still join two components are looked at
-        first = stored(_likeliest(likely, partners), "first")
-        more = confirmed(first)
-        links = more if links is None else links.union(more)
-        if part is None or not more.isEmpty():
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Sets of the texts of ``ids`` (a), one row per id; the texts are read again and not
+        shuffled: a bitmap of fixed size tells which are needed."""
+        wanted = docs.sparkSession.sparkContext.broadcast(id_bits(ids, "a", filter_bits))
+        return stored(placed.mapInArrow(_setter(width, wanted), "doc_id bigint, members binary"), "sets").dropDuplicates(["doc_id"])
+
+    sets = sets_of(likely.select("a").union(likely.select("b")).distinct())
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        paired = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+        return stored(paired.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
+
+    # the likeliest partners of each class join most of a family; of the other pairs only
+    # those that would still join two components are looked at
+    first = stored(_likeliest(likely, partners), "first")
+    links = confirmed(first)
+    part = components(links)
+    ends = likely.join(first, ["a", "b"], "left_anti").join(part.toDF("a", "of_a"), "a", "left").join(part.toDF("b", "of_b"), "b", "left")
+    rest = stored(ends.filter(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b"), "rest")
+    if not rest.isEmpty():
+        more = confirmed(rest)
+        if not more.isEmpty():
+            links = links.union(more)
             part = components(links)
-        ends = likely.join(first, ["a", "b"], "left_anti").join(part.toDF("a", "of_a"), "a", "left").join(part.toDF("b", "of_b"), "b", "left")
-        rest = stored(ends.filter(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b"), "rest")
-        if not rest.isEmpty():
-            more = confirmed(rest)
-            if not more.isEmpty():
-                links = links.union(more)
-                part = components(links)
-        return links, part
-
-    links, part = settled(likely, None, None)
-    left = across(tops, part, classes, percent=percent, floor=floor, block=block)
-    if not left.isEmpty():
-        _, part = settled(stored(left, "left"), links, part)
+    more = across(tops, part, classes, sets_of, percent=percent, floor=floor, cell_bytes=cell_bytes)
+    if not more.isEmpty():
+        part = components(links.union(more))
     of_class = classes.select("digest", F.col("doc_id").alias("first")).join(part.withColumnRenamed("node", "first"), "first", "left")
     of_class = of_class.select("digest", F.coalesce("component", "first").alias("component_id"))
     filled = sketch.filter("n_shingles > 0").join(of_class, "digest", "left").select("doc_id", "n_shingles", "component_id")
@@ -337,7 +402,7 @@ def near_duplicates(
     return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_shingles", F.col("component_id").cast(docs.schema[id_col].dataType).alias("component_id"), kept.alias("kept"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows that stay, with all their columns. Ids must name one document each."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col))
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).filter("kept").select(F.col("doc_id").alias(id_col))
     return docs.join(kept, id_col, "left_semi")

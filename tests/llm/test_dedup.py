@@ -117,7 +117,7 @@ def test_inner_members_of_a_large_region(spark):
     assert len({c for _, c, _ in want.values()}) == 90
     options = {"small": 2, "trees": 4, "depth": 1, "min_depth": 1, "slack": 0.85}
     assert _near(docs, **options) == want
-    assert _near(docs, **options, block=16) == want
+    assert _near(docs, **options, cell_bytes=40_000) == want
 
 
 def test_more_partitions_than_rows(spark):
