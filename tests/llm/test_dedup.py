@@ -49,7 +49,7 @@ def test_exact_edges(spark):
     assert exact_dedup.exact_duplicates(empty_docs(spark)).count() == 0
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {}
     for doc, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
@@ -68,7 +68,7 @@ def brute(rows):
     for a, s in sets.items():
         for b in {b for x in s for b in having[x] if b < a}:
             common = len(s & sets[b])
-            if 100 * common >= 85 * (len(s) + len(sets[b]) - common):
+            if 100 * common >= percent * (len(s) + len(sets[b]) - common):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
