@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import oracle as O
@@ -249,15 +252,15 @@ def _(spark, folder):
 
 @query(
     "delete_projects",
-    """SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
-    UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_mktsegment <> 'BUILDING'""",
+    """SELECT 'orders' AS name, o_custkey AS project_id, o_orderkey AS row_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+    UNION ALL SELECT 'customer', c_custkey, c_nationkey FROM customer WHERE c_mktsegment <> 'BUILDING'""",
 )
 def _(spark, folder):
     customers = R.table(spark, folder, "customer").withColumnRenamed("c_custkey", "project_id")
     gone = customers.filter(F.col("c_mktsegment") == "BUILDING")
     left = store.delete_projects({"orders": R.runs(spark, folder), "customer": customers}, gone)
-    count = lambda name: left[name].groupBy(F.lit(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return count("orders").unionByName(count("customer"))
+    rows = lambda name, row: left[name].select(F.lit(name).alias("name"), "project_id", F.col(row).cast("bigint").alias("row_id"))
+    return rows("orders", "run_id").unionByName(rows("customer", "c_nationkey"))
 
 
 def _audits(spark, folder):
@@ -284,7 +287,8 @@ def _(spark, folder):
     "project_list",
     f"""WITH {_AUDITS} SELECT c_custkey AS project_id, CAST(c_nationkey AS INT) AS nation,
       CASE WHEN c_nationkey % 2 = 1 THEN c_nationkey WHEN au.c IS NULL THEN 0 WHEN f > 5 THEN f ELSE {O.rint('pts::DOUBLE / n')} END::INT AS seo_score,
-      coalesce(fc, 0) AS findings_count, CAST(coalesce(n, 0) AS INT) AS metrics_count, CASE WHEN c_acctbal > 0 THEN c_custkey ELSE 0 END AS pages_analyzed, CASE WHEN c_acctbal > 0 THEN 'Found' ELSE '—' END AS robots_status
+      coalesce(fc, 0) AS findings_count, CAST(coalesce(n, 0) AS INT) AS metrics_count, CASE WHEN c_acctbal > 0 THEN c_custkey ELSE 0 END AS pages_analyzed, CASE WHEN c_acctbal > 0 THEN 'Found' ELSE '—' END AS robots_status,
+      CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS pages_discovered, '—' AS sitemap_status
     FROM customer LEFT JOIN au ON au.c = c_custkey""",
 )
 def _(spark, folder):
@@ -294,13 +298,14 @@ def _(spark, folder):
     crawls = customers.filter(c("c_acctbal") > 0).select(
         c("c_custkey").alias("project_id"), c("c_custkey").alias("pages_analyzed"), F.lit(1).alias("pages_discovered"), F.lit("Found").alias("robots_status"), F.lit("").alias("sitemap_status")
     )
-    return store.project_list(projects, _audits(spark, folder), crawls).drop("pages_discovered", "sitemap_status")
+    return store.project_list(projects, _audits(spark, folder), crawls)
 
 
 @query(
     "rebuild_audits",
     f"""WITH {_AUDITS} SELECT c_custkey AS project_id, coalesce(au.f, c_nationkey) || '%' AS overall_seo_health, c_nationkey || '%' AS seo_health, 'completed' AS status,
-      coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, '') AS executive_summary FROM customer LEFT JOIN au ON au.c = c_custkey""",
+      coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, '') AS executive_summary, CASE WHEN c_nationkey % 3 = 0 THEN c_name ELSE 'none' END AS keyword_analysis,
+      CASE WHEN c_custkey % 4 <> 1 THEN 'p' || c_name END AS pages, CAST(CASE WHEN c_custkey % 4 <> 1 THEN c_nationkey ELSE 0 END AS BIGINT) AS page_speed FROM customer LEFT JOIN au ON au.c = c_custkey""",
 )
 def _(spark, folder):
     c = F.col
@@ -310,19 +315,26 @@ def _(spark, folder):
         "projects": customers.select("project_id", c("c_nationkey").alias("seo_score")),
         "audit_results": orders.groupBy(c("o_custkey").alias("project_id")).agg(F.count_if(c("o_orderstatus") == "F").alias("overall_seo_health")),
         "ai_insights": customers.filter(c("c_acctbal") > 0).select("project_id", c("c_mktsegment").alias("executive_summary")),
-        "seo_data": customers.select("project_id"), "crawl_data": customers.select("project_id"),
+        "seo_data": customers.filter(c("c_nationkey") % 3 == 0).select("project_id", c("c_name").alias("keyword_analysis")),
+        "crawl_data": customers.filter(c("project_id") % 4 != 1).select("project_id", F.concat(F.lit("p"), c("c_name")).alias("pages"), c("c_nationkey").cast("bigint").alias("page_speed")),
     }
-    out = store.rebuild(tables, {"executive_summary": F.lit("")})
-    return out.select("project_id", "overall_seo_health", "seo_health", "status", "executive_summary")
+    out = store.rebuild(tables, {"executive_summary": F.lit(""), "keyword_analysis": F.lit("none"), "page_speed": F.lit(0)})
+    return out.select("project_id", "overall_seo_health", "seo_health", "status", "executive_summary", "keyword_analysis", "pages", "page_speed")
 
 
-@query("split_audits", f"WITH {_LATEST} SELECT 'https://c' || project_id AS url, seo_score, true AS same_key FROM lr")
+@query(
+    "split_audits",
+    f"""WITH {_LATEST} SELECT 'https://c' || project_id AS url, sha256('https://c' || project_id) AS project_id, seo_score, unnest(['audit_results', 'ai_insights', 'seo_data', 'crawl_data']) AS child,
+      unnest(['f' || seo_score, 's' || seo_score, 'k' || seo_score, 'p' || seo_score]) AS state FROM lr""",
+)
 def _(spark, folder):
     last = store.latest_runs(R.runs(spark, folder), "project_id", ["updated_at", "run_id"])
-    audits = last.withColumn("url", F.concat(F.lit(" HTTPS://C"), F.col("project_id").cast("string"), F.lit("/ "))).drop("project_id").withColumn("findings", F.lit("[]"))
-    tables = store.split_audit(audits)
-    kids = tables["audit_results"].select("project_id", F.lit(True).alias("same_key"))
-    return tables["projects"].join(kids, "project_id", "left").select("url", "seo_score", "same_key")
+    state = {"audit_results": "findings", "ai_insights": "executive_summary", "seo_data": "keyword_analysis", "crawl_data": "pages"}
+    letters = {"findings": "f", "executive_summary": "s", "keyword_analysis": "k", "pages": "p"}
+    audits = last.withColumns({"url": F.concat(F.lit(" HTTPS://C"), F.col("project_id").cast("string"), F.lit("/ ")), **{c: F.concat(F.lit(x), F.col("seo_score").cast("string")) for c, x in letters.items()}})
+    tables = store.split_audit(audits.drop("project_id"))
+    kids = [tables[n].select("project_id", F.lit(n).alias("child"), F.col(c).alias("state")) for n, c in state.items()]
+    return tables["projects"].select("project_id", "url", "seo_score").join(reduce(DataFrame.unionByName, kids), "project_id", "left")
 
 
 @query(

@@ -443,9 +443,10 @@ def _feature_query(name, columns, sql):
 
 _feature_query(
     "meta_tags",
-    ["title", "description", "meta_description_length", "has_viewport_meta", "robots_directives", "is_indexable", "og_title", "twitter_card"],
+    ["title", "description", "meta_description_length", "has_viewport_meta", "robots_directives", "is_indexable", "og_title", "og_description", "og_image", "twitter_card"],
     """title, description, meta_description_length::INT AS meta_description_length, has_viewport_meta, CASE WHEN x = 1 THEN 'noindex, nofollow' ELSE '' END AS robots_directives,
-    is_indexable, og_title, CASE WHEN lang = 'fr' THEN 'summary' ELSE '' END AS twitter_card""",
+    is_indexable, og_title, CASE WHEN lang = 'en' THEN s2 ELSE '' END AS og_description, CASE WHEN lang = 'de' THEN '/og' || page_id || '.png' ELSE '' END AS og_image,
+    CASE WHEN lang = 'fr' THEN 'summary' ELSE '' END AS twitter_card""",
 )
 _feature_query(
     "canonical_url", ["url", "canonical_url", "has_canonical"],

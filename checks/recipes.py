@@ -92,6 +92,8 @@ def authored_pages(spark: SparkSession, folder: str) -> DataFrame:
         put(c("x") == 1, '<meta name="robots" content="NOINDEX, nofollow">'),
         put(c("n_chars") > 300, '<link rel="Canonical" href="', c("path"), '#c">'),
         put(english | german, '<meta property="og:title" content="', one, '">'),
+        put(english, '<meta property="og:description" content="', two, '">'),
+        put(german, '<meta content="/og', c("doc_id").cast("string"), '.png" property="og:image">'),
         put(french, '<meta name="twitter:card" content="summary">'),
         put(english | german, '<link rel="shortcut icon" href="/s.ico">'),
         put(english, "<link rel=icon href=i.png>"),

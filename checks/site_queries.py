@@ -125,15 +125,25 @@ def _(spark, folder):
 
 @query(
     "site_summary_table",
-    f"""WITH {O.FEATURES}, a AS (SELECT site, {_share("title <> ''")} AS t, {_share('h1_count = 1')} AS h, {_share('is_indexable')} AS i FROM features GROUP BY site)
-    SELECT site, 'Title Tag Coverage' AS metric, CASE WHEN t = 100 THEN 'Pass' ELSE 'Fail' END AS result FROM a
-    UNION ALL SELECT site, 'Correct H1 Usage (1 per page)', CASE WHEN h = 100 THEN 'Pass' WHEN h >= 50 THEN 'Warning' ELSE 'Fail' END FROM a
-    UNION ALL SELECT site, 'Indexable Pages', CASE WHEN i = 100 THEN 'Pass' ELSE 'Warning' END FROM a""",
+    f"""WITH {CHECKLIST}, a AS (SELECT site, {_share("title <> ''")} AS t, {_share("description <> ''")} AS m, {_share('h1_count = 1')} AS h, {_share('has_viewport_meta')} AS v, {_share('has_canonical')} AS c,
+      {_share('is_indexable')} AS i, CAST({O.rint('(sum(total_images) - sum(missing_alt_count))::DOUBLE / greatest(sum(total_images), 1) * 100')} AS INT) AS g, {_share('has_structured_data')} AS s, {_share("og_title <> ''")} AS o,
+      count(*) FILTER (WHERE title <> '') AS nt, count(DISTINCT nullif(title, '')) AS ut, count(*) FILTER (WHERE description <> '') AS nm, count(DISTINCT nullif(description, '')) AS um FROM scored GROUP BY site),
+    r AS (SELECT site, unnest([
+      {{'pos': 1, 'metric': 'Title Tag Coverage', 'value': t, 'result': CASE WHEN t = 100 THEN 'Pass' ELSE 'Fail' END}},
+      {{'pos': 2, 'metric': 'Meta Description Coverage', 'value': m, 'result': CASE WHEN m = 100 THEN 'Pass' ELSE 'Fail' END}},
+      {{'pos': 3, 'metric': 'Correct H1 Usage (1 per page)', 'value': h, 'result': CASE WHEN h = 100 THEN 'Pass' WHEN h >= 50 THEN 'Warning' ELSE 'Fail' END}},
+      {{'pos': 4, 'metric': 'Mobile Viewport Tag', 'value': v, 'result': CASE WHEN v = 100 THEN 'Pass' ELSE 'Fail' END}},
+      {{'pos': 5, 'metric': 'Canonical Tag Coverage', 'value': c, 'result': CASE WHEN c = 100 THEN 'Pass' ELSE 'Warning' END}},
+      {{'pos': 6, 'metric': 'Indexable Pages', 'value': i, 'result': CASE WHEN i = 100 THEN 'Pass' ELSE 'Warning' END}},
+      {{'pos': 7, 'metric': 'Image Alt Text Coverage', 'value': g, 'result': CASE WHEN g >= 90 THEN 'Pass' WHEN g >= 50 THEN 'Warning' ELSE 'Fail' END}},
+      {{'pos': 8, 'metric': 'Structured Data (Schema)', 'value': s, 'result': CASE WHEN s >= 50 THEN 'Pass' ELSE 'Warning' END}},
+      {{'pos': 9, 'metric': 'Open Graph Tags', 'value': o, 'result': CASE WHEN o >= 50 THEN 'Pass' ELSE 'Warning' END}},
+      {{'pos': 10, 'metric': 'Unique Title Tags', 'value': ut, 'result': CASE WHEN ut = nt THEN 'Pass' ELSE 'Warning' END}},
+      {{'pos': 11, 'metric': 'Unique Meta Descriptions', 'value': um, 'result': CASE WHEN um = nm THEN 'Pass' ELSE 'Warning' END}}]) AS x FROM a)
+    SELECT site, x.pos AS pos, x.metric AS metric, CAST(x.value AS BIGINT) AS value, x.result AS result FROM r""",
 )
 def _(spark, folder):
-    shown = ["Title Tag Coverage", "Correct H1 Usage (1 per page)", "Indexable Pages"]
-    rows = site.summary_table(site.site_summary(R.features(spark, folder)))
-    return rows.filter(F.col("metric").isin(shown)).select("site", "metric", "result")
+    return site.summary_table(site.site_summary(R.features(spark, folder)))
 
 
 @query(
@@ -147,7 +157,8 @@ def _(spark, folder):
 
 @query(
     "issue_matrix",
-    f"""WITH {CHECKLIST} SELECT site, issue, severity, count(*) AS pages, CAST({O.rank('severity', 3)} AS INT) AS severity_rank FROM issues GROUP BY site, issue, severity""",
+    f"""WITH {CHECKLIST} SELECT site, issue, severity, count(*) AS pages, CAST({O.rank('severity', 3)} AS INT) AS severity_rank,
+      CAST(row_number() OVER (PARTITION BY site ORDER BY {O.rank('severity', 3)}, count(*) DESC, issue) AS INT) AS place FROM issues GROUP BY site, issue, severity""",
 )
 def _(spark, folder):
     return site.issue_matrix(page_health.page_issues(R.features(spark, folder)))
@@ -555,6 +566,23 @@ def _(spark, folder):
     )
 
 
+@query(
+    "bare_site_profiles",
+    f"""WITH {O.DOCS}, h AS (SELECT * FROM d WHERE doc_id = k * k), w AS (SELECT site, k % 2 = 0 AS bare, trim(regexp_replace(s2, '\\s+', ' ', 'g')) AS one FROM h),
+    n AS (SELECT *, regexp_replace(regexp_replace(one, '^[ \\-|:]+', ''), '[ \\-|:]+$', '') AS word FROM w)
+    SELECT site, 'Example' AS company_name, 'Management Board' AS audience_label, CASE WHEN bare OR word = '' THEN 'Primary service visibility|Commercial search positioning|Market discovery' ELSE word END AS pillars,
+      CASE WHEN bare OR word = '' THEN 'primary service|commercial intent|customer demand' ELSE word END AS keywords, 'Example works around ' || CASE WHEN bare OR word = '' THEN 'primary service' ELSE word END || '.' AS business_summary FROM n""",
+)
+def _(spark, folder):
+    """Pages that say nothing: every second one keeps one heading, the others only their url."""
+    primary = site.primary_page(R.features(spark, folder), ["url", "title", "description", "headings"])
+    number = F.regexp_extract("url", r"site(\d+)\.", 1).cast("bigint")
+    h2 = F.when(number % 2 == 1, F.slice(F.reverse(F.col("headings.h2")), 1, 1)).otherwise(N.lit_array([]))
+    none = primary.withColumns({"title": F.lit(""), "description": F.lit(None).cast("string"), "headings": F.col("headings").withField("h1", N.lit_array([])).withField("h2", h2)})
+    p = profile.site_profile(none)
+    return p.select("site", "company_name", "audience_label", F.array_join("core_service_pillars", "|").alias("pillars"), F.array_join("market_focus_keywords", "|").alias("keywords"), "business_summary")
+
+
 # --- reports ---------------------------------------------------------------------------------
 _FOUND = f"""fo AS MATERIALIZED (SELECT *, {O.prio('score')} AS priority, {O.status('score')} AS status, row_number() OVER (PARTITION BY site ORDER BY {O.rank(O.prio('score'))}, metric_pos) AS finding_pos FROM coverage)"""
 _FOUND = _FOUND.replace(O.rank(O.prio('score')), f"CASE WHEN score < 40 THEN 0 WHEN score < 80 THEN 1 ELSE 2 END")
@@ -579,6 +607,16 @@ def _(spark, folder):
     return _site_findings(spark, folder).select("site", "metric", "priority", "finding_pos")
 
 
+@query(
+    "priority_lists",
+    f"""WITH {COVERAGE}, {_FOUND} SELECT site, coalesce(string_agg(metric, '|' ORDER BY finding_pos) FILTER (WHERE priority = 'High'), '') AS high,
+      coalesce(string_agg(metric, '|' ORDER BY finding_pos) FILTER (WHERE priority = 'Medium'), '') AS medium, coalesce(string_agg(metric, '|' ORDER BY finding_pos) FILTER (WHERE priority = 'Low'), '') AS low FROM fo GROUP BY site""",
+)
+def _(spark, folder):
+    lists = report.priority_lists(_site_findings(spark, folder))
+    return lists.select("site", *[F.array_join(c, "|").alias(c) for c in ("high", "medium", "low")])
+
+
 @query("top_report_actions", f"WITH {COVERAGE}, {_FOUND} SELECT site, metric, priority, CAST(finding_pos AS INT) AS rank FROM fo WHERE finding_pos <= 4")
 def _(spark, folder):
     return report.first_rows(_site_findings(spark, folder), [F.col("finding_pos")], 4).select("site", "metric", "priority", "rank")

@@ -22,6 +22,16 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
     return findings.withColumn("finding_pos", F.row_number().over(w))
 
 
+def priority_lists(findings: DataFrame) -> DataFrame:
+    """High, medium and low findings of each site as whole lists, in the order of their place.
+
+    Needs ``ordered_findings``; a site has a fixed number of findings.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("finding_pos", "priority", "metric")))
+    of = lambda p: F.transform(F.filter("f", lambda x: x["priority"] == p), lambda x: x["metric"]).alias(p.lower())
+    return findings.groupBy("site").agg(listed.alias("f")).select("site", *[of(p) for p in ("High", "Medium", "Low")])
+
+
 def preferred(rows: DataFrame, wanted: Column, order: str, values: list[str], key: str = "site") -> DataFrame:
     """First row that meets ``wanted``, else the first row, of each key."""
     ranked = rows.withColumn("_other", F.when(F.coalesce(wanted, F.lit(False)), 0).otherwise(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden import constants as C
@@ -210,9 +210,12 @@ def severity_totals(issues: DataFrame) -> DataFrame:
 
 
 def issue_matrix(issues: DataFrame) -> DataFrame:
-    """Pages per issue and severity; ``issue_pages`` lists them."""
+    """Pages per issue and severity, with the place of each by severity, then falling count, then
+    name; ``issue_pages`` lists the pages. A site has as many rows as there are kinds of issues."""
     counts = issues.groupBy("site", "issue", "severity").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.withColumn("severity_rank", N.priority_rank(F.col("severity"), 3))
+    ranked = counts.withColumn("severity_rank", N.priority_rank(F.col("severity"), 3))
+    order = Window.partitionBy("site").orderBy("severity_rank", F.desc("pages"), "issue")
+    return ranked.withColumn("place", F.row_number().over(order))
 
 
 def issue_pages(issues: DataFrame) -> DataFrame:
