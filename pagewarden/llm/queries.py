@@ -99,6 +99,25 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_documents(spark, sf_dir))
 
 
+#: Joins of shingles and a transitive closure: for small tables.
+ORACLES["op10_lsh_forest"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[k:k + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS k FROM split WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS doc_id, least(a, min(b)) AS root FROM reach GROUP BY a)
+SELECT s.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, s.doc_id) AS component_id, s.doc_id = coalesce(root, s.doc_id) AS kept
+FROM split s LEFT JOIN sizes z ON z.doc_id = s.doc_id LEFT JOIN roots r ON r.doc_id = s.doc_id
+"""
+
+
 @_query
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
