@@ -111,6 +111,14 @@ def graph_link_score(all_urls: DataFrame, graph: DataFrame) -> DataFrame:
     )
 
 
+def known_status(link_status: DataFrame) -> DataFrame:
+    """One row per url that has a status: of several a failure counts before the others, then the highest."""
+    code = F.col("status_code")
+    rank = F.max(F.when(S.is_broken(code), F.lit(10_000)).otherwise(0) + code).alias("_rank")
+    one = link_status.filter(code.isNotNull()).groupBy("url").agg(rank)
+    return one.select("url", (F.col("_rank") % 10_000).cast("int").alias("status_code"))
+
+
 def checked_links(graph: DataFrame, link_status: DataFrame) -> DataFrame:
     """Every distinct internal target of each site with its first place and its status.
 
@@ -122,7 +130,7 @@ def checked_links(graph: DataFrame, link_status: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("page_id", "pos", "src_url")).alias("f"))
         .select("site", "dst_url", "f.*")
     )
-    known = link_status.filter(F.col("status_code").isNotNull()).select(F.col("url").alias("dst_url"), "status_code")
+    known = known_status(link_status).withColumnRenamed("url", "dst_url")
     state = F.when(F.col("status_code").isNull(), "unknown").when(S.is_broken(F.col("status_code")), "broken").otherwise("ok")
     return first.join(known, "dst_url", "left").select(
         "site", "page_id", "pos", "src_url", "dst_url", "status_code", state.alias("state")

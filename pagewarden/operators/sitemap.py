@@ -17,7 +17,7 @@ from pagewarden.functions import numbers as N
 from pagewarden.functions import scores as S
 from pagewarden.functions import urls as U
 from pagewarden.functions.urls import strip_space
-from pagewarden.operators.links import graph_link_score, in_degree, orphans
+from pagewarden.operators.links import graph_link_score, in_degree, known_status, orphans
 from pagewarden.operators.ranking import first_by, top_k
 from pagewarden.session import stored
 from pagewarden.operators.rows import unnest
@@ -248,7 +248,7 @@ def all_urls(sitemap: DataFrame, crawled: DataFrame) -> DataFrame:
 
 def broken_urls(urls: DataFrame, link_status: DataFrame) -> DataFrame:
     """The urls whose known status is a failure; urls without a status are not judged."""
-    known = link_status.select("url", "status_code").filter(S.is_broken(F.col("status_code")))
+    known = known_status(link_status).filter(S.is_broken(F.col("status_code")))
     return urls.select("site", "url").distinct().join(known, "url")
 
 

@@ -175,7 +175,7 @@ def test_graph_operators(spark):
     assert reach == {"a": 0, "b": 1, "c": 2}
     assert {r.url for r in links.reachability(start, g, max_depth=1).collect()} == {"a", "b"}
     assert {r.url for r in links.reachability(start, g, max_pages=2).collect()} == {"a", "b"}
-    status = spark.createDataFrame([("b", 200), ("c", 404)], "url string, status_code int")
+    status = spark.createDataFrame([("b", 200), ("b", 200), ("b", None), ("c", 200), ("c", 404), ("c", 301)], "url string, status_code int")
     b = links.broken_summary(links.checked_links(g, status)).filter("site = 's'").first()
     assert (b.checked_count, b.broken_count, b.unknown_count, b.broken_ratio) == (2, 1, 1, 50.0)
     many = g.sparkSession.range(40).selectExpr("'s' site", "id page_id", "'a' src_url", "concat('t', id) dst_url", "0 pos", "true is_internal")
