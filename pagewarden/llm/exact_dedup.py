@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pagewarden.llm.common import id_text, stored
 
 OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+HOT_ROWS = 1000  # smaller groups are never dealt over several tasks
 
 
 def normal_text(text: Column) -> Column:
@@ -67,7 +68,7 @@ def _salted(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 50
     salt. A hash only says which rows are dealt; keys are still compared as they are.
     """
     total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = [r.key for r in groups.filter(F.col("n") >= max(1000, -(-total // share))).select("key").collect()]
+    hot = [r.key for r in groups.filter(F.col("n") >= max(HOT_ROWS, -(-total // share))).select("key").collect()]
     dealt = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(salts)).cast("int")
     row_salt = F.when(F.xxhash64(*keys).isin(hot), dealt).otherwise(0) if hot else F.lit(0)
     every = F.sequence(F.lit(0), F.lit(salts - 1))

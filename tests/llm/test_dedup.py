@@ -37,6 +37,33 @@ def test_exact_levels(spark):
         assert got == want
 
 
+def test_exact_hot_groups_are_dealt(spark, monkeypatch):
+    """Hot prefixes and hot copies give the same rows when they lie in many tasks."""
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
+    texts = [LONG[:40] + f" own {i}" for i in range(30)] + [LONG] * 25 + [LONG + " end"] * 3 + [f"alone {i}" for i in range(20)]
+    docs = spark.createDataFrame([(i * 7 % 101, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t].append(i * 7 % 101)
+    want = {d: (min(g), len(g), d == min(g)) for g in groups.values() for d in g}
+    rows = exact_dedup.exact_duplicates(docs).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows} == want and len(rows) == len(texts)
+
+
+def test_no_column_name_is_reserved(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y"), (2, "a", "z", "w")], "doc_id bigint, text string, _sha_of string, row string")
+    assert [tuple(r) for r in exact_dedup.without_copies(docs).collect()] == [(1, "a", "x", "y")]
+    assert exact_dedup.without_copies(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_stands_odd_rows(spark):
+    """Repeated ids with the same text, null ids, and an empty table, as a stage of the pipeline meets them."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text + " more"), (None, text), (3, None), (4, "other words here")], "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in lsh_forest.one_of_each(docs).collect())
+    assert kept == [1, 1, 3, 4] and lsh_forest.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_exact_edges(spark):
     docs = edge_docs(spark)
     rows = exact_dedup.exact_duplicates(docs).collect()
