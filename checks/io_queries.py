@@ -215,6 +215,24 @@ def _(spark, folder):
     return out
 
 
+@query(
+    "stored_audit_tables",
+    """WITH i AS (SELECT o_custkey AS c, CAST(floor(o_totalprice / 5000) AS INT) AS s, o_orderpriority AS b FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+    SELECT sha256('https://c' || c) AS project_id, 'https://c' || c AS url, b AS business_type, s AS seo_score, NULL::VARCHAR AS report_url, 'f' || s AS findings, 's' || s AS executive_summary, NULL::VARCHAR AS insights, 'k' || s AS keyword_analysis, 'p' || s AS pages FROM i""",
+)
+def _(spark, folder):
+    place = _place(spark, "tables")
+    last = store.latest_runs(R.runs(spark, folder), "project_id", ["updated_at", "run_id"])
+    texts = {c: F.concat(F.lit(x), F.col("seo_score").cast("string")) for c, x in (("findings", "f"), ("executive_summary", "s"), ("keyword_analysis", "k"), ("pages", "p"))}
+    audits = last.withColumns({"url": F.concat(F.lit("https://c"), F.col("project_id").cast("string")), **texts}).drop("project_id", "run_id")
+    sinks.write_tables(store.split_audit(audits), place)
+    back = tables.stored_tables(spark, place)
+    out = back["projects"].select("project_id", "url", "business_type", "seo_score", "report_url")
+    for name, columns in (("audit_results", ["findings"]), ("ai_insights", ["executive_summary", "insights"]), ("seo_data", ["keyword_analysis"]), ("crawl_data", ["pages"])):
+        out = out.join(back[name].select("project_id", *columns), "project_id", "left")
+    return out
+
+
 @query("ordered_projects", "SELECT o_orderkey AS project_id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place FROM orders")
 def _(spark, folder):
     o = R.table(spark, folder, "orders").select(F.col("o_orderkey").alias("project_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))

@@ -162,9 +162,10 @@ def _dealt(df: DataFrame, name: str) -> DataFrame:
     return stored(df.hint("rebalance", "bucket").sortWithinPartitions("bucket"), name)
 
 
-def _sizes(df: DataFrame) -> dict[int, int]:
-    """Rows of each bucket that has any; there are a fixed number of buckets."""
-    return {r.bucket: r["count"] for r in df.groupBy("bucket").count().collect()}
+def _held(df: DataFrame) -> tuple[list[int], int]:
+    """The buckets that have rows, of a fixed number of them, and how many rows there are."""
+    r = df.agg(F.collect_set("bucket").alias("buckets"), F.count(F.lit(1)).alias("n")).first()
+    return sorted(r.buckets), r.n
 
 
 class _Visited:
@@ -205,23 +206,23 @@ def reachability(
     links = _dealt(links.withColumn("bucket", bucket("src_url")), "links")
     first = starts.select("site", "url").distinct().withColumns({"depth": F.lit(0), "bucket": bucket("url")})
     frontier, visited, depth = _dealt(first, "level"), _Visited(), 0
-    sizes = _sizes(frontier)
-    visited.add(frontier, sum(sizes.values()))
-    while sizes and (max_depth is None or depth < max_depth):
+    held, n = _held(frontier)
+    visited.add(frontier, n)
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
         at = frontier.select("bucket", "site", F.col("url").alias("src_url"))
-        step = at.join(links.filter(F.col("bucket").isin(list(sizes))), ["bucket", "site", "src_url"])
+        step = at.join(links.filter(F.col("bucket").isin(held)), ["bucket", "site", "src_url"])
         step = step.select("site", F.col("dst_url").alias("url")).distinct()
         step = stored(step.withColumn("bucket", bucket("url")), "candidates")
-        sizes = _sizes(step)
-        if not sizes:
+        tried, n = _held(step)
+        if not n:
             break
-        known = visited.rows().filter(F.col("bucket").isin(list(sizes))).select("bucket", "site", "url")
+        known = visited.rows().filter(F.col("bucket").isin(tried)).select("bucket", "site", "url")
         new = step.join(known, ["bucket", "site", "url"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = _dealt(new.select("site", "url", "depth", "bucket"), "level")
-        sizes = _sizes(frontier)
-        if sizes:
-            visited.add(frontier, sum(sizes.values()))
+        held, n = _held(frontier)
+        if n:
+            visited.add(frontier, n)
     found = visited.rows().select("site", "url", "depth")
     if max_pages:
         found = top_k(found, ["site"], [F.col("depth"), F.col("url")], max_pages).drop("rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewarden import constants as C
 
@@ -69,8 +70,20 @@ def locations(raw: DataFrame) -> DataFrame:
     )
 
 
-def stored_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+#: The linked tables of stored audits; documents are kept as their JSON text.
+STORED = {
+    "projects": "project_id STRING, url STRING, business_type STRING, seo_score INT, report_url STRING, site_favicon STRING, created_at TIMESTAMP, updated_at TIMESTAMP, site_bucket INT",
+    "audit_results": "project_id STRING, overall_seo_health STRING, metric_summary STRING, findings STRING, updated_at TIMESTAMP, site_bucket INT",
+    "ai_insights": "project_id STRING, executive_summary STRING, management_summary STRING, recommended_roadmap STRING, data_limitations STRING, insights STRING, updated_at TIMESTAMP, site_bucket INT",
+    "seo_data": "project_id STRING, competitive_intelligence STRING, keyword_analysis STRING, updated_at TIMESTAMP, site_bucket INT",
+    "crawl_data": "project_id STRING, crawl_overview STRING, pages STRING, page_speed STRING, link_analysis STRING, content_strategy STRING, updated_at TIMESTAMP, site_bucket INT",
+}
+
+
+def stored_tables(spark: SparkSession, folder: str, schemas: dict[str, str | T.StructType] = STORED) -> dict[str, DataFrame]:
+    """The linked tables as ``sinks.write_tables`` leaves them, by explicit schemas: no file is
+    opened to infer one, and a column that a table was written without is null."""
+    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in schemas.items()}
 
 
 def metric_names() -> list[str]:

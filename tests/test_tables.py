@@ -50,7 +50,7 @@ def test_split_upsert_and_delete(spark):
     assert set(split) == set(store.TABLES)
     folder = tempfile.mkdtemp(prefix="pagewarden-")
     sinks.write_tables(split, folder)
-    back = tables.stored_tables(spark, folder, store.TABLES)
+    back = tables.stored_tables(spark, folder)
     assert {r.url for r in back["projects"].collect()} == {"https://a.com", "https://b.com"}
     stored = spark.createDataFrame([("p1", "https://a.com", 10, old, old), ("p2", "https://c.com", 20, old, old)], "project_id string, url string, seo_score int, created_at timestamp, updated_at timestamp")
     incoming = back["projects"].select("project_id", "url", "seo_score", "updated_at")
