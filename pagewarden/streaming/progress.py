@@ -104,7 +104,7 @@ class _Recent(StatefulProcessor):
         self.kept = handle.getListState("kept", _KEPT)
         self.seen = handle.getValueState("seen", "n BIGINT")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         n = self.seen.get()[0] if self.seen.exists() else 0
         kept = list(self.kept.get()) if self.kept.exists() else []
         for batch in rows:
@@ -121,7 +121,7 @@ class _Recent(StatefulProcessor):
             self.handle.registerTimer(kept[-1][0] // 1000 + self.idle)
         yield pd.DataFrame({"job_id": [key[0]], "seen": [n], "latest_type": [kept[-1][2]], "latest_event": [kept[-1][1]], "recent": [[k[1] for k in reversed(kept)]]})
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.kept.clear()
         self.seen.clear()
         return iter(())
