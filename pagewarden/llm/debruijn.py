@@ -71,7 +71,7 @@ def _edge_rows(width: int, run: int, wanted: Broadcast, bits: int, heads: bool)
             if not len(at):
                 continue
             e1 = words.runs(0, width)
-            at = at[inbloom(wanted, (e1 if heads else words.minimizers(width, run))[at], bits)]
+            at = at[in_bloom(wanted, (e1 if heads else words.minimizers(width, run))[at], bits)]
             doc = words.doc[at]
             number = at - words.first_of[doc]
             place = _places(ids.to_numpy(zero_copy_only=False)[doc], digests.to_numpy(zero_copy_only=False)[doc], number)
