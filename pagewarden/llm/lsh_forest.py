@@ -185,8 +185,8 @@ def candidates(classes: DataFrame, *, trees: int, depth: int, min_depth: int, sm
     ordered = rows.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
     found = stored(ordered.mapInArrow(_walker(depth, min_depth, small), "a bigint, b bigint, region bigint, size bigint, top bigint"), "forest")
     members = found.filter("region is not null")
-    central = members.groupBy("a").agg(F.sum("size").alias("score"))
-    heads = members.join(central, "a").groupBy("region").agg(F.max(F.struct("score", "a")).alias("h")).select("region", F.col("h.a").alias("h"))
+    central = members.withColumn("score", F.sum("size").over(Window.partitionBy("a")))  # a row is in few regions
+    heads = central.groupBy("region").agg(F.max(F.struct("score", "a")).alias("h")).select("region", F.col("h.a").alias("h"))
     to_head = members.join(heads, "region").filter("a != h").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
     to_head = stored(to_head, "heads")  # apart from the distinct below, so that a hot region can be split
     return found.filter("b is not null").select("a", "b").union(to_head).distinct(), found.filter("top is not null").select("top", "a")
