@@ -31,11 +31,13 @@ from pagewarden.llm.words import U, bloom, in_bloom, join, pieces, signed
 OUT = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 #: A place in the corpus as one number: document, 24 bits of its text's hash, 31 bits of word number.
 TEXT_BITS, WORD_BITS = 24, 31
+#: Bytes of text that a task looks at together. Its arrays take some hundred times as much where words are short.
+PIECE = 1 << 19
 
 
 def _minimizer_rows(width: int, run: int) -> Callable:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, (digest,) in pieces(batches, "digest"):
+        for words, (digest,) in pieces(batches, "digest", size=PIECE):
             at = words.windows(width)
             if not len(at):
                 continue
@@ -66,7 +68,7 @@ def _edge_rows(width: int, run: int, wanted: Broadcast, bits: int, heads: bool)
     """Edges whose minimizer is in the bitmap; with ``heads``, edges that are in it themselves."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, (ids, digests) in pieces(batches, "doc_id", "digest"):
+        for words, (ids, digests) in pieces(batches, "doc_id", "digest", size=PIECE):
             at = words.windows(width)
             if not len(at):
                 continue

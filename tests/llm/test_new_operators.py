@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import groupby
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,11 @@ def test_repeats_edges(spark):
     assert got[6, n].n_removed == 0 and got[7, n].n_removed == n and got[7, n].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert debruijn.without_repeats(docs).count() == docs.count()
     assert debruijn.without_repeats(empty_docs(spark)).count() == 0
+
+
+def test_passage_tasks_look_at_small_pieces():
+    rng = random.Random(7)
+    texts = [" ".join(str(rng.randrange(10)) for _ in range(100_000)).encode() for _ in range(16)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(16), pa.int64()), pa.array(texts, pa.binary())], names=["digest", "text"])
+    out = list(debruijn._minimizer_rows(13, 6)(iter([batch])))
+    assert len(out) >= 6 and {d for b in out for d in b.column(1).to_pylist()} == set(range(16))
