@@ -314,3 +314,14 @@ def test_whole_audit_writes_every_table(spark):
     assert out["internal_linking"].first().orphan_pages_sample == ["https://s.com/p0"]
     b = out["broken_links"].first()
     assert (b.checked_count, b.broken_count, b.unknown_count) == (1, 0, 3) and out["issue_pages"].count() >= 4
+
+
+def test_stream_batch_of_one_file_is_extracted_by_many_tasks(spark):
+    from pagewarden.sources.pages import stream_pages
+
+    folder = tempfile.mkdtemp(prefix="pagewarden-")
+    pages = spark.createDataFrame([(i, f"https://s.com/p{i}", f"<title>t{i}</title><a href='/p{i + 1}'>n</a>") for i in range(40)], "page_id bigint, url string, html string")
+    pages.coalesce(1).write.parquet(f"{folder}/in")
+    progress.audit_arrivals(stream_pages(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/c").awaitTermination()
+    files = spark.read.parquet(f"{folder}/out/features").select("page_id", F.input_file_name().alias("file"))
+    assert files.count() == 40 and files.select("file").distinct().count() > spark.sparkContext.defaultParallelism
