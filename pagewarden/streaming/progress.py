@@ -177,7 +177,7 @@ def count_arrivals(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQ
     merged level by level."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        features = extract.page_features(batch)
+        features = extract.page_features(_dealt(batch))
         found = unnest(features, F.array_prepend(F.col("internal_links"), F.col("url")), "link", ["site"], "i")
         urls = found.groupBy("site", "link").agg(F.count_if(F.col("i") == 0).alias("pages"))
         Partials(batch.sparkSession, f"{folder}/urls", _merged_urls).add(batch_id, urls)

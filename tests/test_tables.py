@@ -325,3 +325,20 @@ def test_stream_batch_of_one_file_is_extracted_by_many_tasks(spark):
     progress.audit_arrivals(stream_pages(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/c").awaitTermination()
     files = spark.read.parquet(f"{folder}/out/features").select("page_id", F.input_file_name().alias("file"))
     assert files.count() == 40 and files.select("file").distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_counted_batch_of_one_file_is_extracted_by_many_tasks(spark, monkeypatch):
+    from pagewarden.sources.pages import stream_pages
+
+    folder, tasks, real = tempfile.mkdtemp(prefix="pagewarden-"), [], progress.extract.page_features
+
+    def seen(pages):
+        tasks.append(pages.rdd.getNumPartitions())
+        return real(pages)
+
+    monkeypatch.setattr(progress.extract, "page_features", seen)
+    pages = spark.createDataFrame([(i, f"https://s.com/p{i}", f"<a href='/p{i + 1}'>n</a>") for i in range(40)], "page_id bigint, url string, html string")
+    pages.coalesce(1).write.parquet(f"{folder}/in")
+    progress.count_arrivals(stream_pages(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/c").awaitTermination()
+    r = progress.page_counters(spark, f"{folder}/out").first()
+    assert (r.analyzed_pages, r.discovered_internal_pages) == (40, 41) and min(tasks) >= spark.sparkContext.defaultParallelism
