@@ -21,9 +21,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores. The given files hold one row group each, so a scan of one is a
-    single task; a corpus of many files needs no such step."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """Rows over all cores, in tasks that do not grow with the table: each split of the scan is
+    dealt to several. The given files hold one row group each, so a scan of one is a single task,
+    and what follows costs far more per byte than reading."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 8 * df.rdd.getNumPartitions()), key)
 
 
 def _site(doc: Column) -> Column:

@@ -327,6 +327,23 @@ def test_stream_batch_of_one_file_is_extracted_by_many_tasks(spark):
     assert files.count() == 40 and files.select("file").distinct().count() > spark.sparkContext.defaultParallelism
 
 
+def test_spread_tasks_follow_the_splits_of_the_scan(spark):
+    from checks import recipes
+
+    folder = tempfile.mkdtemp(prefix="pagewarden-")
+    spark.range(4000).repartition(12).write.parquet(f"{folder}/in")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        rows = spark.read.parquet(f"{folder}/in")
+        splits = rows.rdd.getNumPartitions()
+        assert splits > spark.sparkContext.defaultParallelism
+        dealt = recipes.spread(rows, "id")
+        assert dealt.rdd.getNumPartitions() >= 4 * splits and dealt.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_counted_batch_of_one_file_is_extracted_by_many_tasks(spark, monkeypatch):
     from pagewarden.sources.pages import stream_pages
 
