@@ -45,10 +45,22 @@ def attribute(tag: Column, name: str) -> Column:
     return unescape(F.regexp_replace(F.nullif(value, F.lit("")), r"""^["']|["']$""", ""))
 
 
+def parsed_metas(metas: Column) -> Column:
+    """Lower-case ``name`` and ``property`` and the raw ``content`` of meta tags: each tag is
+    taken apart once, whatever is asked about it later."""
+    return F.transform(
+        metas,
+        lambda t: F.struct(
+            F.lower(attribute(t, "name")).alias("name"), F.lower(attribute(t, "property")).alias("property"),
+            attribute(t, "content").alias("content"),
+        ),
+    )
+
+
 def meta_content(metas: Column, key: str, value: str) -> Column:
-    """Content of the first meta tag whose ``key`` attribute equals ``value``, trimmed."""
-    hits = F.filter(metas, lambda t: F.lower(attribute(t, key)) == value)
-    return F.coalesce(strip_space(attribute(F.try_element_at(hits, F.lit(1)), "content")), F.lit(""))
+    """Content of the first of the parsed metas whose ``key`` equals ``value``, trimmed."""
+    hits = F.filter(metas, lambda m: m[key] == value)
+    return F.coalesce(strip_space(F.try_element_at(hits, F.lit(1))["content"]), F.lit(""))
 
 
 def _decoded(name: Column, table: Column) -> Column:
@@ -87,9 +99,12 @@ def decode_uncommon(html: Column) -> Column:
             F.concat(value, F.regexp_replace(s, entity, "")), F.concat(F.lit("&"), s)
         )
 
-    # the first piece has no '&' before it
-    pieces = F.transform(F.split(html, "&", -1), lambda s, i: F.when(i == 0, s).otherwise(piece(s)))
-    return F.when(html.rlike(uncommon), F.array_join(pieces, "")).otherwise(html)
+    def decoded(page: Column) -> Column:
+        # the first piece has no '&' before it
+        pieces = F.transform(F.split(page, "&", -1), lambda s, i: F.when(i == 0, s).otherwise(piece(s)))
+        return F.when(page.rlike(uncommon), F.array_join(pieces, "")).otherwise(page)
+
+    return let(html, decoded)
 
 
 def unescape(text: Column) -> Column:
@@ -106,14 +121,15 @@ def text_of(fragment: Column, joined_by: str = " ") -> Column:
     return strip_space(unescape(parts))
 
 
-_RAW = r"(<(script|style)(?=[\s/>])" + INSIDE + r">)(.*?)(</\2(?=[\s/>])|\z)"
+# the first look at '<' and its neighbour lets a scan pass all other places cheaply
+_RAW = r"(?=<s)(<(script|style)(?=[\s/>])" + INSIDE + r">)(.*?)(</\2(?=[\s/>])|\z)"
 
 
 def without_comments(html: Column) -> Column:
     """Comments out, script and style text as it is: what comes first, a comment or such an
     element, hides the start of the other. Every match runs to its end or the page's, so
     the scan is linear."""
-    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|{_RAW}", " $1$3$4")
+    return F.regexp_replace(html, rf"(?is)(?=<[!s])(?:<!--.*?(?:-->|\z)|{_RAW})", " $1$3$4")
 
 
 def without_raw_text(html: Column) -> Column:
@@ -135,10 +151,34 @@ def headings(html: Column) -> Column:
     return let(found, lambda elements: F.struct(*[level(elements, n) for n in range(1, 7)]))
 
 
+_EMPTY, _OPENS, _HIDES, _CLOSES, _TEXT = range(5)
+_LETTER = r"a-zA-Z0-9_\p{L}\p{N}"
+
+
 def _is_hidden(tag: Column) -> Column:
     return F.lower(attribute(tag, "style")).rlike("display: none|visibility: hidden")
 
 
+def _parsed(token: Column) -> Column:
+    """Kind of a token, the name of a tag and the words of a text. Done once per token: a
+    lambda evaluates an expression again wherever the fold names it."""
+
+    excluded = F.lit(f" {' '.join(C.EXCLUDED_TAGS)} ")  # a name holds no white space
+
+    def tag(name: Column) -> Column:
+        empty = name.isin("", *C.VOID_TAGS) | token.endswith("/>")
+        styled = F.lower(token).contains("style") & _is_hidden(token)
+        kind = (
+            F.when(empty, _EMPTY).when(token.startswith("</"), _CLOSES)
+            .when(excluded.contains(F.concat(F.lit(" "), name, F.lit(" "))) | styled, _HIDES).otherwise(_OPENS)
+        )
+        return F.struct(kind.alias("kind"), name.alias("name"), F.lit(0).alias("words"))
+
+    text = F.struct(F.lit(_TEXT).alias("kind"), F.lit("").alias("name"), count_words(token, unescaped=False).alias("words"))
+    is_tag = token.startswith("<") & (token != "<")
+    return F.when(is_tag, let(F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1)), tag)).otherwise(text)
+
+
 def visible_words(html: Column) -> Column:
     """Words outside excluded and inline-hidden elements.
 
@@ -146,35 +186,23 @@ def visible_words(html: Column) -> Column:
     that name are open, ``inner`` how many elements are open inside. An end tag that fits
     none of those ends an element around it, and the hiding with it.
     """
-    tokens = F.regexp_extract_all(html, F.lit(rf"(?s){TAG}|[^<]++|<"), F.lit(0))
+    tokens = F.transform(F.regexp_extract_all(html, F.lit(rf"(?s){TAG}|[^<]++|<"), F.lit(0)), _parsed)
     zero = F.struct(F.lit("").alias("name"), F.lit(0).alias("same"), F.lit(0).alias("inner"), F.lit(0).alias("n"))
 
     def state(name: Column, same: Column, inner: Column, n: Column) -> Column:
         return F.struct(name.alias("name"), same.alias("same"), inner.alias("inner"), n.alias("n"))
 
     def step(acc: Column, token: Column) -> Column:
-        name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
-        is_tag, closes = token.rlike(r"^<."), token.startswith("</")
-        empty = name.isin("", *C.VOID_TAGS) | token.endswith("/>")
-        hides = ~closes & ~empty & (name.isin(C.EXCLUDED_TAGS) | _is_hidden(token))
-        none = F.lit(0)
-
-        def within(here: Column) -> Column:
-            more = F.when(here == acc["name"], 1).otherwise(0)
-            return (
-                F.when(empty, acc)
-                .when(~closes, state(acc["name"], acc["same"] + more, acc["inner"] + 1, acc["n"]))
-                .when((more == 1) & (acc["same"] > 1), state(acc["name"], acc["same"] - 1, acc["inner"] - 1, acc["n"]))
-                .when((more == 1) | (acc["inner"] <= 0), state(F.lit(""), none, none, acc["n"]))
-                .otherwise(state(acc["name"], acc["same"], acc["inner"] - 1, acc["n"]))
-            )
-
-        shown = acc["name"] == ""
+        kind, name, none = token["kind"], token["name"], F.lit(0)
+        shown, fits = acc["name"] == "", name == acc["name"]
         return (
-            F.when(~is_tag & shown, state(acc["name"], acc["same"], acc["inner"], acc["n"] + count_words(unescape(token))))
-            .when(~is_tag, acc)
-            .when(shown, F.when(hides, state(name, F.lit(1), none, acc["n"])).otherwise(acc))
-            .otherwise(within(name))
+            F.when(kind == _EMPTY, acc)
+            .when(kind == _TEXT, F.when(shown, state(acc["name"], acc["same"], acc["inner"], acc["n"] + token["words"])).otherwise(acc))
+            .when(shown, F.when(kind == _HIDES, state(name, F.lit(1), none, acc["n"])).otherwise(acc))
+            .when(kind != _CLOSES, state(acc["name"], acc["same"] + F.when(fits, 1).otherwise(0), acc["inner"] + 1, acc["n"]))
+            .when(fits & (acc["same"] > 1), state(acc["name"], acc["same"] - 1, acc["inner"] - 1, acc["n"]))
+            .when(fits | (acc["inner"] <= 0), state(F.lit(""), none, none, acc["n"]))
+            .otherwise(state(acc["name"], acc["same"], acc["inner"] - 1, acc["n"]))
         )
 
     return F.aggregate(tokens, zero, step, lambda acc: acc["n"])
@@ -187,10 +215,18 @@ def body_text(html: Column) -> Column:
     return unescape(F.regexp_replace(shown, TAG, " "))
 
 
-def count_words(text: Column) -> Column:
-    """Matches of the word pattern. A run of word characters, hyphens and apostrophes is
-    one word as soon as it has a word character, so no end has to be looked for."""
-    return F.regexp_count(text, F.lit(r"[a-zA-Z0-9_\p{L}\p{N}][a-zA-Z0-9_'\-\p{L}\p{N}]*+"))
+def count_words(text: Column, unescaped: bool = True) -> Column:
+    """Number of words. A run of word characters, hyphens and apostrophes is one word as soon
+    as it has a word character, so no end has to be looked for. One pass keeps the first
+    character of every word, which makes no string per word. Where the text is not unescaped
+    yet, the common entities count as their characters."""
+    if unescaped:
+        pattern = rf"[^{_LETTER}]*+(?:([{_LETTER}])[{_LETTER}'\-]*+)?+"
+    else:
+        entity = f"&(?:{'|'.join(e[1:-1] for e, _ in _COMMON)});"
+        between = rf"[^{_LETTER}&]*+(?:(?:{entity}|&)[^{_LETTER}&]*+)*+"
+        pattern = rf"{between}(?:([{_LETTER}])[{_LETTER}'\-]*+(?:&(?:apos|#39);[{_LETTER}'\-]*+)*+)?+"
+    return F.length(F.regexp_replace(text, pattern, "$1"))
 
 
 def word_count(html: Column) -> Column:

@@ -13,6 +13,8 @@ from pagewarden import constants as C
 from pagewarden.functions.numbers import let, lit_array
 
 _SCHEME = r"(?:[A-Za-z][A-Za-z0-9+.\-]*:)"
+# no upper case before the path, no fragment, no '/' at a path's end, no empty query
+_NORMAL = r"^[a-z][a-z0-9+.\-]*+://[a-z0-9._:\-]++(?:/|/[^?#]*[^?#/\u0085\u2028\u2029])(?:\?[^#]++)?\z"
 
 
 def strip_space(x: Column) -> Column:
@@ -57,7 +59,8 @@ def normalize_crawl_url(url: Column) -> Column:
             prefix(query(u), "?"),
         )
 
-    return let(_clean(url), rebuild)
+    # most urls are normal as they are, and one look tells
+    return let(_clean(url), lambda u: F.when(u.rlike(_NORMAL), u).otherwise(rebuild(u)))
 
 
 def normalize_url(url: Column) -> Column:
@@ -98,27 +101,28 @@ def resolve(base_scheme: Column, base_netloc: Column, base_path: Column, base_qu
     def dots(p: Column) -> Column:
         return F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _remove_dots(p)).otherwise(p)
 
-    def relative(tail: Column) -> Column:
-        p, q = path(tail), query(tail)
-        fragment = F.regexp_extract(tail, r"(#.*)$", 1)
+    def placed(tail: Column, p: Column, q: Column) -> Column:
+        fragment = F.when(tail.contains("#"), F.regexp_extract(tail, r"(#.*)$", 1)).otherwise("")
         below = F.regexp_replace(F.concat(folder, p), "/{2,}", "/")
-        return (
-            F.when(netloc(tail) != "", F.concat(base_scheme, F.lit(":"), tail))
-            .when(
-                p == "",
-                F.concat(origin, base_path, question(F.coalesce(F.nullif(q, F.lit("")), base_query)), fragment),
-            )
-            .otherwise(
-                F.concat(origin, let(F.when(p.startswith("/"), p).otherwise(below), dots), question(q), fragment)
-            )
+        return F.when(
+            p == "",
+            F.concat(origin, base_path, question(F.coalesce(F.nullif(q, F.lit("")), base_query)), fragment),
+        ).otherwise(
+            F.concat(origin, let(F.when(p.startswith("/"), p).otherwise(below), dots), question(q), fragment)
         )
 
-    def choose(h: Column) -> Column:
-        given = scheme(h)
+    def relative(tail: Column) -> Column:
+        # path and query are named several times: taken out once
+        parts = F.struct(path(tail).alias("p"), F.when(tail.contains("?"), query(tail)).otherwise("").alias("q"))
+        return F.when(
+            tail.contains("//") & (netloc(tail) != ""), F.concat(base_scheme, F.lit(":"), tail)
+        ).otherwise(let(parts, lambda x: placed(tail, x["p"], x["q"])))
+
+    def choose(h: Column, given: Column) -> Column:
         tail = F.when(given != "", F.regexp_replace(h, rf"^{_SCHEME}", "")).otherwise(h)
-        return F.when(~given.isin("") & (given != base_scheme), h).otherwise(let(tail, relative))
+        return F.when((given != "") & (given != base_scheme), h).otherwise(let(tail, relative))
 
-    return let(_clean(href), choose)
+    return let(_clean(href), lambda h: let(scheme(h), lambda given: choose(h, given)))
 
 
 def resolve_url(base: Column, href: Column) -> Column:
@@ -126,11 +130,12 @@ def resolve_url(base: Column, href: Column) -> Column:
 
 
 def same_domain(base_host: Column, candidate_url: Column) -> Column:
-    base, cand = F.lower(base_host), host(candidate_url)
-    return (
-        (cand == base)
+    base = F.lower(base_host)
+    return let(
+        host(candidate_url),
+        lambda cand: (cand == base)
         | cand.endswith(F.concat(F.lit("."), base))
-        | base.endswith(F.concat(F.lit("."), cand))
+        | base.endswith(F.concat(F.lit("."), cand)),
     )
 
 

@@ -182,7 +182,7 @@ def _url_columns() -> list[Column]:
 def _tag_columns() -> list[Column]:
     tags = F.col("_tags")
     return [
-        F.filter(tags, lambda t: H.has_tag(t, "meta")).alias("_metas"),
+        H.parsed_metas(F.filter(tags, lambda t: H.has_tag(t, "meta"))).alias("_metas"),
         F.filter(tags, lambda t: H.has_tag(t, "link")).alias("_relations"),
         F.filter(tags, lambda t: H.has_tag(t, "img")).alias("_images"),
         _links(F.col("_doc")).alias("links"),
@@ -198,9 +198,7 @@ def _feature_columns() -> list[Column]:
         return U.normalize_crawl_url(U.resolve(*here, F.nullif(href, F.lit(""))))
 
     def any_meta(key: str, prefix: str) -> Column:
-        return F.exists(
-            metas, lambda t: F.coalesce(F.lower(H.attribute(t, key)).startswith(prefix), F.lit(False))
-        )
+        return F.exists(metas, lambda m: F.coalesce(m[key].startswith(prefix), F.lit(False)))
 
     canonical = F.filter(relations, lambda t: F.lower(H.attribute(t, "rel")).contains("canonical"))
     bare = F.filter(
