@@ -58,15 +58,19 @@ def upsert_projects(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def replace_children(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Child rows of incoming projects replace the stored ones."""
-    return stored.join(incoming.select("project_id"), "project_id", "left_anti").unionByName(
+    """Child rows of incoming projects replace the stored ones.
+
+    The ids are never broadcast: the size of a compressed file is far below that of its ids,
+    and all of them would go through the driver once per table.
+    """
+    return stored.join(incoming.select("project_id").hint("merge"), "project_id", "left_anti").unionByName(
         incoming, allowMissingColumns=True
     )
 
 
 def delete_projects(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the given projects."""
-    keys = gone.select("project_id").distinct()
+    """Every table without the rows of the given projects, whose ids are never broadcast."""
+    keys = gone.select("project_id").distinct().hint("merge")
     return {name: table.join(keys, "project_id", "left_anti") for name, table in tables.items()}
 
 

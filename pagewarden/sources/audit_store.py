@@ -177,7 +177,7 @@ class AuditStore:
         if not state["version"]:
             return
         keys = gone.select("project_id").distinct()
-        found = self._read(state)["projects"].join(keys, "project_id", "left_semi")
+        found = self._read(state)["projects"].join(keys.hint("merge"), "project_id", "left_semi")
         self._change(found, lambda have: store.delete_projects({n: t.drop("bucket") for n, t in have.items()}, keys))
 
     def vacuum(self, keep: int = 1, started_before_ms: int | None = None) -> list[str]:

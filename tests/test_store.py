@@ -119,3 +119,16 @@ def test_linear_hashing_moves_rows_only_to_the_new_bucket(spark):
     for n in range(1, 20):
         for r in rows.select(bucket_of(F.col("k"), n).alias("old"), bucket_of(F.col("k"), n + 1).alias("new")).distinct().collect():
             assert 0 <= r.old < n and (r.new == r.old or (r.new == n and r.old == split_from(n)))
+
+
+def test_ids_of_a_change_do_not_pass_the_driver(spark):
+    from pagewarden.operators import store
+
+    have = spark.createDataFrame([("a", 1), ("b", 2)], "project_id string, v int")
+    new = spark.createDataFrame([("b", 3), ("c", 4)], "project_id string, v int")
+    replaced = store.replace_children(have, new)
+    left = store.delete_projects({"t": have}, new)["t"]
+    assert sorted(map(tuple, replaced.collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert [tuple(r) for r in left.collect()] == [("a", 1)]
+    for df in (replaced, left):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
