@@ -169,14 +169,18 @@ def _held(df: DataFrame) -> tuple[list[int], int]:
 
 
 class _Visited:
-    """Urls found so far, in stored runs of buckets. A run takes in the one before it when it
-    has grown to half of its size, so there are few runs and a row is rewritten a few times."""
+    """Urls found so far, in stored runs of buckets. When there are more than ``keep`` runs, the
+    last takes in the one before it while it has half of its size, so there are few runs, a row
+    is rewritten a few times, and most levels rewrite nothing."""
 
-    def __init__(self):
+    def __init__(self, keep: int = 4):
         self.runs: list[tuple[DataFrame, int]] = []
+        self.keep = keep
 
     def add(self, rows: DataFrame, n: int) -> None:
         self.runs.append((rows, n))
+        if len(self.runs) <= self.keep:
+            return
         merge = 1
         while merge < len(self.runs) and 2 * sum(n for _, n in self.runs[-merge:]) >= self.runs[-merge - 1][1]:
             merge += 1
@@ -185,19 +189,25 @@ class _Visited:
             del self.runs[-merge:]
             self.runs.append((_dealt(reduce(DataFrame.unionByName, [r for r, _ in some]), "visited"), sum(n for _, n in some)))
 
+    def count(self) -> int:
+        return sum(n for _, n in self.runs)
+
     def rows(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [r for r, _ in self.runs])
 
 
 def reachability(
-    starts: DataFrame, graph: DataFrame, max_depth: int | None = None, max_pages: int | None = None, buckets: int = 256
+    starts: DataFrame, graph: DataFrame, max_depth: int | None = None, max_pages: int | None = None, buckets: int = 256,
+    few: int = 100_000,
 ) -> DataFrame:
     """Lowest depth of every url that can be reached from the start urls of its site.
 
     One step per level, until a level finds nothing new or ``max_depth`` is reached where
     it is given. Links are stored by buckets of their source and visited urls by the same
     buckets, so a level with a few new urls reads their buckets of the links and the buckets
-    of its candidates among the visited, whatever was found before. All steps are stored in
+    of its candidates among the visited, whatever was found before. Where a level has as many
+    urls as there are buckets, or few urls were found so far, there is little to leave out, and
+    its candidates go on to the visited urls without being stored. All levels are stored in
     the shared folder: lineage does not grow and a lost executor costs one level.
     ``max_pages`` is a crawl limit per site, by depth and url, for callers that want one.
     """
@@ -210,15 +220,20 @@ def reachability(
     visited.add(frontier, n)
     while n and (max_depth is None or depth < max_depth):
         depth += 1
-        at = frontier.select("bucket", "site", F.col("url").alias("src_url"))
-        step = at.join(links.filter(F.col("bucket").isin(held)), ["bucket", "site", "src_url"])
-        step = step.select("site", F.col("dst_url").alias("url")).distinct()
-        step = stored(step.withColumn("bucket", bucket("url")), "candidates")
-        tried, n = _held(step)
-        if not n:
-            break
-        known = visited.rows().filter(F.col("bucket").isin(tried)).select("bucket", "site", "url")
-        new = step.join(known, ["bucket", "site", "url"], "left_anti").withColumn("depth", F.lit(depth))
+        at = frontier.select("bucket", "site", F.col("url").alias("src_url"), "depth")
+        some = links if len(held) == buckets else links.filter(F.col("bucket").isin(held))
+        # the depth comes from the rows: a number in the plan would be new code to compile at every level
+        step = at.join(some, ["bucket", "site", "src_url"]).groupBy("site", F.col("dst_url").alias("url"))
+        step = step.agg((F.min("depth") + 1).alias("depth")).withColumn("bucket", bucket("url"))
+        known = visited.rows()
+        if n < buckets and visited.count() > few:
+            step = stored(step, "candidates")
+            tried, n = _held(step)
+            if not n:
+                break
+            known = known.filter(F.col("bucket").isin(tried))
+        # joined by the keys that the step is grouped by: its rows are not shuffled again
+        new = step.join(known.select("site", "url"), ["site", "url"], "left_anti")
         frontier = _dealt(new.select("site", "url", "depth", "bucket"), "level")
         held, n = _held(frontier)
         if n:

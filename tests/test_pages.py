@@ -153,6 +153,26 @@ def test_reachability_by_buckets(spark):
     assert links.reachability(start.limit(0), g).count() == 0
 
 
+def test_reachability_stores_a_level_once(spark, monkeypatch):
+    """A binary tree with ways back: a level with little to leave out is one stored step."""
+    edges = [(f"n{i}", f"n{2 * i + k}") for i in range(1, 64) for k in (0, 1)] + [(f"n{i}", f"n{i // 2}") for i in range(2, 128)] + [("n127", None)]
+    g = spark.createDataFrame([("s", a, b, True) for a, b in edges], "site string, src_url string, dst_url string, is_internal boolean")
+    start = spark.createDataFrame([("s", "n1"), (None, "n1")], "site string, url string")
+    steps, kept = [], links.stored
+    monkeypatch.setattr(links, "stored", lambda df, name: (steps.append(name), kept(df, name))[1])
+
+    def found(**how):
+        steps.clear()
+        return sorted(((r.site, r.url, r.depth) for r in links.reachability(start, g, buckets=16, **how).collect()), key=str)
+
+    want = [("s", f"n{i}", i.bit_length() - 1) for i in range(1, 128)] + [(None, "n1", 0), ("s", None, 7)]
+    assert found() == sorted(want, key=str)
+    assert steps.count("candidates") == 0 and steps.count("level") == 9 and steps.count("visited") <= 2
+    assert found(few=0) == sorted(want, key=str)  # small levels leave out what they do not touch
+    assert 0 < steps.count("candidates") < 8
+    assert found(max_depth=3) == sorted([w for w in want if w[2] <= 3], key=str)
+
+
 def test_repeated_flags_with_a_hot_value(spark):
     from pagewarden.operators.ranking import flag_repeated
 
